@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, mix
 from lodestone.llm.vector_blocks import Q_ROWS, V_ROWS, best, blocks, grid, packed, usable
 
-TABLES, HASHES, PROBES = 6, 6, 40
+TABLES, HASHES, PROBES = 8, 6, 40
 #: Cell width as a multiple of the median distance of the sample's pairs, and the sample's size.
-WIDTH, SAMPLE = 1.25, 1000
+WIDTH, SAMPLE = 1.3, 1000
 #: Vectors in a block of one bucket.
 BUCKET_ROWS = 256
 
