@@ -155,10 +155,10 @@ def valid_skill_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.valid_skill_name(name).alias("valid"))
 
 
-@query("""WITH u AS (SELECT doc_id, string_split('at://' || source || '/space/memory/main/' || lang || '/garden.memory/' || doc_id, '/') AS p FROM documents)
+@query("""WITH u AS (SELECT doc_id, string_split('at://' || source || '/space/memory/main/' || lang || '/notes.memory/' || doc_id, '/') AS p FROM documents)
 SELECT doc_id, array_to_string(p[1:6], '/') AS space, p[7] AS author, p[8] AS collection, p[9] AS rkey FROM u""")
 def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.concat(F.lit("at://"), "source", F.lit("/space/memory/main/"), "lang", F.lit("/garden.memory/"), F.col("doc_id").cast("string"))
+    u = F.concat(F.lit("at://"), "source", F.lit("/space/memory/main/"), "lang", F.lit("/notes.memory/"), F.col("doc_id").cast("string"))
     p = _docs(spark, sf_dir).select("doc_id", F.split(u, "/").alias("p"))
     return p.select("doc_id", F.array_join(F.slice("p", 1, 6), "/").alias("space"), F.element_at("p", 7).alias("author"), F.element_at("p", 8).alias("collection"), F.element_at("p", 9).alias("rkey"))
 

@@ -36,11 +36,15 @@ class Store:
             stream.close()
         return json.loads(bytes(raw))
 
-    def commit(self, token: int, segments: list[str], deleted: list[str]) -> dict:
-        """Write the next generation's manifest; fails if another writer made it first or holds a higher token."""
-        now = self.latest() or {"token": 0, "generation": 0}
+    def _current(self, token: int) -> dict:
+        now = self.latest() or {"token": 0, "generation": 0, "segments": [], "deleted": []}
         if token < now["token"]:
             raise RuntimeError(f"token {token} is fenced off by {now['token']}")
+        return now
+
+    def commit(self, token: int, segments: list[str], deleted: list[str]) -> dict:
+        """Write the next generation's manifest; fails if another writer made it first or holds a higher token."""
+        now = self._current(token)
         new = {"token": token, "generation": now["generation"] + 1, "segments": segments, "deleted": deleted}
         name = f"{self.root}/manifests/{token:020d}-{new['generation']:020d}.json"
         out = self._fs.create(self._path(name), False)  # false: an existing file is an error
@@ -52,14 +56,14 @@ class Store:
 
     def append(self, rows: DataFrame, token: int) -> dict:
         """Flush a batch as one segment, then publish it."""
-        now = self.latest() or {"segments": [], "deleted": []}
+        now = self._current(token)
         name = f"seg-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/segments/{name}")
         return self.commit(token, [*now["segments"], name], now["deleted"])
 
     def delete(self, ids: DataFrame, token: int) -> dict:
         """Publish a batch of tombstones."""
-        now = self.latest() or {"segments": [], "deleted": []}
+        now = self._current(token)
         name = f"del-{uuid.uuid4().hex}"
         ids.select("id").write.parquet(f"{self.root}/deleted/{name}")
         return self.commit(token, now["segments"], [*now["deleted"], name])
