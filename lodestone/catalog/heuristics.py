@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
 from lodestone.functions import analyzer
+from lodestone.functions import grounding as G
 from lodestone.functions import text as T
 from lodestone.functions.scores import W_EXACT, W_PART_STEM, W_PARTS, W_STEM, d, decoded_length, idf, tf_factor
 from lodestone.operators import keyword
@@ -180,6 +181,29 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(T.json_object(a), "k long").k.alias("k"))
 
 
+@query("SELECT doc_id, lang || '-' || (doc_id % 9) AS name, 'About ' || source AS description, length(trim(text)) AS body_chars FROM documents")
+def skill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as skill files (header fields and body) and read back."""
+    name = F.concat("lang", F.lit("-"), (F.col("doc_id") % 9).cast("string"))
+    raw = T.skill_document(name, F.concat(F.lit("About "), "source"), F.col("text"))
+    d = _docs(spark, sf_dir).select("doc_id", raw.alias("raw"))
+    body = F.regexp_replace(F.regexp_replace(T.skill_body(F.col("raw")), r"\A\n", ""), r"\n\z", "")
+    return d.select("doc_id", T.skill_field(F.col("raw"), "name").alias("name"), T.skill_field(F.col("raw"), "description").alias("description"), F.length(F.trim(body)).cast("long").alias("body_chars"))
+
+
+@query("SELECT page_id, substr(html, 1, 40) AS clipped FROM pages")
+def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.clip(F.col("html"), 40, 160).alias("clipped"))
+
+
+@query()
+def ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of each document's second half that its first half never mentions."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    p = _docs(spark, sf_dir).select("doc_id", F.substr("text", half + 1).alias("t"), F.substr("text", F.lit(1), half).alias("s"))
+    return p.select("doc_id", F.array_join(G.ungrounded(F.col("t"), F.col("s")), " ").alias("made_up"))
+
+
 # Demo search: meanings of words, where some words share one.
 GROUPS_OF = {"ouwhea": "g0", "licens": "g0", "tion": "g1", "ention": "g1"}
 STOPS = ["the", "of", "and", "in", "to", "a", "is", "that", "on", "it"]

@@ -74,3 +74,8 @@ def encode_f16(vector: Column) -> Column:
             yield s.map(lambda v: None if v is None else np.asarray(v, np.float32).astype("<f2").tobytes())
 
     return encode(vector)
+
+
+def decode_query_vector(encoded: Column) -> Column:
+    """A vector sent as unpadded URL-safe base64 of half floats."""
+    return decode_f16(F.unbase64(F.translate(encoded, "-_", "+/")))

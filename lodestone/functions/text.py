@@ -163,3 +163,41 @@ def json_object(answer: Column) -> Column:
     """The outermost {...} of an answer with a fence or prose around it; null if there is none."""
     found = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
     return F.when(found != "", found)
+
+
+def clip(s: Column, chars: int, size: int) -> Column:
+    """At most `chars` characters and `size` bytes, never cut inside a character."""
+    head = F.substring(s, 1, chars)
+    # the longest prefix within the bytes: each character takes 1 to 4 of them
+    def fits(n: Column) -> Column:
+        return F.octet_length(F.substr(head, F.lit(1), n)) <= size
+
+    length = F.array_max(F.filter(F.sequence(F.lit(0), F.greatest(F.length(head), F.lit(0))), fits))
+    return F.when(F.octet_length(head) <= size, head).otherwise(F.substr(head, F.lit(1), length))
+
+
+def tid_micros(s: Column) -> Column:
+    """Microseconds since 1970 that a record key holds: ten of its base32 digits after the top bit; null if it is none."""
+    digits = F.split(s, "")
+    value = F.aggregate(digits, F.lit(0).cast("long"), lambda a, c: a * 32 + (F.instr(F.lit("234567abcdefghijklmnopqrstuvwxyz"), c) - 1))
+    return F.when(s.rlike("^[2-7a-j][2-7a-z]{12}$"), F.shiftright(value, 10))
+
+
+def skill_header(document: Column) -> Column:
+    """The lines between the `---` fences at a document's start; null without them."""
+    found = F.regexp_extract(document, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
+    return F.when(document.rlike(r"(?s)\A---\n.*?\n---(?:\n|\z)"), found)
+
+
+def skill_field(document: Column, name: str) -> Column:
+    """A field of the header, without quotes around it."""
+    raw = F.regexp_extract(skill_header(document), rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1)
+    return F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
+
+
+def skill_body(document: Column) -> Column:
+    return F.trim(F.regexp_replace(document, r"(?s)\A---\n.*?\n---(?:\n|\z)", ""))
+
+
+def skill_document(name: Column, description: Column, body: Column) -> Column:
+    return F.concat(F.lit("---\nname: "), name, F.lit("\ndescription: "), description, F.lit("\n---\n\n"), body, F.lit("\n"))

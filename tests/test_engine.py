@@ -185,3 +185,29 @@ def test_streams_equal_batches(spark, data):
     assert got and got <= want and len(want) - len(got) <= 20
     once = jobs.drain(jobs.deduplicated(jobs.read_events(spark, data, schema), ["event_id"], "3650 days").select("event_id"), "t_dedup")
     assert once.count() == events(spark, data).select("event_id").distinct().count()
+
+
+def test_grounding():
+    from lodestone.functions.grounding import is_grounded
+
+    source = "see v1.2.3 in /home/me/src/x.go, pr 1141528, on oct 20 2026"
+    assert is_grounded("1.2.3", source) and is_grounded("~/src/x.go", source) and is_grounded("2026-10-20", source)
+    assert not is_grounded("114152", source) and not is_grounded("2026-10-21", source)
+
+
+def test_clip_and_record_keys(spark):
+    df = spark.createDataFrame([("éé日本", "3jzfcijpj2z2a")], "s string, k string")
+    r = df.select(T.clip(F.col("s"), 3, 6).alias("a"), T.clip(F.col("s"), 9, 99).alias("b"), T.tid_micros(F.col("k")).alias("t"), T.tid_micros(F.col("s")).alias("n")).first()
+    assert r.a == "éé" and r.b == "éé日本" and r.n is None
+    alphabet = "234567abcdefghijklmnopqrstuvwxyz"
+    value = 0
+    for c in "3jzfcijpj2z2a":
+        value = value * 32 + alphabet.index(c)
+    assert r.t == value >> 10
+
+
+def test_query_vectors_in_base64(spark):
+    import base64
+
+    raw = base64.urlsafe_b64encode(np.array([1.5, -2.0, 0.25], "<f2").tobytes()).decode().rstrip("=")
+    assert spark.createDataFrame([(raw,)], "q string").select(embedding.decode_query_vector(F.col("q"))).first()[0] == [1.5, -2.0, 0.25]
