@@ -38,8 +38,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     likely = cut(spread.select("line", "keeper", F.hll_sketch_estimate("sites").alias("n")).where(F.col("n") >= min_sites * (1 - NEAR)))
     sure = likely.where(F.col("n") > min_sites * (1 + NEAR)).select("line", "keeper")
     near = likely.where(F.col("n") <= min_sites * (1 + NEAR)).select("line", "keeper")
-    pairs = seen.join(near, "line").groupBy("line", "site").agg(F.first("keeper").alias("keeper"))
-    exact = pairs.groupBy("line").agg(F.count("*").alias("n"), F.first("keeper").alias("keeper")).where(F.col("n") >= min_sites)
+    # a very common line is a row for each site before it meets the join
+    pairs = seen.select("line", "site").distinct().join(near, "line")
+    exact = pairs.groupBy("line", "keeper").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     return sure.unionByName(exact.select("line", "keeper"))
 
 
