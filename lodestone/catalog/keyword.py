@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
-from lodestone.functions.scores import EXACT_LENGTHS, W_PART_STEM, W_PARTS, decoded_length, idf, length_array, length_code
+from lodestone.functions.scores import EXACT_LENGTHS, W_PART_STEM, W_PARTS, idf, length_array, length_code
 from lodestone.operators import filters, keyword
 from lodestone.sources.tables import MEMORIES_SQL, memories, placed, tombstones
 
@@ -82,17 +82,17 @@ def terms_join_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.term_scores(docs(spark, sf_dir), tokens(), TERMS).select("id", "term", "tf", "dl")
 
 
-@query(f"WITH {POST_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY id) - 1 AS pos, id - lag(id, 1, -1) OVER (PARTITION BY term ORDER BY id) - 1 AS delta FROM post) SELECT term, id, pos, delta, pos // 128 AS block FROM n")
+@query(f"""WITH {POST_SQL}, c AS (SELECT *, id // 65536 AS chunk FROM post), n AS (SELECT *, row_number() OVER w - 1 AS pos, id - coalesce(lag(id) OVER w, chunk * 65536 - 1) - 1 AS delta FROM c WINDOW w AS (PARTITION BY term, chunk ORDER BY id))
+SELECT term, chunk, id, pos, delta, pos // 128 AS block FROM n""")
 def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.numbered(keyword.postings(docs(spark, sf_dir), tokens())).select("term", "id", "pos", "delta", "block")
+    return keyword.numbered(keyword.postings(docs(spark, sf_dir), tokens())).select("term", "chunk", "id", "pos", "delta", "block")
 
 
-@query(f"""WITH {CODES_SQL}, {LEN_SQL}, {POST_SQL}, n AS (SELECT post.*, dl, (row_number() OVER (PARTITION BY term ORDER BY id) - 1) // 128 AS block FROM post JOIN dls USING (id))
-SELECT term, block, max(tf) AS max_tf, CAST(min(dl) AS BIGINT) AS min_dl, max(id) AS last_id, count(*) AS n FROM n GROUP BY term, block""")
+@query(f"""WITH {CODES_SQL}, {LEN_SQL}, {POST_SQL}, n AS (SELECT post.*, dl, id // 65536 AS chunk, (row_number() OVER (PARTITION BY term, id // 65536 ORDER BY id) - 1) // 128 AS block FROM post JOIN dls USING (id))
+SELECT term, chunk, block, max(tf) AS max_tf, CAST(min(dl) AS BIGINT) AS min_dl, max(id) AS last_id, count(*) AS n FROM n GROUP BY term, chunk, block""")
 def block_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = docs(spark, sf_dir)
-    n = keyword.numbered(keyword.postings(m, tokens())).join(m.select("id", decoded_length(F.size(tokens())).alias("dl")), "id")
-    return n.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("id").alias("last_id"), F.count("*").alias("n"))
+    posted = keyword.postings_with_lengths(docs(spark, sf_dir), tokens())
+    return keyword.numbered(posted).groupBy("term", "chunk", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("id").alias("last_id"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {POST_SQL}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term)
@@ -151,6 +151,27 @@ def scoring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.top(keyword.tree_scores(leaves), "kw", 20)
 
 
+@query(f"""WITH {CODES_SQL}, {LEN_SQL}, {STATS_SQL}, {POST_SQL}, ask AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS term FROM benchmark),
+dfs AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM post WHERE term IN (SELECT term FROM ask) GROUP BY term),
+s AS (SELECT query, post.id, round(sum(ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (CAST(tf AS DOUBLE) * 2.2::DOUBLE / (CAST(tf AS DOUBLE) + 1.2::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * CAST(dl AS DOUBLE) / avg_dl)))), 6) AS kw
+ FROM ask JOIN post USING (term) JOIN dfs USING (term) JOIN dls ON dls.id = post.id CROSS JOIN stats GROUP BY query, post.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY kw DESC, id) AS INTEGER) AS rank FROM s WHERE kw > 0) SELECT query, rank, id, kw FROM r WHERE rank <= 10""")
+def keyword_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark passage, in one job."""
+    from lodestone.sources.tables import table
+
+    ask = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tokens())).alias("term"))
+    return keyword.bm25_batch(docs(spark, sf_dir), tokens(), ask, 10)
+
+
+@query(f"WITH {BM25_SQL} SELECT id, kw FROM bm ORDER BY kw DESC, id LIMIT 20")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword ranking from a stored index, of which the query reads its terms' lists only."""
+    from lodestone.sources.index import KeywordIndex
+
+    return KeywordIndex.temporary(spark, docs(spark, sf_dir), tokens()).search(TERMS, 20)
+
+
 FILLER = ["what", "which", "who", "when", "where", "why", "how", "i", "we", "you", "it", "they", "do", "be", "have", "has", "was"]
 
 

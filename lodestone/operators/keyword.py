@@ -15,7 +15,7 @@ from lodestone.functions.scores import d, decoded_length, idf, tf_factor
 
 #: Terms that a query has at most.
 MOST_TERMS = 128
-BLOCK = 128
+BLOCK, CHUNK = 128, 65536
 
 
 def simple_tokens(text: Column) -> Column:
@@ -32,6 +32,12 @@ def postings(docs: DataFrame, tokens: Column) -> DataFrame:
     return occurrences(docs, tokens).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
+def postings_with_lengths(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(term, id, tf, dl). Lengths are coded before the tokens become rows."""
+    held = docs.select("id", tokens.alias("t")).select("id", decoded_length(F.size("t")).alias("dl"), "t")
+    return held.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+
+
 def lengths(docs: DataFrame, tokens: Column) -> DataFrame:
     """(id, dl): each document's number of tokens, without a shuffle."""
     return docs.select("id", F.size(tokens).cast("long").alias("dl"))
@@ -72,8 +78,39 @@ def term_scores(docs: DataFrame, tokens: Column, terms: Sequence[str]) -> DataFr
 
 
 def bm25(docs: DataFrame, tokens: Column, terms: Sequence[str]) -> DataFrame:
-    """(id, kw): sum of the terms' scores, over 0 only."""
-    return term_scores(docs, tokens, terms).groupBy("id").agg(F.round(F.sum("score"), 6).alias("kw")).where("kw > 0")
+    """(id, kw): sum of the terms' scores, over 0 only.
+
+    A document's counts stay in its row: one pass gathers all statistics as one row, a second scores. Nothing
+    is shuffled but that row.
+    """
+    terms = query_terms(terms)
+
+    def count(term: str) -> Column:
+        return F.size(F.filter("hits", lambda x: x == term))
+
+    held = docs.select("id", tokens.alias("tokens")).select("id", decoded_length(F.size("tokens")).alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
+    held = held.select("id", "dl", F.array(*map(count, terms)).alias("tf"))
+    seen = [F.count_if(F.element_at("tf", i + 1) > 0) for i in range(len(terms))]
+    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), F.array(*seen).alias("df"))
+    scored = held.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
+    each = F.zip_with("tf", "df", lambda tf, df: F.when(tf > 0, idf(F.col("n"), df) * tf_factor(tf, F.col("dl"), F.col("avg_dl"))).otherwise(d(0)))
+    return scored.select("id", F.round(F.aggregate(each, d(0), lambda a, x: a + x), 6).alias("kw")).where("kw > 0")
+
+
+def bm25_batch(docs: DataFrame, tokens: Column, queries: DataFrame, k: int) -> DataFrame:
+    """(query, rank, id, kw) for many queries (query, term) at once: queries meet postings by term.
+
+    Common terms are where the work is; they are plain keys of a join of two tables, which Spark can split.
+    """
+    posted = postings_with_lengths(docs, tokens)
+    wanted = queries.select("query", "term").distinct()
+    df = document_frequency(posted.join(wanted.select("term").distinct(), "term", "left_semi"))
+    stats = F.broadcast(corpus_stats(docs, tokens))  # one row
+    weighed = wanted.join(df, "term").crossJoin(stats).select("query", "term", "avg_dl", idf(F.col("n"), F.col("df")).alias("w"))
+    hits = posted.join(weighed, "term").select("query", "id", (F.col("w") * tf_factor(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("s"))
+    scored = hits.groupBy("query", "id").agg(F.round(F.sum("s"), 6).alias("kw")).where("kw > 0")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("kw"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "kw")
 
 
 def top(scored: DataFrame, score: str, limit: int) -> DataFrame:
@@ -82,10 +119,15 @@ def top(scored: DataFrame, score: str, limit: int) -> DataFrame:
 
 
 def numbered(posted: DataFrame) -> DataFrame:
-    """Postings of each term in id order, numbered from 0, with the gap to the one before and the block number."""
-    w = Window.partitionBy("term").orderBy("id")
+    """Postings of each term and chunk in id order, numbered from 0, with the gap to the one before and the block.
+
+    A chunk is a range of CHUNK ids, so the longest list that one task orders has a fixed bound.
+    """
+    w = Window.partitionBy("term", "chunk").orderBy("id")
     rn = F.row_number().over(w) - 1
-    return posted.withColumn("pos", rn.cast("long")).withColumn("delta", F.col("id") - F.lag("id", 1, -1).over(w) - 1).withColumn("block", F.floor(rn / BLOCK))
+    chunked = posted.withColumn("chunk", F.floor(F.col("id") / CHUNK).cast("long"))
+    gap = F.col("id") - F.lag("id").over(w) - 1
+    return chunked.withColumn("pos", rn.cast("long")).withColumn("delta", F.coalesce(gap, F.col("id") - F.col("chunk") * CHUNK)).withColumn("block", F.floor(rn / BLOCK))
 
 
 def tree_scores(leaves: DataFrame) -> DataFrame:

@@ -131,10 +131,12 @@ def cluster_means(vectors: DataFrame, dims: int) -> DataFrame:
 def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     """(id, cluster): the center of the largest product, ties to the smaller cluster.
 
-    Centers are broadcast: there are at most 4,096 of them (see `cluster_count`).
+    Centers are one broadcast row: there are at most 4,096 of them (see `cluster_count`). Each vector finds its
+    own in place, without a row for each pair and without a shuffle.
     """
-    best = F.max_by("cluster", F.struct(F.round(V.dot("embedding", "center"), 6), -F.col("cluster")))
-    return vectors.select("id", "embedding").crossJoin(F.broadcast(centers)).groupBy("id").agg(best.alias("cluster"))
+    all_centers = F.broadcast(centers.agg(F.collect_list(F.struct("cluster", "center")).alias("centers")))
+    near = F.transform("centers", lambda c: F.struct(F.round(V.dot("embedding", c["center"]), 6).alias("s"), (-c["cluster"]).alias("c")))
+    return vectors.select("id", "embedding").crossJoin(all_centers).select("id", (-F.array_max(near)["c"]).alias("cluster"))
 
 
 def cluster_count(n: int) -> int:

@@ -74,11 +74,10 @@ def merge_spaces(lists: DataFrame, limit: int) -> DataFrame:
     One space keeps its order; if all searched by vector the similarity decides; otherwise the place in each
     list, then the similarity. Of a uri found twice its best place stays.
     """
-    w = Window.partitionBy()
-    alone = F.min("space").over(w) == F.max("space").over(w)
-    all_vector = F.min((F.col("mode") == "vector").cast("int")).over(w) == 1
-    by_place = rrf(F.col("pos"))
-    scored = lists.withColumn("score", F.round(F.when(alone, by_place).when(all_vector, F.col("sim")).otherwise(by_place), 6))
+    seen = lists.agg((F.min("space") == F.max("space")).alias("alone"), (F.min((F.col("mode") == "vector").cast("int")) == 1).alias("by_sim"))
+    lists = lists.crossJoin(F.broadcast(seen))  # one row
+    score = F.when(F.col("by_sim") & ~F.col("alone"), F.col("sim")).otherwise(rrf(F.col("pos")))
+    scored = lists.withColumn("score", F.round(score, 6))
     once = scored.withColumn("n", F.row_number().over(Window.partitionBy("uri").orderBy(F.desc("score"), F.desc("sim"), "space"))).where("n = 1")
     top = once.orderBy(F.desc("score"), F.desc("sim"), "uri").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("sim"), "uri"))).select("uri", "space", "score", "rank")
