@@ -215,3 +215,16 @@ def postings(memories: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "dl", "term", "tf"])
 
     return memories.select("id", "text", "tags", "source").mapInPandas(run, "id long, dl long, term string, tf long")
+
+
+def register_tokenize(spark) -> None:
+    """SQL's tokenize(text): a table function with a row (kind, exact, stem) for each token."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="kind string, exact string, stem string")
+    class Tokenize:
+        def eval(self, text: str):
+            for t in tokenize(text or ""):
+                yield t.kind, t.exact, t.stem
+
+    spark.udtf.register("tokenize", Tokenize)

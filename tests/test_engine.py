@@ -211,3 +211,60 @@ def test_query_vectors_in_base64(spark):
 
     raw = base64.urlsafe_b64encode(np.array([1.5, -2.0, 0.25], "<f2").tobytes()).decode().rstrip("=")
     assert spark.createDataFrame([(raw,)], "q string").select(embedding.decode_query_vector(F.col("q"))).first()[0] == [1.5, -2.0, 0.25]
+
+
+def test_judging_shell_clamps_and_drops_unknown(spark, tmp_path):
+    from lodestone.plans import judging
+
+    def fake(request):
+        import json
+
+        n = len(json.loads(request)["memories"])
+        return "Here:\n```json\n" + json.dumps({"grades": {str(i): i * 5 - 1 for i in range(n)} | {"77": 1, "x": 2}}) + "\n```"
+
+    pairs = spark.createDataFrame([(1, "q", d, f"t{d}") for d in range(25)] + [(2, "q", 0, "t")], "query int, query_text string, doc int, doc_text string").coalesce(1)
+    got = {(r.query, r.doc): r.grade for r in judging.judge(pairs, fake).collect()}
+    assert len(got) == 26 and got[1, 0] == 0 and got[1, 1] == 2 and got[2, 0] == 0
+    texts = spark.createDataFrame([(1, "t")], "id int, text string")
+    asked = judging.generated_queries(texts, lambda r: '{"queries": [" a ", "a", "", 3, "b"]}').collect()
+    assert [r.query for r in asked] == ["a", "b"]
+    assert judging.generated_queries(texts, lambda r: "no idea").count() == 0
+    log = spark.createDataFrame([("2026-01-01T00:00:00Z", "s", "q", ["m1"])], "time string, space string, query string, results array<string>")
+    judging.log_queries(log, f"{tmp_path}/log")
+    judging.log_queries(log, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 2
+
+
+def test_table_function(spark):
+    from lodestone.functions.analyzer import register_tokenize
+
+    register_tokenize(spark)
+    rows = spark.sql("SELECT t.* FROM VALUES ('Running HTTPServer') AS d(text), LATERAL tokenize(d.text) AS t").collect()
+    assert [(r.kind, r.exact, r.stem) for r in rows] == [("word", "running", "~run"), ("compound", "httpserver", None)]
+
+
+def test_index_reads_its_terms_only(spark, data, tmp_path):
+    from lodestone.sources.index import KeywordIndex
+
+    docs = memories(spark, data).select("id", "text")
+    tokens = keyword.simple_tokens(F.col("text"))
+    index = KeywordIndex.build(docs, tokens, f"{tmp_path}/index")
+    plan = index.postings(["the"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan.replace("folder#", "folder") and "the)" in plan.split("PushedFilters")[1]
+    assert index.search(["the", "licensed"], 5).collect() == keyword.top(keyword.bm25(docs, tokens, ["the", "licensed"]), "kw", 5).collect()
+
+
+def test_streaming_changes_reach_the_store(spark, data, tmp_path):
+    """Micro-batches fold into the store; a batch that comes again is known by its number."""
+    from lodestone.streaming import jobs
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    store, done = st.Store(spark, f"file://{tmp_path}/s"), set()
+
+    def fold(batch, number):
+        if number not in done:
+            done.add(number)
+            store.append(feeds.latest(batch, ["user_id"], ["ts", "event_id"], ["value"]).select(F.col("user_id").alias("id"), "value"), token=1)
+
+    jobs.apply_changes(jobs.read_events(spark, data, schema), fold, f"{tmp_path}/ck").awaitTermination()
+    assert store.read().count() == events(spark, data).select("user_id").distinct().count()
