@@ -124,6 +124,31 @@ def word_token(raw: str) -> Token | None:
 
 
 def tokenize(text: str) -> list[Token]:
+    """No token crosses white space, so each stretch between is analyzed once and remembered."""
+    return [t for chunk in _chunks(text) for t in _chunk_tokens(chunk)]
+
+
+def _chunks(text: str) -> list[str]:
+    """The stretches between white space; marks right after a space belong to the space."""
+    out = text.split()
+    for i, c in enumerate(out):
+        if c[0] > "\x7f" and (i or text[0] != c[0]):
+            n = next((k for k, x in enumerate(c) if unicodedata.category(x) not in ("Mn", "Mc", "Me", "Cf")), len(c))
+            out[i] = c[n:]
+    return out
+
+
+@lru_cache(maxsize=200_000)
+def _chunk_tokens(text: str) -> tuple[Token, ...]:
+    """The tokens of a stretch; most are one plain word, perhaps with punctuation after it, which needs no rules."""
+    plain = text.rstrip(".,;:!?)")
+    if plain.isalpha() and (plain[1:].islower() or len(plain) == 1) and max(plain) < "\u0590":
+        exact = bound(normalize(plain))
+        return (Token("word", exact, stem(exact), ()),) if exact else ()
+    return tuple(_general_tokens(text))
+
+
+def _general_tokens(text: str) -> list[Token]:
     out: list[Token | None] = []
     word = cjk = ""
     pending = ""  # joiners that follow a word, in case another word comes
@@ -158,14 +183,26 @@ def tokenize(text: str) -> list[Token]:
     return [t for t in out if t is not None]
 
 
+@lru_cache(maxsize=200_000)
+def _chunk_terms(chunk: str) -> tuple[int, tuple[str, ...]]:
+    """Number of tokens, and the terms that each of them adds one to."""
+    tokens = _chunk_tokens(chunk)
+    return len(tokens), tuple(x for t in tokens for x in terms_of(t))
+
+
 def terms_of(t: Token) -> set[str]:
     return {x for x in (t.exact, t.stem, *(y for p in t.parts for y in p)) if x}
 
 
 def count_terms(text: str, tags: list[str], source: str) -> tuple[int, Counter]:
     """Length in tokens, and term frequencies: each token adds one to each distinct term that it emits."""
-    tokens = [t for field in (text, *tags, source) for t in tokenize(field or "")]
-    return len(tokens), Counter(x for t in tokens for x in terms_of(t))
+    length, tf = 0, Counter()
+    for chunk, times in Counter(c for field in (text, *tags, source) for c in _chunks(field or "")).items():
+        n, terms = _chunk_terms(chunk)
+        length += n * times
+        for x in terms:
+            tf[x] += times
+    return length, tf
 
 
 class Group(NamedTuple):

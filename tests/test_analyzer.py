@@ -71,6 +71,14 @@ def test_query_limits():
     assert len({g.exact for g in groups}) == len(groups)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abzAZéßñσΣ019 .,:_-'/@#!?)中ア한\u0301\u00ad"), max_size=24))
+def test_plain_words_need_no_rules(text):
+    from lodestone.functions.analyzer import _general_tokens
+
+    assert tokenize(text) == _general_tokens(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
