@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
 from lodestone.operators import lounge
-from lodestone.sources.tables import MESSAGES_SQL, events, messages, table
+from lodestone.sources.tables import MESSAGES_SQL, events, messages, scratch, table
 
 PRES_SQL = """pres AS (SELECT user_id AS did, CASE WHEN x = 'error' THEN 'ended' ELSE x END AS state, CAST(epoch_us(t) // 1000000 AS BIGINT) AS updated_s, CAST(epoch_us(t) // 1000000 AS BIGINT) + 300 AS lease_s
 FROM (SELECT user_id, max_by(event_type, {'t': ts, 'i': event_id}) AS x, max(ts) AS t FROM events GROUP BY user_id))"""
@@ -133,7 +133,7 @@ def live_new_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     stream = jobs.deduplicated(jobs.read_events(spark, sf_dir, schema), ["event_id"], "3650 days")
-    return jobs.drain(stream.select("event_id", "user_id"), "lodestone_live")
+    return jobs.drain(stream.select("event_id", "user_id"), scratch(spark, "live"))
 
 
 @query()
@@ -143,4 +143,4 @@ def presence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     stream = jobs.read_events(spark, sf_dir, schema).select("event_id", "ts", "user_id", "event_type")
-    return jobs.drain(jobs.presence_changes(stream, "0 seconds"), "lodestone_presence")
+    return jobs.drain(jobs.presence_changes(stream, "0 seconds"), scratch(spark, "presence"))

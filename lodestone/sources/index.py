@@ -6,8 +6,6 @@ statistics skip all other terms: it reads what its terms have, not the corpus.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scores import idf, tf_factor
 from lodestone.operators import keyword
+from lodestone.sources.tables import scratch
 
 FOLDERS = 64
 
@@ -39,9 +38,8 @@ class KeywordIndex:
 
     @classmethod
     def temporary(cls, spark: SparkSession, docs: DataFrame, tokens: Column) -> KeywordIndex:
-        """An index in the folder that the cluster shares, or in a temporary one on a single machine."""
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-index-")
-        return cls.build(docs, tokens, f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}")
+        """An index in a folder that the cluster shares."""
+        return cls.build(docs, tokens, scratch(spark, "index"))
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
         wanted = keyword.query_terms(terms)

@@ -173,17 +173,17 @@ def test_jsonl_and_csv(spark, tmp_path):
     assert st.read_grades(spark, f"{tmp_path}/g").first().grade == 2
 
 
-def test_streams_equal_batches(spark, data):
+def test_streams_equal_batches(spark, data, tmp_path):
     from lodestone.streaming import jobs
 
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     e = jobs.read_events(spark, data, schema)
     # a session is emitted once the watermark has passed it, so compare those that both have
-    got = {tuple(r) for r in jobs.drain(jobs.sessions(e, "0 seconds"), "t_sessions").collect()}
+    got = {tuple(r) for r in jobs.drain(jobs.sessions(e, "0 seconds"), f"{tmp_path}/a").collect()}
     b = events(spark, data).groupBy(F.session_window("ts", f"{lounge.LEASE_S} seconds"), "user_id").agg(F.count("*").alias("n"))
     want = {tuple(r) for r in b.select("user_id", F.unix_seconds("session_window.start"), F.unix_seconds("session_window.end"), "n").collect()}
     assert got and got <= want and len(want) - len(got) <= 20
-    once = jobs.drain(jobs.deduplicated(jobs.read_events(spark, data, schema), ["event_id"], "3650 days").select("event_id"), "t_dedup")
+    once = jobs.drain(jobs.deduplicated(jobs.read_events(spark, data, schema), ["event_id"], "3650 days").select("event_id"), f"{tmp_path}/b")
     assert once.count() == events(spark, data).select("event_id").distinct().count()
 
 
