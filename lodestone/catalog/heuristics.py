@@ -11,11 +11,11 @@ from lodestone.functions import grounding as G
 from lodestone.functions import text as T
 from lodestone.functions.scores import W_EXACT, W_PART_STEM, W_PARTS, W_STEM, d, decoded_length, idf, tf_factor
 from lodestone.operators import keyword
-from lodestone.sources.tables import memories, table
+from lodestone.sources.tables import memories, spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 @query(r"SELECT page_id, regexp_replace(url, '^[_\-./:@#]+|[_\-./:@#]+$', '', 'g') AS trimmed FROM pages")
@@ -242,7 +242,7 @@ def analyzer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def full_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzer.postings(memories(spark, sf_dir)).select("term", "id", "tf")
+    return analyzer.postings(spread(memories(spark, sf_dir))).select("term", "id", "tf")
 
 
 @query()
@@ -260,7 +260,7 @@ def full_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((f"g{g}", "parts", W_PARTS, p.term, W_PART_STEM, p.stem))
     tree = F.broadcast(spark.createDataFrame(rows, "grp string, alt string, alt_weight double, part string, weight double, term string"))  # 128 terms at most
     wanted = sorted({r[-1] for r in rows})
-    posted = analyzer.postings(memories(spark, sf_dir))
+    posted = analyzer.postings(spread(memories(spark, sf_dir)))
     dl = decoded_length(F.col("dl"))
     stats = F.broadcast(posted.groupBy("id").agg(F.max(dl).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")))  # one row
     hits = posted.where(F.col("term").isin(wanted))

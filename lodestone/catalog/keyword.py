@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog.registry import query
 from lodestone.functions.scores import EXACT_LENGTHS, W_PART_STEM, W_PARTS, idf, length_array, length_code
 from lodestone.operators import filters, keyword
-from lodestone.sources.tables import MEMORIES_SQL, memories, placed, tombstones
+from lodestone.sources.tables import MEMORIES_SQL, memories, placed, spread, tombstones
 
 TERMS = ["the", "licensed", "ouwhea", "tion", "license"]
 
@@ -36,7 +36,7 @@ def tokens():
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).select("id", "text")
+    return spread(memories(spark, sf_dir).select("id", "text"))
 
 
 @query(f"WITH {POST_SQL} SELECT term, id, tf FROM post")

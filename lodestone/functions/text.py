@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.vectors import let
+
 # Patterns and limits that results depend on.
 JOINERS = r"_\-./:@#"
 TID = r"^[2-7a-j][2-7a-z]{12}$"
@@ -108,10 +110,16 @@ def identifiers(text: Column) -> Column:
     def flag(r: Column) -> Column:
         return F.regexp_replace(r, r"[^A-Za-z0-9_]+$", "")
 
+    def by_shape(t: Column) -> Column:
+        return F.when((F.length(t) >= 3) & t.rlike(r"[0-9/_]|[A-Za-z0-9_]\.[A-Za-z0-9_]|[a-z][A-Z]"), F.lower(t)).otherwise(F.when(F.length(t) < 3, ""))
+
     def kept(r: Column) -> Column:
-        t = core(r)
-        is_id = t.rlike(r"[0-9/_]|[A-Za-z0-9_]\.[A-Za-z0-9_]|[a-z][A-Z]")
-        return F.when(F.length(t) < 3, None).when(is_id, F.lower(t)).when(flag(r).rlike(r"(?i)^--?[a-z][A-Za-z0-9_-]{2,}$"), F.lower(flag(r)))
+        # an empty string: too short; null: no identifier by its shape, but perhaps a flag
+        as_flag = F.when(r.startswith("-") & flag(r).rlike(r"(?i)^--?[a-z][A-Za-z0-9_-]{2,}$"), F.lower(flag(r)))
+        return F.nullif(F.coalesce(by_shape_once(r), as_flag), F.lit(""))
+
+    def by_shape_once(r: Column) -> Column:
+        return let(core(r), by_shape)
 
     return F.array_distinct(F.filter(F.transform(raw, kept), lambda x: x.isNotNull()))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scores import d, decoded_length, idf, tf_factor
+from lodestone.functions.vectors import let
 
 #: Terms that a query has at most.
 MOST_TERMS = 128
@@ -58,19 +59,29 @@ def query_terms(terms: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(terms))[:MOST_TERMS]
 
 
+def counted(docs: DataFrame, tokens: Column, terms: Sequence[str]) -> DataFrame:
+    """(id, x: struct<dl, tf array>): coded length and counts of the terms; the tokens are found once for both."""
+
+    def counts(hits: Column) -> Column:
+        def one(term: str) -> Column:
+            return F.size(F.filter(hits, lambda x: x == term)).cast("long")
+
+        return F.array(*map(one, terms))
+
+    def both(t: Column) -> Column:
+        return F.struct(decoded_length(F.size(t)).alias("dl"), let(F.filter(t, lambda x: x.isin(list(terms))), counts).alias("tf"))
+
+    return docs.select("id", let(tokens, both).alias("x"))
+
+
 def term_scores(docs: DataFrame, tokens: Column, terms: Sequence[str]) -> DataFrame:
     """(id, term, tf, dl, df, score) of the given terms: one pass over the texts.
 
     Token arrays shrink to the query's terms inside the scan, so what is shuffled are the matches only.
     """
     terms = query_terms(terms)
-    held = docs.select("id", tokens.alias("tokens")).select("id", decoded_length(F.size("tokens")).alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("tokens"))
-
-    def count(term: str) -> Column:
-        return F.struct(F.lit(term).alias("term"), F.size(F.filter("tokens", lambda x: x == term)).cast("long").alias("tf"))
-
-    each = F.array(*map(count, terms))
-    found = held.select("id", "dl", F.explode(each).alias("x")).select("id", "dl", "x.term", "x.tf").where("tf > 0")
+    each = F.arrays_zip(F.array(*map(F.lit, terms)).alias("term"), F.col("x.tf").alias("tf"))
+    found = counted(docs, tokens, terms).select("id", F.col("x.dl").alias("dl"), F.explode(F.filter(each, lambda e: e["tf"] > 0)).alias("e")).select("id", "dl", "e.term", "e.tf")
     stats = F.broadcast(corpus_stats(docs, tokens))  # one row
     df = F.broadcast(found.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query term
     scored = found.join(df, "term").crossJoin(stats)
@@ -84,15 +95,10 @@ def bm25(docs: DataFrame, tokens: Column, terms: Sequence[str]) -> DataFrame:
     is shuffled but that row.
     """
     terms = query_terms(terms)
-
-    def count(term: str) -> Column:
-        return F.size(F.filter("hits", lambda x: x == term))
-
-    held = docs.select("id", tokens.alias("tokens")).select("id", decoded_length(F.size("tokens")).alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
-    held = held.select("id", "dl", F.array(*map(count, terms)).alias("tf"))
+    held = counted(docs, tokens, terms).select("id", F.col("x.dl").alias("dl"), F.col("x.tf").alias("tf"))
     seen = [F.count_if(F.element_at("tf", i + 1) > 0) for i in range(len(terms))]
     stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), F.array(*seen).alias("df"))
-    scored = held.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
+    scored = held.crossJoin(F.broadcast(stats))  # one row
     each = F.zip_with("tf", "df", lambda tf, df: F.when(tf > 0, idf(F.col("n"), df) * tf_factor(tf, F.col("dl"), F.col("avg_dl"))).otherwise(d(0)))
     return scored.select("id", F.round(F.aggregate(each, d(0), lambda a, x: a + x), 6).alias("kw")).where("kw > 0")
 

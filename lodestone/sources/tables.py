@@ -22,6 +22,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over all cores if the files give fewer partitions than there are: a small table in one row group.
+
+    A table of many files already has more partitions and stays as it is, so large inputs are never shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def memories(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
     """Documents as memories: one a minute, tagged with language and a topic; with vectors where asked for."""
     d = table(spark, sf_dir, "documents")
