@@ -211,7 +211,7 @@ def without_boilerplate(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """Of each near-duplicate component one row stays, that of the smallest doc_id; null ids come last."""
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    marked = simhash.near_duplicates(keyed.select("doc_id", "__key", "text"))
+    marked = simhash.near_duplicates(keyed.select("doc_id", "__key", "text"), similarity=0.8)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
     keep = marked.groupBy("root").agg(least.alias("k")).select("k.__key")
     return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

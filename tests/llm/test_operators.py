@@ -394,6 +394,58 @@ def test_near_copies_are_found_and_others_left(spark):
     assert all(r.component_id == first[r.g] for r in out)
 
 
+def overlapping(rng, n, similarity):
+    """Two texts of n words each: their ends differ so that the five-word similarity is just as asked, or a step over."""
+    words = ["w" + str(x) for x in rng.integers(0, 10**9, 2 * n)]
+    for k in range(n, 0, -1):
+        shared = n - 4 - k
+        if shared / (n - 4 + k) >= similarity:
+            return " ".join(words[:n]), " ".join(words[: n - k] + words[n : n + k]), k
+    raise AssertionError
+
+
+def test_near_copies_at_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    rows, below = [], 0
+    for g in range(0, 400, 2):
+        a, b, k = overlapping(rng, 184, 0.8)  # 160 of 200 shingles
+        if g >= 200:  # one word more differs: under 0.8
+            b = " ".join(b.split()[: 184 - k - 1] + ["other"] + b.split()[184 - k :])
+            below += 1
+        rows += [(g, a), (g + 1, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    joined = [got[g + 1] == g for g in range(0, 400, 2)]
+    assert sum(joined[:100]) >= 97 and below == 100 and not any(joined[100:])
+    kept = {r.doc_id for r in queries.one_of_each_group(df).collect()}
+    assert kept == {d for d, c in got.items() if d == c}
+
+
+def test_crowded_groups_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_A_ROW", 0)
+    rng = np.random.default_rng(12)
+    base = ["w" + str(x) for x in rng.integers(0, 10**9, 120)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for x in rng.integers(0, 120, int(rng.integers(1, 5))):
+            own[x] = "c" + str(rng.integers(10**9))
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    links = [(i, j) for i in range(60) for j in range(i + 1, 60) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    root = groups(links, 60)
+    assert len(set(root)) > 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    assert [got[i] for i in range(60)] == root
+
+
+def test_sections_that_do_not_fit_are_an_error():
+    assert len(simhash.sections(768, 141, 12)) == 51
+    with pytest.raises(ValueError):
+        simhash.sections(384, 62, 12)
+
+
 # 10: urls
 
 
