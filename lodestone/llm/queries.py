@@ -116,7 +116,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.col("text").alias("clean_text"))
+    # its SQL sets ten sites; the pipeline takes the default
+    return line_dedup.dedup_lines(docs, min_sites=10).select("doc_id", "n_lines", "n_removed", F.col("text").alias("clean_text"))
 
 
 OP7_SQL = """

@@ -297,6 +297,16 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(df.where("doc_id < 0")).count() == 0
 
 
+def test_a_passage_on_few_sites_beside_a_hot_one(spark):
+    passage, copied = "this passage stands in a few documents only", "a line of ordinary copies"
+    rows = [(i, f"own line {i}\n{passage}", "en", "hot" if i < 4 else f"s{i}", 0) for i in range(12)]
+    rows += [(100 + i, f"hot line {i}", "en", "hot", 0) for i in range(60)]
+    rows += [(200 + i, f"one more {i}\n{copied}", "en", f"s{i}", 0) for i in range(4)]
+    out = {r.doc_id: r.text for r in queries.without_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(out) == len(rows) and [d for d, t in out.items() if passage in t] == [0]
+    assert sum(copied in t for t in out.values()) == 4
+
+
 # 8: simhash
 
 
