@@ -15,7 +15,7 @@ second pass all pairs that lie in different components still, so no pair goes un
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from lodestone.llm.components import connected_components
 #: Fingerprints of one section value that a task compares at once; larger groups are dealt out as pairs of blocks.
 BLOCK = 4096
 #: A group that proposes more pairs than this for each of its rows is crowded.
-PAIRS_A_ROW = 8
+PAIRS_A_ROW = 1
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
@@ -309,10 +309,10 @@ def _bit_range(column: str, first: int, length: int):
     return F.shiftright(whole, hi * 8 - first - length).bitwiseAND(F.lit((1 << length) - 1))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
     """Those of `pairs` (a, b) whose texts' shingle sets have a Jaccard similarity of `similarity` or more.
 
-    `texts` has (fingerprint, text), one row for each fingerprint. Sets hold 64-bit hashes.
+    `texts` gives for fingerprints (fingerprint) rows (fingerprint, text), one for each. Sets hold 64-bit hashes.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,13 +335,13 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
-    sets = cut(texts.join(wanted, "fingerprint", "left_semi").select("fingerprint", "text").mapInArrow(gather, "fingerprint binary, shingles binary"))
+    sets = cut(texts(wanted).select("fingerprint", "text").mapInArrow(gather, "fingerprint binary, shingles binary"))
     met = pairs.select("a", "b").join(sets.select(F.col("fingerprint").alias("a"), F.col("shingles").alias("x")), "a")
     met = met.join(sets.select(F.col("fingerprint").alias("b"), F.col("shingles").alias("y")), "b")
     return met.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
 
-def similar_links(prints: DataFrame, texts: DataFrame, words: int, similarity: float, bits: int, budget: int, width: int | None, recall: float) -> DataFrame:
+def similar_links(prints: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float, bits: int, budget: int, width: int | None, recall: float) -> DataFrame:
     """Edges (a, b) of the fingerprints within the budget whose texts are similar, as far as they join components."""
     rows = _nodes(prints, bits, budget, width, recall)
     found = cut(proposed(rows, budget))
@@ -379,8 +379,12 @@ def near_duplicates(
         by = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.min("__text_key").alias("__text_key")))
         prints = prints.drop("__text_key")
         # one text stands for all of a fingerprint; it is read again for those that meet another
-        texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("__text_key", F.xxhash64("text"))
-        texts = texts.join(by.select("__text_key", "fingerprint"), "__text_key").dropDuplicates(["fingerprint"])
+        keys = by.select("__text_key", "fingerprint")
+
+        def texts(wanted: DataFrame) -> DataFrame:
+            own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("__text_key", F.xxhash64("text"))
+            return own.join(cut(keys.join(wanted, "fingerprint", "left_semi")), "__text_key").dropDuplicates(["fingerprint"])
+
         links = similar_links(by.select("fingerprint"), texts, words, similarity, bits, budget, width, recall)
         by = by.drop("__text_key")
     roots = connected_components(links)
