@@ -96,11 +96,12 @@ def skipped(key: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndar
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53 < p
 
 
-def merged(v: PieceVocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np.ndarray | None = None, p: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def merged(v: PieceVocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np.ndarray | None = None, p: float = 0.0, log: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merge every pre-token to its end: symbol, first character, characters and pre-token of each survivor.
 
     `codes` holds the pre-tokens one after the other. With `keys` (one for each pre-token) and p > 0 each
-    candidate merge is skipped for good if its keyed hash falls below p.
+    candidate merge is skipped for good if its keyed hash falls below p. `log` receives what candidates there
+    were: pre-token, place, and characters of both sides.
     """
     n = len(lengths)
     seq = np.repeat(np.arange(n), lengths)
@@ -117,6 +118,9 @@ def merged(v: PieceVocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np.
         if p > 0 and keys is not None:
             c = np.flatnonzero(r < NO_RANK)
             r[c[skipped(keys[seq[i[c]]], at[i[c]], size[i[c]], size[j[c]], p)]] = NO_RANK
+        if log is not None:
+            c = np.flatnonzero(r < NO_RANK)
+            log.append((seq[i[c]], at[i[c]], size[i[c]], size[j[c]]))
         return r, made
 
     if len(sym):
@@ -159,12 +163,10 @@ def merged(v: PieceVocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np.
     return sym[order], at[order], size[order], seq[order]
 
 
-def _distinct(codes: np.ndarray, starts: np.ndarray, salt: np.ndarray | None = None):
+def _distinct(codes: np.ndarray, starts: np.ndarray):
     """Distinct pre-tokens: their codes and lengths, the hash of each, and which one stands at each place."""
     lengths = np.diff(np.r_[starts, len(codes)])
     hashes = segment_hashes(codes, starts, lengths)
-    if salt is not None:
-        hashes = mix(hashes + salt)
     own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     return codes[ranges(starts[first], lengths[first])], lengths[first], own, which
 
@@ -187,11 +189,31 @@ def count_tokens(v: PieceVocabulary, texts: list[str]) -> np.ndarray:
     return sums_between(each[which], np.searchsorted(starts, bounds))
 
 
-def encode_with_dropout(v: PieceVocabulary, texts: list[str], seed: int, p: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def _drawing(log: list[tuple[np.ndarray, ...]], n: int, which: np.ndarray, keys: np.ndarray, p: float) -> np.ndarray:
+    """The places (pre-token `which` of n, key) at which one candidate of the logged ones is skipped, or more."""
+    seq, at, left, right = (np.concatenate(x) for x in zip(*log, strict=True))
+    order = np.argsort(seq, kind="stable")
+    at, left, right = at[order], left[order], right[order]
+    count = np.bincount(seq, minlength=n)
+    first = np.cumsum(count) - count
+    found = [np.zeros(0, np.int64)]
+    for lo in range(0, len(which), 1 << 15):
+        w = which[lo : lo + (1 << 15)]
+        c = ranges(first[w], count[w])
+        hit = skipped(np.repeat(keys[lo : lo + (1 << 15)], count[w]), at[c], left[c], right[c], p)
+        found.append(lo + np.flatnonzero(sums_between(hit, np.r_[0, np.cumsum(count[w])])))
+    return np.concatenate(found)
+
+
+#: Characters of pre-tokens that draw for themselves and are merged at once.
+AT_ONCE = 1 << 19
+
+
+def encode_with_dropout(v: PieceVocabulary, texts: list[str], seed: int, p: float, doc_keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts in one array, and where each text's ids start.
 
-    Each place of a text takes one of `variants` versions of its pre-token, by a hash of the seed and the
-    place, so that equal words differ along a text while a batch still merges each version once.
+    Each place of each document draws for itself, by a hash of the seed, the document's key (64 bits, one for
+    each text) and the place. Only places whose draws skip no candidate share their pre-token's merging.
     A literal U+2581 is spelled as bytes, or it would read back as a space.
     """
     codes, bounds = codepoints([" " + t if t else "" for t in texts])
@@ -200,9 +222,25 @@ def encode_with_dropout(v: PieceVocabulary, texts: list[str], seed: int, p: floa
     of = np.searchsorted(bounds, starts, side="right") - 1
     place = (starts - bounds[of]).astype(np.uint64)
     key = np.full(1, seed & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    salt = mix(place + mix(key)) % np.uint64(max(1, variants)) + np.uint64(1)
-    own, lengths, hashes, which = _distinct(codes, starts, salt)
-    sym, at, _, seq = merged(v, own, lengths, mix(hashes ^ mix(key)), p)
+    keys = mix(place + mix(np.array(doc_keys, np.uint64)[of] ^ mix(key)))
+    own, lengths, _, which = _distinct(codes, starts)
+    log: list[tuple[np.ndarray, ...]] = []
+    sym, at, _, seq = merged(v, own, lengths, log=log if p > 0 else None)
+    if log:
+        alone = _drawing(log, len(lengths), which, keys, p)
+        size = np.diff(np.r_[starts, len(codes)])[alone]
+        parts = [(own, lengths, sym, at, seq)]
+        n = len(lengths)
+        which[alone] = n + np.arange(len(alone))
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(alone):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+            some = codes[ranges(starts[alone[lo:hi]], size[lo:hi])]
+            s, a, _, q = merged(v, some, size[lo:hi], keys[alone[lo:hi]], p)
+            parts.append((some, size[lo:hi], s, a, q + n + lo))
+            lo = hi
+        own, lengths, sym, at, seq = (np.concatenate(x) for x in zip(*parts, strict=True))
     begin = np.cumsum(lengths) - lengths
     strange = (sym < 0) | (sym >= v.size)
     reps = np.ones(len(sym), np.int64)

@@ -1,6 +1,6 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding (see bpe.py for the merging).
 
-Each candidate merge (pre-token version, place, sizes of both sides) is skipped for good if its hash under
+Each candidate merge (document, place, sizes of both sides) is skipped for good if its hash under
 the seed falls below the dropout rate; the others are merged in agenda order, lowest rank first, left first.
 """
 
@@ -17,10 +17,10 @@ from lodestone.llm import bpe
 from lodestone.llm.common import runs
 
 
-def encode(docs: DataFrame, vocabulary_path: str, seed: int = 0, dropout: float = 0.1, variants: int = 8, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, seed: int = 0, dropout: float = 0.1, text: str = "text") -> DataFrame:
     """`docs` without its text, with `ids`: the token ids as little-endian 32-bit integers in one binary.
 
-    The same seed gives the same ids, wherever and however often a task runs. dropout 0 gives the library's
+    A document's key is its text and, if there is one, its doc_id. The same seed gives the same ids, wherever and however often a task runs. dropout 0 gives the library's
     own segmentation, but for a literal U+2581, which is spelled as bytes so that it reads back. Null or
     empty texts give an empty binary; repeated rows stay; a column named `ids` is replaced.
     """
@@ -29,11 +29,15 @@ def encode(docs: DataFrame, vocabulary_path: str, seed: int = 0, dropout: float
     schema = source.drop("__text").schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         v = bpe.vocabulary(vocabulary_path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
+            names = batch.column("doc_id").to_pylist() if "doc_id" in kept else [""] * len(texts)
+            keys = [xxhash.xxh64_intdigest(f"{n}\0{t}".encode(), 42) for n, t in zip(names, texts, strict=True)]
             for a, b in runs(texts):
-                ids, at = bpe.encode_with_dropout(v, texts[a:b], seed, dropout, variants)
+                ids, at = bpe.encode_with_dropout(v, texts[a:b], seed, dropout, keys[a:b])
                 raw, at = ids.astype("<i4").tobytes(), at * 4
                 part = batch.slice(a, b - a)
                 packed = pa.array([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
