@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +38,24 @@ def runs(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Runs of rows of about `least` bytes that never split a group; rows are sorted by the first column, a long."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            rows = pa.Table.from_batches(held)
+            group = rows.column(0).to_numpy()
+            n = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            if n:
+                yield rows.slice(0, n)
+                held = rows.slice(n).combine_chunks().to_batches()
+                size = sum(b.nbytes for b in held)
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points in one array, and where each text starts (one more entry at the end)."""
     ends = np.zeros(len(texts) + 1, np.int64)

@@ -140,7 +140,7 @@ FROM marked GROUP BY doc_id
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = simhash.near_duplicates(docs, words=3, bits=64, budget=2, width=None)
+    found = simhash.near_duplicates(docs, words=3, bits=64, budget=2)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
@@ -210,9 +210,13 @@ def without_boilerplate(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each near-duplicate component one row stays, that of the smallest doc_id; null ids come last."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    marked = simhash.near_duplicates(keyed.select("doc_id", "__key", "text"), similarity=0.8)
+    """Of each near-duplicate component one row stays, that of the smallest doc_id; null ids come last.
+
+    Rows are told apart by a 128-bit hash of doc_id and text.
+    """
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("__key", F.unhex(F.md5(own)))
+    marked = simhash.similar_duplicates(keyed.select("doc_id", "__key", "text"), words=5, similarity=0.8)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
     keep = marked.groupBy("root").agg(least.alias("k")).select("k.__key")
     return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
