@@ -12,12 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from lodestone.llm.common import codepoints, mix, ranges, segment_hashes, sums_between
+from lodestone.llm.common import codepoints, ranges, segment_hashes, sums_between
 
 NO_RANK = np.int32(2**31 - 1)
 SPACE = "\u2581"
-#: Stands for a U+2581 of the text itself; a surrogate, so no text holds it.
-LITERAL = 0xD800
 
 
 class PieceVocabulary:
@@ -89,19 +87,10 @@ def cut_places(v: PieceVocabulary, codes: np.ndarray, bounds: np.ndarray) -> np.
     return np.flatnonzero(first)
 
 
-def skipped(key: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, p: float) -> np.ndarray:
-    """Whether the candidate that joins `left` and `right` characters at `start` is skipped."""
-    x = mix(key ^ (start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    x = mix(x + (left.astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64))
-    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53 < p
-
-
-def merged(v: PieceVocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np.ndarray | None = None, p: float = 0.0, log: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def merged(v: PieceVocabulary, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merge every pre-token to its end: symbol, first character, characters and pre-token of each survivor.
 
-    `codes` holds the pre-tokens one after the other. With `keys` (one for each pre-token) and p > 0 each
-    candidate merge is skipped for good if its keyed hash falls below p. `log` receives what candidates there
-    were: pre-token, place, and characters of both sides.
+    `codes` holds the pre-tokens one after the other.
     """
     n = len(lengths)
     seq = np.repeat(np.arange(n), lengths)
@@ -115,12 +104,6 @@ def merged(v: PieceVocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np.
         j = np.minimum(i + 1, len(sym) - 1)
         r, made = v.look_up(sym[i], sym[j])
         r[(seq[i] != seq[j]) | (i == j)] = NO_RANK
-        if p > 0 and keys is not None:
-            c = np.flatnonzero(r < NO_RANK)
-            r[c[skipped(keys[seq[i[c]]], at[i[c]], size[i[c]], size[j[c]], p)]] = NO_RANK
-        if log is not None:
-            c = np.flatnonzero(r < NO_RANK)
-            log.append((seq[i[c]], at[i[c]], size[i[c]], size[j[c]]))
         return r, made
 
     if len(sym):
@@ -163,8 +146,11 @@ def merged(v: PieceVocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np.
     return sym[order], at[order], size[order], seq[order]
 
 
-def _distinct(codes: np.ndarray, starts: np.ndarray):
-    """Distinct pre-tokens: their codes and lengths, the hash of each, and which one stands at each place."""
+def distinct(codes: np.ndarray, starts: np.ndarray):
+    """Distinct pre-tokens: their codes and lengths, the hash of each, and which one stands at each place.
+
+    Pre-tokens of equal 64-bit hash and length count as equal within a batch of about two million characters.
+    """
     lengths = np.diff(np.r_[starts, len(codes)])
     hashes = segment_hashes(codes, starts, lengths)
     own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -179,7 +165,7 @@ def count_tokens(v: PieceVocabulary, texts: list[str]) -> np.ndarray:
     """Tokens of each text; a character outside the vocabulary counts its UTF-8 bytes."""
     codes, bounds = codepoints([v.processor.normalize(t) if t else "" for t in texts])
     starts = cut_places(v, codes, bounds)
-    own, lengths, _, which = _distinct(codes, starts)
+    own, lengths, _, which = distinct(codes, starts)
     sym, at, _, seq = merged(v, own, lengths)
     begin = np.cumsum(lengths) - lengths
     cost = np.ones(len(sym), np.int64)
@@ -187,89 +173,3 @@ def count_tokens(v: PieceVocabulary, texts: list[str]) -> np.ndarray:
     cost[strange] = _utf8_bytes(own[begin[seq[strange]] + at[strange]])
     each = np.bincount(seq, weights=cost, minlength=len(lengths)).astype(np.int64)
     return sums_between(each[which], np.searchsorted(starts, bounds))
-
-
-def _drawing(log: list[tuple[np.ndarray, ...]], n: int, which: np.ndarray, keys: np.ndarray, p: float) -> np.ndarray:
-    """The places (pre-token `which` of n, key) at which one candidate of the logged ones is skipped, or more."""
-    seq, at, left, right = (np.concatenate(x) for x in zip(*log, strict=True))
-    order = np.argsort(seq, kind="stable")
-    at, left, right = at[order], left[order], right[order]
-    count = np.bincount(seq, minlength=n)
-    first = np.cumsum(count) - count
-    found = [np.zeros(0, np.int64)]
-    for lo in range(0, len(which), 1 << 15):
-        w = which[lo : lo + (1 << 15)]
-        c = ranges(first[w], count[w])
-        hit = skipped(np.repeat(keys[lo : lo + (1 << 15)], count[w]), at[c], left[c], right[c], p)
-        found.append(lo + np.flatnonzero(sums_between(hit, np.r_[0, np.cumsum(count[w])])))
-    return np.concatenate(found)
-
-
-#: Characters of pre-tokens that draw for themselves and are merged at once.
-AT_ONCE = 1 << 19
-
-
-def encode_with_dropout(v: PieceVocabulary, texts: list[str], seed: int, p: float, doc_keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts in one array, and where each text's ids start.
-
-    Each place of each document draws for itself, by a hash of the seed, the document's key (64 bits, one for
-    each text) and the place. Only places whose draws skip no candidate share their pre-token's merging.
-    A literal U+2581 is spelled as bytes, or it would read back as a space.
-    """
-    codes, bounds = codepoints([" " + t if t else "" for t in texts])
-    codes = np.where(codes == ord(SPACE), LITERAL, np.where(codes == 32, ord(SPACE), codes)).astype(np.uint32)
-    starts = cut_places(v, codes, bounds)
-    of = np.searchsorted(bounds, starts, side="right") - 1
-    place = (starts - bounds[of]).astype(np.uint64)
-    key = np.full(1, seed & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    keys = mix(place + mix(np.array(doc_keys, np.uint64)[of] ^ mix(key)))
-    own, lengths, _, which = _distinct(codes, starts)
-    log: list[tuple[np.ndarray, ...]] = []
-    sym, at, _, seq = merged(v, own, lengths, log=log if p > 0 else None)
-    if log:
-        alone = _drawing(log, len(lengths), which, keys, p)
-        size = np.diff(np.r_[starts, len(codes)])[alone]
-        parts = [(own, lengths, sym, at, seq)]
-        n = len(lengths)
-        which[alone] = n + np.arange(len(alone))
-        ends = np.cumsum(size)
-        lo = 0
-        while lo < len(alone):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, side="right")))
-            some = codes[ranges(starts[alone[lo:hi]], size[lo:hi])]
-            s, a, _, q = merged(v, some, size[lo:hi], keys[alone[lo:hi]], p)
-            parts.append((some, size[lo:hi], s, a, q + n + lo))
-            lo = hi
-        own, lengths, sym, at, seq = (np.concatenate(x) for x in zip(*parts, strict=True))
-    begin = np.cumsum(lengths) - lengths
-    strange = (sym < 0) | (sym >= v.size)
-    reps = np.ones(len(sym), np.int64)
-    chars = own[begin[seq] + at]
-    spelled = [bytes(SPACE if c == LITERAL else chr(c), "utf-8") for c in chars[strange].tolist()]
-    reps[strange] = [len(b) for b in spelled]
-    ids = np.repeat(sym.astype(np.int32), reps)
-    ids[np.repeat(strange, reps)] = v.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)] if spelled else ids[:0]
-    per = np.bincount(seq, weights=reps, minlength=len(lengths)).astype(np.int64)
-    first = np.cumsum(per) - per
-    out = ids[ranges(first[which], per[which])]
-    total = np.r_[0, np.cumsum(per[which])]
-    return out, total[np.searchsorted(starts, bounds)]
-
-
-def decode(v: PieceVocabulary, ids: np.ndarray) -> str:
-    """The text again: pieces and bytes side by side, spaces restored, the leading one dropped."""
-    raw = bytearray()
-    table = _raw_pieces(v)
-    for i in ids.tolist():
-        raw += table[i]
-    text = raw.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
-
-
-def _raw_pieces(v: PieceVocabulary) -> list[bytes]:
-    if not hasattr(v, "raw"):
-        v.raw = [p.replace(SPACE, " ").encode() for p in v.pieces]
-        for b, i in enumerate(v.byte_ids.tolist()):
-            if i >= 0:
-                v.raw[i] = bytes([b])
-    return v.raw

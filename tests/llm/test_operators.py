@@ -14,7 +14,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, components, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, queries, simhash, similarity, token_counts, url_filter
+from lodestone.llm import agenda, bpe, chat, components, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, queries, simhash, similarity, token_counts, url_filter
+from lodestone.llm.common import mix
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -236,35 +237,66 @@ def test_counts_equal_the_library(spark):
     assert token_counts.token_counts(docs.where("doc_id < 0"), PIECES).count() == 0
 
 
-def agenda(v, chars, key, p):
-    """One pre-token merged by an agenda, place by place."""
-    parts = [(c, i) for i, c in enumerate(chars)]
-    ids = {v.pieces[i]: i for i in range(3, v.size) if not v.processor.is_byte(i)}
+def by_hand(v, rank, chars, key, p):
+    """One pre-token merged place by place; what is popped and skipped is never looked at again."""
+    parts, gone = [(c, i) for i, c in enumerate(chars)], set()
     while True:
         best = None
-        for i in range(len(parts) - 1):
-            piece = parts[i][0] + parts[i + 1][0]
-            if piece in ids:
-                drop = bpe.skipped(np.array([key], np.uint64), np.array([parts[i][1]]), np.array([len(parts[i][0])]), np.array([len(parts[i + 1][0])]), p)[0]
-                rank = -v.processor.get_score(ids[piece])
-                if not drop and (best is None or rank < best[0]):
-                    best = (rank, i)
+        for (a, i), (b, _) in zip(parts, parts[1:], strict=False):
+            if a + b in rank and (i, len(a), len(b)) not in gone and (best is None or rank[a + b] < best[0]):
+                best = (rank[a + b], i, len(a), len(b))
         if best is None:
             return [x for x, _ in parts]
-        i = best[1]
-        parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], parts[i][1])]
+        _, i, a, b = best
+        if agenda.skipped(np.array([key], np.uint64), np.array([i]), np.array([a]), np.array([b]), p)[0]:
+            gone.add((i, a, b))
+        else:
+            parts = [(chars[i : i + a + b], i) if x == i else (t, x) for t, x in parts if x != i + a]
+
+
+def ranks(v):
+    return {v.pieces[i]: -v.processor.get_score(i) for i in range(3, v.size) if not v.processor.is_byte(i)}
 
 
 @pytest.mark.parametrize("p", [0.0, 0.3, 1.0])
-def test_merging_equals_an_agenda(p):
+@pytest.mark.parametrize("widest", [64, 2])
+def test_agendas_in_step_and_by_heap(p, widest, monkeypatch):
+    monkeypatch.setattr(agenda, "WIDEST", widest)
     v = bpe.vocabulary(PIECES)
-    words = ["▁tokenization", "aaaaaaaaaaaaa", "▁▁▁▁▁▁▁", "xyzzyxyzzy", "▁internationalisation", "q", "▁the"]
+    words = ["▁tokenization", "aaaaaaaaaaaaa", "▁▁▁▁▁▁▁", "xyzzyxyzzy", "▁internationalisation", "q", "▁the", "ab" * 70, "=" * 200]
     codes = np.array([ord(c) for w in words for c in w], np.uint32)
     keys = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(7919)
-    sym, at, size, seq = bpe.merged(v, codes, np.array([len(w) for w in words]), keys, p)
+    (sym, at, size, seq), popped = agenda.work_agendas(v, codes, np.array([len(w) for w in words]), keys, p)
     for n, w in enumerate(words):
         got = [w[a : a + s] for a, s, q in zip(at, size, seq, strict=True) if q == n]
-        assert "".join(got) == w and got == agenda(v, w, int(keys[n]), p)
+        assert "".join(got) == w and got == by_hand(v, ranks(v), w, int(keys[n]), p)
+    if not p:
+        s, a, z, q = bpe.merged(v, codes, np.array([len(w) for w in words]))
+        assert [x.tolist() for x in (sym, at, size, seq)] == [x.tolist() for x in (s, a, z, q)]
+        assert len(popped[0]) == len(codes) - len(sym)  # every pop merges
+
+
+def test_op9_equals_a_plain_agenda(spark, data):
+    """The query's ids, for every word of every text of the small table."""
+    v = bpe.vocabulary(PIECES)
+    rank, piece = ranks(v), {p: i for i, p in enumerate(v.pieces)}
+    got = {r.doc_id: r for r in queries.op9_merge_dropout(spark, data).collect()}
+    seed = mix(np.array([13], np.uint64))
+    rows = spark.read.parquet(f"{data}/documents.parquet").collect()
+    for r in rows:
+        text = r.text or ""
+        chars = "".join("\ud800" if c == bpe.SPACE else bpe.SPACE if c == " " else c for c in (" " + text if text else ""))
+        doc = np.array([xxhash.xxh64_intdigest(f"{r.doc_id}\0{text}".encode(), 42)], np.uint64)
+        codes = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = [*bpe.cut_places(v, codes, np.array([0, len(codes)])).tolist(), len(codes)]
+        ids = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            key = int(mix(np.array([a], np.uint64) + mix(doc ^ seed))[0])
+            for part in by_hand(v, rank, chars[a:b], key, 0.1):
+                ids += [piece[part]] if part in rank else v.byte_ids[list(part.replace("\ud800", bpe.SPACE).encode())].tolist()
+        own = got[r.doc_id]
+        assert own.lossless and own.n_tokens == len(ids) and own.ids_crc32 == zlib.crc32(np.array(ids, "<i4").tobytes())
+    assert len(got) == len(rows)
 
 
 def test_dropout_varies_and_decodes(spark):
@@ -288,18 +320,16 @@ def test_dropout_draws_at_every_place(spark):
     assert len(set(got)) > 8
     v = bpe.vocabulary(PIECES)
     codes = np.array([ord(bpe.SPACE), *map(ord, word)], np.uint32)
-    log = []
-    bpe.merged(v, codes, np.array([len(codes)]), log=log)
-    n = sum(len(x[0]) for x in log)
+    n = len(agenda.work_agendas(v, codes, np.array([len(codes)]))[1][0])
     plain = np.array(v.processor.encode(word), "<i4").tobytes()
     # without a skip the library's pieces come out; with one they may still
     assert sum(g == plain for g in got) / 3000 > 0.9**n - 0.03
     # sharing gives what merging each place by itself would
     texts = [r.text or "" for r in odd_docs(spark).collect()]
     keys = list(range(len(texts)))
-    ids, at = bpe.encode_with_dropout(v, texts, 3, 0.2, keys)
+    ids, at = piece_dropout.encode_texts(v, texts, 3, 0.2, keys)
     for i, t in enumerate(texts):
-        one, _ = bpe.encode_with_dropout(v, [t], 3, 0.2, [i])
+        one, _ = piece_dropout.encode_texts(v, [t], 3, 0.2, [i])
         assert ids[at[i] : at[i + 1]].tolist() == one.tolist()
 
 
