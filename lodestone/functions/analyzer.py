@@ -11,6 +11,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,9 @@ MOST_GROUPS, MOST_TERMS, MOST_QUERY_PARTS = 32, 128, 16
 
 TOKEN_TYPE = "array<struct<kind:string,exact:string,stem:string,parts:array<struct<term:string,stem:string>>>>"
 
-try:
-    import regex
-
-    _BOUNDARY = regex.compile(r"(?V1w)\b")
-    _split = _BOUNDARY.split
-    _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
-    _WORD = regex.compile(r"[\p{L}\p{N}]")
-except ImportError:  # close to it, for text without unusual scripts
-    _split = re.compile(r"(?<=\w)(?=\W)|(?<=\W)(?=\w)|(?<=_)|(?=_)").split
-    _CJK = re.compile("[ᄀ-ᇿ⺀-⿟぀-ヿ㐀-鿿가-힯]")
-    _WORD = re.compile(r"[^\W_]")
+_split = regex.compile(r"(?V1w)\b").split
+_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+_WORD = regex.compile(r"[\p{L}\p{N}]")
 
 
 class Part(NamedTuple):
@@ -84,8 +77,11 @@ def is_opaque(s: str) -> bool:
     return s.isdigit() or len(_RUNS.findall(s)) > 3
 
 
+@lru_cache(maxsize=4096)
 def _class(c: str) -> str:
-    return "U" if c.isupper() else "D" if c.isnumeric() else "L" if c.isalpha() else "O"
+    """Upper or title case, number (any of N*), other letter, or none of these."""
+    kind = unicodedata.category(c)
+    return "U" if kind in ("Lu", "Lt") else "D" if kind[0] == "N" else "L" if kind[0] == "L" else "O"
 
 
 def _sub_words(s: str) -> list[str]:

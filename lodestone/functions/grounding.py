@@ -1,8 +1,13 @@
-"""Which identifiers of a text its source never mentions."""
+"""Which identifiers of a text its source never mentions.
+
+Source and name are brought to one spelling and cut into pieces (words, spaces, single marks); a name is grounded if
+its pieces stand in the source side by side, or if it is a date that the source spells out.
+"""
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,40 +15,56 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import identifiers
 
-# How a source may write a month.
-MONTHS = ["jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?", "sep(?:t|tember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?"]
+# Names of months; a source may also write their first three letters, or sept.
+MONTHS = "january february march april may june july august september october november december".split()
 
-_DATE = re.compile(r"(\d{4})-(\d\d)-(\d\d)(?:t.*)?")
-_HOME = re.compile(r"/(?:home/[^/]+|root)(/.*)")
+_MONTH = {form: n for n, name in enumerate(MONTHS, 1) for form in (name, name[:3])} | {"sept": 9}
+_PIECES = re.compile(r"\w+|\s|[^\w\s]")
+_OWN_HOME = re.compile(r"(?<![\w~])/(?:root|home/[^/\s]+)(?=/)")
 
 
-def _whole(piece: str, source: str) -> bool:
-    return bool(piece) and re.search(rf"(?<!\w){re.escape(piece)}(?!\w)", source) is not None
+class Source(NamedTuple):
+    pieces: str
+    days: set[tuple[int, int]]
+    years: set[str]
+    dates: set[str]
 
 
-def _dated(name: str, source: str) -> bool:
-    """A date of the form 2026-10-22 that the source writes in words, or at the start of a timestamp."""
-    m = _DATE.fullmatch(name)
-    if m is None:
-        return False
-    year, month, day = m[1], int(m[2]), int(m[3])
-    if name[:10] in source:
-        return True
-    if year not in source or not 1 <= month <= 12:
-        return False
-    word = MONTHS[month - 1]
-    return re.search(rf"\b{word}\.?\s+0?{day}\b|\b0?{day}\s+{word}\b", source) is not None
+def _cut(text: str) -> list[str]:
+    """Pieces in one spelling: home folders are ~, and a number has no v before it."""
+    pieces = _PIECES.findall(_OWN_HOME.sub("~", text))
+    return [p[1:] if p[0] == "v" and p[1:2].isdigit() else p for p in pieces]
+
 
+def _joined(pieces: list[str]) -> str:
+    return "\0" + "\0".join(pieces) + "\0"
 
-def is_grounded(name: str, source: str) -> bool:
-    """Whether a lower-case source mentions an identifier: give or take a v, a #, a slash, or how a home folder is written."""
-    bare = name.rstrip("/")
-    forms = {bare, re.sub("^[v#]", "", bare)} | ({f"v{bare}"} if bare[:1].isdigit() else set())
-    if home := _HOME.fullmatch(bare):
-        forms.add(f"~{home[1]}")
-    if bare.startswith("~/") and re.search(rf"(?:/home/[^/\s]+|/root){re.escape(bare[1:])}(?!\w)", source):
+
+def read_source(text: str) -> Source:
+    """What a lower-case source mentions: its pieces, days of months, years, and dates in digits."""
+    pieces = _cut(text)
+    words = [p for p in pieces if p[0].isalnum()]
+    days = set()
+    for a, b in zip(words, words[1:], strict=False):
+        for month, day in ((a, b), (b, a)):
+            if month in _MONTH and day.isascii() and day.isdigit() and len(day) <= 2:
+                days.add((_MONTH[month], int(day)))
+    years = {w[:4] for w in words if w[:4].isdigit()}
+    dates = {text[m.start() : m.start() + 10] for m in re.finditer(r"\d{4}-\d\d-\d\d", text)}
+    return Source(_joined(pieces), days, years, dates)
+
+
+def is_grounded(name: str, source: Source) -> bool:
+    """Whether the source mentions a lower-case identifier, give or take a v, a #, a last slash, how a home folder is
+    written, or how a date is.
+    """
+    pieces = _cut(name.removeprefix("#").rstrip("/"))
+    if pieces and _joined(pieces) in source.pieces:
         return True
-    return any(_whole(f, source) for f in forms) or _dated(bare, source)
+    date = name[:10]
+    if not re.fullmatch(r"\d{4}-\d\d-\d\d", date) or name[10:11] not in ("", "t"):
+        return False
+    return date in source.dates or (date[:4] in source.years and (int(date[5:7]), int(date[8:])) in source.days)
 
 
 def ungrounded(text: Column, source: Column) -> Column:
@@ -51,6 +72,10 @@ def ungrounded(text: Column, source: Column) -> Column:
 
     @F.pandas_udf("array<string>")
     def missing(names: pd.Series, sources: pd.Series) -> pd.Series:
-        return pd.Series([[n for n in (names_ if names_ is not None else []) if not is_grounded(n, (s or "").lower())] for names_, s in zip(names, sources, strict=True)])
+        out = []
+        for found, s in zip(names, sources, strict=True):
+            known = read_source((s or "").lower()) if found is not None and len(found) else None
+            out.append([n for n in found if not is_grounded(n, known)] if known else [])
+        return pd.Series(out)
 
     return missing(identifiers(text), source)

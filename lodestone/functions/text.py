@@ -209,3 +209,17 @@ def skill_body(document: Column) -> Column:
 
 def skill_document(name: Column, description: Column, body: Column) -> Column:
     return F.concat(F.lit("---\nname: "), name, F.lit("\ndescription: "), description, F.lit("\n---\n\n"), body, F.lit("\n"))
+
+
+def lenient_time(text: Column, fallback: Column) -> Column:
+    """The instant that a text names, or `fallback`.
+
+    Date and time are split by a T, in either case, or by space; the zone is a Z, in either case, an offset with or
+    without its colon (also -00:00), or missing, which is UTC; a date alone is its midnight; space around it goes.
+    """
+    t = F.upper(F.trim(text))
+    t = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2})[T ]+", "$1T")
+    t = F.regexp_replace(t, r"([T:.]\d+) *([+-]\d{2}):?(\d{2})$", "$1$2:$3")
+    t = F.regexp_replace(t, r"-00:00$", "Z")
+    whole = t.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$")
+    return F.coalesce(F.when(whole, F.try_to_timestamp(t)), fallback)
