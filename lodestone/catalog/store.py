@@ -213,3 +213,22 @@ def first_source_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spaces in settings order: the first that has a name gives it."""
     d = table(spark, sf_dir, "documents").select(F.col("text").alias("name"), F.substring("source", 4, 10).cast("int").alias("s"), "doc_id", "source")
     return d.groupBy("name").agg(F.min(F.struct("s", "doc_id", "source")).alias("x")).select("name", "x.source")
+
+
+GEN_SQL = """seg AS (SELECT doc_id % 500 AS id, doc_id // 500 AS generation, n_chars FROM documents),
+dead AS (SELECT doc_id % 500 AS id, max((doc_id * 7919) % 40) AS generation FROM labels WHERE toxic = 1 GROUP BY 1)"""
+
+
+@query(f"WITH {GEN_SQL} SELECT s.id, s.generation, s.n_chars FROM seg s LEFT JOIN dead d ON d.id = s.id WHERE d.generation IS NULL OR d.generation <= s.generation")
+def generation_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that tombstones of later generations do not hide; a row added again after its deletion is visible."""
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("id"), F.expr("doc_id div 500").alias("generation"), "n_chars")
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select((F.col("doc_id") % 500).alias("id"), ((F.col("doc_id") * 7919) % 40).alias("generation"))
+    return feeds.visible(rows, gone, "id", "generation")
+
+
+@query("""SELECT d.source AS author, count(*) AS n, count(e.embedding) AS done, count(*) - count(e.embedding) AS missing, count(*) = count(e.embedding) AS ready
+FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id GROUP BY 1""")
+def model_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change between two models: for each author what has the new model's vector, what lacks it, and who is done."""
+    return feeds.model_progress(memories(spark, sf_dir, vectors=True), F.col("embedding").isNotNull(), "author")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,20 @@ def upsert(stored: DataFrame, folded: DataFrame) -> DataFrame:
     return rest.select("path", "value").unionByName(folded.where("op = 'upsert'").select("path", "value"))
 
 
+def visible(rows: DataFrame, gone: DataFrame, key: str, generation: str) -> DataFrame:
+    """`rows` but for those that a tombstone (key, generation) of a later generation hides."""
+    last = gone.groupBy(key).agg(F.max(generation).alias("__gone"))
+    return rows.join(last, key, "left").where(F.col("__gone").isNull() | (F.col("__gone") <= F.col(generation))).select(*rows.columns)
+
+
+def model_progress(rows: DataFrame, has_vector: Column, *group: str) -> DataFrame:
+    """For each group of rows: how many there are, have the new model's vector and lack it, and whether the new slot can
+    take over: when nothing is missing.
+    """
+    done = F.count_if(has_vector)
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), done.alias("done"), (F.count("*") - done).alias("missing"), (F.count("*") == done).alias("ready"))
+
+
 def snapshot_replace(stored: DataFrame, snapshot: DataFrame) -> DataFrame:
     """A full snapshot of some authors: their rows that it lacks go, all others stay."""
     listed = snapshot.select("author").distinct()

@@ -1,17 +1,30 @@
 """A versioned store on any Hadoop file system: immutable Parquet batches and a manifest for each generation.
 
-A batch becomes visible only with the manifest that names it, and a manifest is created once, so readers see
-whole generations and a retried batch does no harm. Higher tokens win over lower ones, then higher generations.
+A batch becomes visible only with the manifest that names it. A manifest is made for the generation after the one
+its writer has read, and its file is created once, so of two writers that start from one generation the later one
+fails, and no batch is lost. Rows and tombstones carry the generation that wrote them: a tombstone hides older rows
+only. Higher tokens fence off lower ones. (The file system must create files exclusively, as HDFS does.)
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import feeds
+
+GENERATION = "__generation"
+#: Seconds for which files that no manifest names are kept: a writer may be about to publish them, a reader to read them.
+RETENTION_S = 24 * 3600
+
+
+class StaleBase(RuntimeError):
+    """Another writer has published meanwhile; read again and retry."""
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -20,13 +33,14 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self, folder: str) -> list[str]:
+    def _files(self, folder: str) -> dict[str, float]:
+        """Names under a folder and when each was last changed, in seconds."""
         at = self._path(f"{self.root}/{folder}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in self._fs.listStatus(at)} if self._fs.exists(at) else {}
 
     def latest(self) -> dict | None:
-        """The manifest of the highest (token, generation)."""
-        names = [n for n in self._names("manifests") if n.endswith(".json")]
+        """The manifest of the highest generation."""
+        names = [n for n in self._files("manifests") if n.endswith(".json")]
         if not names:
             return None
         stream = self._fs.open(self._path(f"{self.root}/manifests/{max(names)}"))
@@ -36,66 +50,79 @@ class Store:
             stream.close()
         return json.loads(bytes(raw))
 
-    def _current(self, token: int) -> dict:
+    def base(self, token: int) -> dict:
+        """The generation that a writer starts from; an error if a higher token holds the store."""
         now = self.latest() or {"token": 0, "generation": 0, "segments": [], "deleted": []}
         if token < now["token"]:
             raise RuntimeError(f"token {token} is fenced off by {now['token']}")
         return now
 
-    def commit(self, token: int, segments: list[str], deleted: list[str]) -> dict:
-        """Write the next generation's manifest; fails if another writer made it first or holds a higher token."""
-        now = self._current(token)
-        new = {"token": token, "generation": now["generation"] + 1, "segments": segments, "deleted": deleted}
-        name = f"{self.root}/manifests/{token:020d}-{new['generation']:020d}.json"
-        out = self._fs.create(self._path(name), False)  # false: an existing file is an error
+    def commit(self, token: int, base: dict, segments: list[str], deleted: list[str]) -> dict:
+        """Publish the generation after `base`; StaleBase if that has been published already."""
+        self.base(token)
+        new = {"token": token, "generation": base["generation"] + 1, "segments": segments, "deleted": deleted}
+        name = self._path(f"{self.root}/manifests/{new['generation']:020d}.json")
+        try:
+            out = self._fs.create(name, False)  # false: an existing file is an error
+        except Exception as e:
+            if self._fs.exists(name):
+                raise StaleBase(f"generation {new['generation']} exists") from e
+            raise
         try:
             out.write(bytearray(json.dumps(new).encode()))
         finally:
             out.close()
         return new
 
+    def _write(self, rows: DataFrame, folder: str, base: dict) -> str:
+        name = f"{folder[:3]}-{uuid.uuid4().hex}"
+        rows.withColumn(GENERATION, F.lit(base["generation"] + 1)).write.parquet(f"{self.root}/{folder}/{name}")
+        return name
+
     def append(self, rows: DataFrame, token: int) -> dict:
-        """Flush a batch as one segment, then publish it."""
-        now = self._current(token)
-        name = f"seg-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/segments/{name}")
-        return self.commit(token, [*now["segments"], name], now["deleted"])
+        """Flush a batch as one segment and publish it; its rows replace live ones of the same id."""
+        base = self.base(token)
+        segment = self._write(rows, "segments", base)
+        deleted = base["deleted"]
+        if base["segments"]:
+            own = self.spark.read.parquet(f"{self.root}/segments/{segment}").select("id").distinct()
+            known = self._rows(base).select("id").join(own, "id", "left_semi").distinct()
+            deleted = [*deleted, self._write(known, "deleted", base)]
+        return self.commit(token, base, [*base["segments"], segment], deleted)
 
     def delete(self, ids: DataFrame, token: int) -> dict:
-        """Publish a batch of tombstones."""
-        now = self._current(token)
-        name = f"del-{uuid.uuid4().hex}"
-        ids.select("id").write.parquet(f"{self.root}/deleted/{name}")
-        return self.commit(token, now["segments"], [*now["deleted"], name])
+        """Publish a batch of tombstones; rows that come later under these ids are visible."""
+        base = self.base(token)
+        return self.commit(token, base, base["segments"], [*base["deleted"], self._write(ids.select("id").distinct(), "deleted", base)])
+
+    def _rows(self, at: dict) -> DataFrame:
+        rows = self.spark.read.parquet(*(f"{self.root}/segments/{s}" for s in at["segments"]))
+        if not at["deleted"]:
+            return rows
+        gone = self.spark.read.parquet(*(f"{self.root}/deleted/{s}" for s in at["deleted"]))
+        return feeds.visible(rows, gone, "id", GENERATION)
 
     def read(self) -> DataFrame | None:
         """Live rows of the latest generation."""
         now = self.latest()
-        if not now or not now["segments"]:
-            return None
-        rows = self.spark.read.parquet(*(f"{self.root}/segments/{s}" for s in now["segments"]))
-        if now["deleted"]:
-            gone = self.spark.read.parquet(*(f"{self.root}/deleted/{s}" for s in now["deleted"]))
-            rows = rows.join(gone, "id", "left_anti")
-        return rows
+        return self._rows(now).drop(GENERATION) if now and now["segments"] else None
 
     def compact(self, token: int) -> dict:
         """Rewrite the live rows as one segment without tombstones."""
-        rows = self.read()
-        if rows is None:
-            return self.commit(token, [], [])
-        name = f"seg-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/segments/{name}")
-        return self.commit(token, [name], [])
-
-    def garbage(self) -> list[str]:
-        """Segments and tombstone files that the latest generation does not name."""
-        now = self.latest() or {"segments": [], "deleted": []}
-        own = {*now["segments"], *now["deleted"]}
-        return [f"{folder}/{n}" for folder in ("segments", "deleted") for n in self._names(folder) if n not in own]
-
-    def collect_garbage(self) -> int:
-        found = self.garbage()
+        base = self.base(token)
+        if not base["segments"]:
+            return self.commit(token, base, [], [])
+        return self.commit(token, base, [self._write(self._rows(base).drop(GENERATION), "segments", base)], [])
+
+    def garbage(self, retention_s: float = RETENTION_S) -> list[str]:
+        """Segments, tombstones and manifests that the latest generation doesn't need, and not written lately."""
+        now = self.latest() or {"generation": 0, "segments": [], "deleted": []}
+        own = {*now["segments"], *now["deleted"], f"{now['generation']:020d}.json"}
+        old = time.time() - retention_s
+        return [f"{folder}/{n}" for folder in ("segments", "deleted", "manifests") for n, at in sorted(self._files(folder).items()) if n not in own and not n.startswith(".") and at <= old]
+
+    def collect_garbage(self, retention_s: float = RETENTION_S) -> int:
+        found = self.garbage(retention_s)
         for name in found:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
         return len(found)
