@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog.registry import query
 from lodestone.functions.scores import d
 from lodestone.operators import keyword, metrics
+from lodestone.operators import vector_search as S
 from lodestone.plans import evaluate
 from lodestone.sources.tables import table
 
@@ -117,12 +118,12 @@ def query_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RUN_SQL}, t AS (SELECT query, min(doc) AS target FROM grades WHERE grade = 2 GROUP BY query),
-f AS (SELECT t.query, bool_or(run.system = 'length') AS one, count(run.doc) > 0 AS any_ FROM t LEFT JOIN run ON run.query = t.query AND run.doc = t.target AND run.rank <= 3 GROUP BY t.query)
+f AS (SELECT t.query, bool_or(run.system = 'length') AS one, count(run.doc) > 0 AS any_ FROM t LEFT JOIN run ON run.query = t.query AND run.doc = t.target AND run.rank <= {S.CANDIDATES} GROUP BY t.query)
 SELECT count(*) AS n, round(avg(CASE WHEN one THEN 1.0 ELSE 0.0 END), 6) AS one_system, round(avg(CASE WHEN any_ THEN 1.0 ELSE 0.0 END), 6) AS in_union FROM f""")
 def candidate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a query's target is among one system's candidates, and among all systems'."""
     target = _grades(spark, sf_dir).where("grade = 2").groupBy("query").agg(F.min("doc").alias("target"))
-    run = _run(spark, sf_dir).where("rank <= 3")
+    run = _run(spark, sf_dir).where(F.col("rank") <= S.CANDIDATES)
     f = target.join(run, (run.query == target.query) & (run.doc == target.target), "left").groupBy(target.query).agg(F.max((F.col("system") == "length").cast("int")).alias("one"), F.count("doc").alias("hits"))
     return f.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("one", F.lit(0))), 6).alias("one_system"), F.round(F.avg((F.col("hits") > 0).cast("int")), 6).alias("in_union"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
+from lodestone.functions import text as T
 from lodestone.operators import lounge
 from lodestone.sources.tables import MESSAGES_SQL, events, messages, scratch, table
 
@@ -132,7 +133,7 @@ def live_new_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.streaming import jobs
 
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    stream = jobs.deduplicated(jobs.read_events(spark, sf_dir, schema), ["event_id"], "3650 days")
+    stream = jobs.deduplicated(jobs.read_events(spark, f"{sf_dir}/events.parquet", schema), ["event_id"], "3650 days")
     return jobs.drain(stream.select("event_id", "user_id"), scratch(spark, "live"))
 
 
@@ -142,5 +143,22 @@ def presence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.streaming import jobs
 
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    stream = jobs.read_events(spark, sf_dir, schema).select("event_id", "ts", "user_id", "event_type")
-    return jobs.drain(jobs.presence_changes(stream, "0 seconds"), scratch(spark, "presence"))
+    stream = jobs.read_events(spark, f"{sf_dir}/events.parquet", schema).select("event_id", "ts", "user_id", "event_type")
+    return jobs.drain(jobs.presence_changes(stream, "3650 days"), scratch(spark, "presence"))
+
+
+WRITTEN_SQL = """w AS (SELECT event_id, ts, CASE event_id % 8
+  WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dt%H:%M:%Sz') WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+  WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+0230' WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-00:00' WHEN 5 THEN strftime(ts, ' %Y-%m-%d ')
+  WHEN 6 THEN strftime(ts, '%Y/%m/%d') ELSE NULL END AS written FROM events)"""
+
+
+@query(f"""WITH {WRITTEN_SQL} SELECT event_id, written, CAST(epoch(CASE event_id % 8 WHEN 3 THEN date_trunc('second', ts) - INTERVAL 150 MINUTE WHEN 5 THEN date_trunc('day', ts)
+  WHEN 6 THEN TIMESTAMP '2024-01-01' WHEN 7 THEN TIMESTAMP '2024-01-01' ELSE date_trunc('second', ts) END) AS BIGINT) AS at_s FROM w""")
+def lenient_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as records write them, some badly; what is no time gets the fallback."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    forms = {0: "yyyy-MM-dd'T'HH:mm:ss'Z'", 1: "yyyy-MM-dd't'HH:mm:ss'z'", 2: "yyyy-MM-dd HH:mm:ss", 3: "yyyy-MM-dd'T'HH:mm:ss'+0230'", 4: "yyyy-MM-dd'T'HH:mm:ss'-00:00'", 5: "' 'yyyy-MM-dd' '", 6: "yyyy/MM/dd"}
+    written = F.coalesce(*(F.when(F.col("event_id") % 8 == k, F.date_format("ts", f)) for k, f in forms.items()))
+    at = T.lenient_time(F.col("written"), F.lit("2024-01-01T00:00:00Z").cast("timestamp"))
+    return e.select("event_id", written.alias("written")).withColumn("at_s", F.unix_seconds(at))

@@ -9,10 +9,12 @@ from lodestone.catalog.keyword import BM25_SQL, TERMS, docs, tokens
 from lodestone.catalog.registry import query
 from lodestone.catalog.vectors import CODE_SQL, DIST_SQL, Q_SQL, SIM_SQL, codes, query_vector
 from lodestone.operators import filters
+from lodestone.operators import vector_search as S
 from lodestone.plans import search
 from lodestone.sources.tables import MEMORIES_SQL, memories, table, tombstones
 
-N = 50
+#: Candidates a side.
+N = S.CANDIDATES
 
 UNION_SQL = f"""{BM25_SQL}, {Q_SQL}, {CODE_SQL}, alls AS (SELECT c.id, {DIST_SQL} AS dist, {SIM_SQL} AS sim FROM cd c CROSS JOIN q),
 ids AS (SELECT id FROM (SELECT id FROM alls ORDER BY dist, id LIMIT {N}) UNION SELECT id FROM (SELECT id FROM bm ORDER BY kw DESC, id LIMIT {N})),

@@ -196,10 +196,16 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.round(V.norm("v"), 4).alias("norm"), F.size(F.filter("v", lambda x: x != 0)).alias("used"))
 
 
-@query("SELECT vec_id AS id, len(embedding) AS dims, CAST(octet_length(encode('x')) AS INTEGER) * 2 * len(embedding) AS n_bytes, true AS close FROM embeddings")
+HALF_SQL = "CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END"
+
+
+@query(f"""WITH h AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: {HALF_SQL}) AS back, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT id, len(back) AS dims, 2 * len(back) AS n_bytes, round(list_sum(list_transform(range(1, len(back) + 1), lambda i: i * back[i])), 5) AS weighed,
+round(list_max(list_transform(range(1, len(back) + 1), lambda i: abs(back[i] - v[i]))), 7) AS off FROM h""")
 def f16_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors through half-precision bytes and back."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", E.encode_f16(F.col("embedding")).alias("raw"))
     back = e.select("id", "embedding", "raw", E.decode_f16(F.col("raw")).alias("back"))
-    off = F.aggregate(F.zip_with("embedding", "back", lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda s, x: F.greatest(s, x))
-    return back.select("id", F.size("back").cast("long").alias("dims"), F.octet_length("raw").cast("long").alias("n_bytes"), (off < 0.001).alias("close"))
+    off = F.aggregate(F.zip_with("embedding", "back", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: F.greatest(s, x))
+    weighed = F.aggregate(F.transform("back", lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return back.select("id", F.size("back").cast("long").alias("dims"), F.octet_length("raw").cast("long").alias("n_bytes"), F.round(weighed, 5).alias("weighed"), F.round(off, 7).alias("off"))

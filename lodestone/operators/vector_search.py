@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 
-#: Candidates before re-ranking, at least; the most nodes a graph has; queries that one scan serves.
-CANDIDATES, GRAPH_NODES, QUERIES_A_SCAN = 200, 500, 1024
+#: Candidates before re-ranking, at least; the most nodes a graph has.
+CANDIDATES, GRAPH_NODES = 200, 500
+#: Vectors in a block of queries and of the corpus, and corpus blocks in a group.
+QUERY_ROWS, CORPUS_ROWS, BLOCKS_A_GROUP = 256, 1024, 16
 
 
 def unit(v: Sequence[float]) -> list[float]:
@@ -53,49 +55,56 @@ def vector_search(codes: DataFrame, query: Sequence[float], limit: int, candidat
     return found.select("id", "dist", "sim").orderBy(F.desc("sim"), "id").limit(limit)
 
 
+def packed(vectors: DataFrame, rows: int, ids: str, block: str) -> DataFrame:
+    """(dims, ids, block): unit vectors of (id, embedding) as doubles, at most `rows` of one length in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            first = np.cumsum(size) - size
+            for dims in np.unique(size).tolist():
+                own = np.flatnonzero(size == dims)
+                x = flat[first[own][:, None] + np.arange(dims)]
+                norm = np.sqrt((x**2).sum(1))
+                good = np.isfinite(norm) & (norm > 0)
+                own, x = own[good], x[good] / norm[good, None]
+                key = batch.column(0).to_numpy()[own]
+                for k in range(0, len(own), rows):
+                    raw = pa.array([x[k : k + rows].astype("<f8").tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([key[k : k + rows].astype("<i8").tobytes()], pa.binary()), raw], ["dims", ids, block])
+
+    has = vectors.where("id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL)")
+    return has.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, f"dims int, {ids} binary, {block} binary")
+
+
 def scan(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, sim) for a batch of queries by exact cosine, a query itself left out.
 
-    Queries (id, embedding) go to the tasks QUERIES_A_SCAN at a time, so what is shipped has a fixed bound and
-    a larger batch takes more scans. Each task keeps k rows for each query.
+    Queries and corpus are packed into blocks. Corpus blocks are dealt to groups, query blocks go to each group
+    once; a pair of blocks gives k rows for each query, so no pair of vectors becomes a row and nothing passes
+    through the driver. Zero vectors and those with a null or non-finite component take no part; vectors of different
+    lengths never meet.
     """
-    parts = []
-    wanted = queries.select("id", "embedding").where("embedding IS NOT NULL").orderBy("id")
-    block: list[tuple[int, list[float]]] = []
-
-    def one(block: list[tuple[int, list[float]]]) -> DataFrame:
-        q_ids = np.array([i for i, _ in block])
-        q = np.array([unit(v) for _, v in block])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s = np.full((len(q), 0), -np.inf)
-            best_i = np.zeros((len(q), 0), np.int64)
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
-                size = np.sqrt((v**2).sum(1))
-                s = np.where(size > 0, q @ v.T / np.maximum(size, 1e-300), -np.inf)
-                s = np.round(np.where(q_ids[:, None] == ids[None], -np.inf, s), 6)
-                all_s, all_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
-                order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-            r, c = np.nonzero(np.isfinite(best_s))
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(best_i[r, c]), pa.array(best_s[r, c])], ["query_id", "id", "sim"])
-
-        return corpus.where(F.size("embedding") == q.shape[1]).select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, id long, sim double")
-
-    for row in wanted.toLocalIterator():
-        block.append((row.id, row.embedding))
-        if len(block) == QUERIES_A_SCAN:
-            parts.append(one(block))
-            block = []
-    if block:
-        parts.append(one(block))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query_id long, rank int, id long, sim double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    blocks = packed(corpus, CORPUS_ROWS, "ids", "vectors")
+    groups = max(1, corpus.count() // (CORPUS_ROWS * BLOCKS_A_GROUP))
+    dealt = blocks.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    asked = packed(queries, QUERY_ROWS, "q_ids", "q_vectors").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = asked.join(dealt, ["dims", "g"]).select("dims", "q_ids", "q_vectors", "ids", "vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dims, *raw = (batch.column(c)[row].as_py() for c in range(5))
+                (q_ids, ids), (q, v) = ([np.frombuffer(x, "<i8") for x in raw[::2]], [np.frombuffer(x, "<f8").reshape(-1, dims) for x in raw[1::2]])
+                s = np.round(q @ v.T, 6)
+                s[q_ids[:, None] == ids[None]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                best = np.take_along_axis(s, order, 1)
+                r, c = np.nonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[order[r, c]]), pa.array(best[r, c])], ["query_id", "id", "sim"])
+
+    found = met.mapInArrow(run, "query_id long, id long, sim double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "sim")
 

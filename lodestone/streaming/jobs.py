@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestone.operators.lounge import LEASE_S
 
 
-def read_events(spark: SparkSession, folder: str, schema: str, files_a_trigger: int = 16) -> DataFrame:
-    """Files of events as a stream; ts becomes an instant, as watermarks need one."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).option("pathGlobFilter", "events*.parquet").parquet(folder)
+def read_events(spark: SparkSession, path: str, schema: str, files_a_trigger: int = 16) -> DataFrame:
+    """A file of events, or the files of a folder, as a stream; ts becomes an instant, as watermarks need one."""
+    # as a pattern, since the source takes a plain path for a folder
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -36,7 +37,11 @@ def rates(events: DataFrame, window: str = "1 minute", late: str = "1 hour") ->
 
 
 def presence_changes(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(did, state, at_s) whenever an agent comes online, changes its state, ends, or its lease runs out."""
+    """(did, state, at_s) whenever an agent comes online, changes its state, ends, or its lease runs out.
+
+    A record older than the agent's last one changes nothing. Records later than `late` are dropped, so the delay must
+    cover how far the files are out of order.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,6 +54,8 @@ def presence_changes(events: DataFrame, late: str = "1 hour") -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for ts, kind in zip(rows["ts"].astype("int64") // 10**9 if rows["ts"].dtype == "datetime64[ns]" else rows["ts"].map(lambda x: int(x.timestamp())), rows["event_type"], strict=True):
             new = "ended" if kind == "error" else kind
+            if ts + LEASE_S < lease:
+                continue
             if current is not None and current != "ended" and ts >= lease:
                 out.append((key[0], "offline", int(lease)))
                 current = None
