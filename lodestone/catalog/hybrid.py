@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.catalog.keyword import BM25_SQL, TERMS, docs, tokens
+from lodestone.catalog.keyword import BM25_SQL, TERMS, index
 from lodestone.catalog.registry import query
 from lodestone.catalog.vectors import CODE_SQL, DIST_SQL, Q_SQL, SIM_SQL, codes, query_vector
 from lodestone.operators import filters
@@ -26,7 +26,7 @@ CASE WHEN kw > 0 THEN row_number() OVER (PARTITION BY kw > 0 ORDER BY kw DESC, i
 
 
 def _candidates(spark: SparkSession, sf_dir: str, keep: DataFrame | None = None) -> DataFrame:
-    return search.candidates(codes(spark, sf_dir), docs(spark, sf_dir), tokens(), query_vector(spark, sf_dir), TERMS, N, keep)
+    return search.candidates(codes(spark, sf_dir), index(spark, sf_dir).scores(TERMS), query_vector(spark, sf_dir), N, keep)
 
 
 @query(f"WITH {UNION_SQL} SELECT id, coalesce(dist, -1) AS dist, sim, kw FROM cands")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog.registry import query
 from lodestone.functions.scores import EXACT_LENGTHS, W_PART_STEM, W_PARTS, idf, length_array, length_code
 from lodestone.operators import filters, keyword
+from lodestone.sources.index import KeywordIndex
 from lodestone.sources.tables import MEMORIES_SQL, memories, placed, spread, tombstones
 
 TERMS = ["the", "licensed", "ouwhea", "tion", "license"]
@@ -39,6 +40,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(memories(spark, sf_dir).select("id", "text"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The stored index of the documents; the session's first search builds it."""
+    return KeywordIndex.shared(spark, sf_dir, docs(spark, sf_dir), tokens())
+
+
 @query(f"WITH {POST_SQL} SELECT term, id, tf FROM post")
 def build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.postings(docs(spark, sf_dir), tokens())
@@ -132,7 +138,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics over the whole space, filters before the top-k, documents fetched for the winners only."""
     m = memories(spark, sf_dir)
     keep = filters.live(m.where(filters.by_author("src0") & filters.has_all_tags(["en"])), tombstones(spark, sf_dir))
-    top = keyword.top(keyword.bm25(docs(spark, sf_dir), tokens(), TERMS).join(keep.select("id"), "id", "left_semi"), "kw", 10)
+    top = keyword.top(index(spark, sf_dir).scores(TERMS).join(keep.select("id"), "id", "left_semi"), "kw", 10)
     return m.select("id", "author", "text").join(F.broadcast(top), "id").select("id", "kw", "author", "text")  # ten rows
 
 
@@ -167,9 +173,7 @@ def keyword_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BM25_SQL} SELECT id, kw FROM bm ORDER BY kw DESC, id LIMIT 20")
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword ranking from a stored index, of which the query reads its terms' lists only."""
-    from lodestone.sources.index import KeywordIndex
-
-    return KeywordIndex.temporary(spark, docs(spark, sf_dir), tokens()).search(TERMS, 20)
+    return index(spark, sf_dir).search(TERMS, 20)
 
 
 FILLER = ["what", "which", "who", "when", "where", "why", "how", "i", "we", "you", "it", "they", "do", "be", "have", "has", "was"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scores import convex, d, rrf
@@ -29,13 +29,12 @@ def mode_of(query: str | None, vector: Sequence[float] | None, mode: str | None,
     return "hybrid" if has_model else "keyword"
 
 
-def candidates(codes: DataFrame, docs: DataFrame, tokens: Column, query: Sequence[float], terms: Sequence[str], n: int = S.CANDIDATES, keep: DataFrame | None = None) -> DataFrame:
+def candidates(codes: DataFrame, kw: DataFrame, query: Sequence[float], n: int = S.CANDIDATES, keep: DataFrame | None = None) -> DataFrame:
     """(id, dist, sim, kw) of the vector and the keyword candidates, each side's score filled in for both.
 
-    Filters (`keep`, ids) come before both top-k. Both candidate lists are at most n rows, so completion is
+    `kw` has the keyword scores (id, kw), from a stored index or from the texts. Filters (`keep`, ids) come before both top-k. Both candidate lists are at most n rows, so completion is
     two joins with a broadcast of bounded size.
     """
-    kw = keyword.bm25(docs, tokens, terms)
     near, words = codes, kw
     if keep is not None:
         near, words = codes.join(keep, "id", "left_semi"), kw.join(keep, "id", "left_semi")

@@ -16,6 +16,8 @@ from lodestone.operators import keyword
 from lodestone.sources.tables import scratch
 
 FOLDERS = 64
+#: Roots of the indexes that this process has built, by application and name.
+_BUILT: dict[tuple[str, str], str] = {}
 
 
 def _folder(term: Column) -> Column:
@@ -46,10 +48,24 @@ class KeywordIndex:
         folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(_folder(F.col("term"))).collect()]
         return self.spark.read.parquet(f"{self.root}/postings").where(F.col("folder").isin(folders) & F.col("term").isin(wanted))
 
+    @classmethod
+    def shared(cls, spark: SparkSession, name: str, docs: DataFrame, tokens: Column) -> KeywordIndex:
+        """The application's index of what `name` stands for, such as a table's path: built by the first query that asks
+        for it, read by all later ones. Tables that change need a new name.
+        """
+        key = (spark.sparkContext.applicationId, name)
+        if key not in _BUILT:
+            _BUILT[key] = cls.temporary(spark, docs, tokens).root
+        return cls(spark, _BUILT[key])
+
     def search(self, terms: Sequence[str], limit: int) -> DataFrame:
         """(id, kw): the best `limit` documents."""
+        return keyword.top(self.scores(terms), "kw", limit)
+
+    def scores(self, terms: Sequence[str]) -> DataFrame:
+        """(id, kw) of every document that has one of the terms."""
         hits = self.postings(terms).select("term", "id", "tf", "dl")
         df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query term
         stats = F.broadcast(self.spark.read.parquet(f"{self.root}/stats"))  # one row
         each = hits.join(df, "term").crossJoin(stats).select("id", (idf(F.col("n"), F.col("df")) * tf_factor(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("s"))
-        return keyword.top(each.groupBy("id").agg(F.round(F.sum("s"), 6).alias("kw")).where("kw > 0"), "kw", limit)
+        return each.groupBy("id").agg(F.round(F.sum("s"), 6).alias("kw")).where("kw > 0")
