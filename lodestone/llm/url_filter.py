@@ -2,9 +2,11 @@
 
 The cascade is built over the complete universe of keys. Level 1 encodes the listed keys; level 2 those other
 keys that level 1 lets through wrongly; level 3 the listed ones that level 2 catches wrongly; and so on until
-no key is wrong. A key of the universe is listed if the first level that lacks it has an even number. Tasks
-look keys up in filters of a few bits a listed key, so no row is joined or shuffled. Beyond a checked size the
-list is joined instead.
+no key is wrong. A key of the universe is listed if the first level that lacks it has an even number.
+
+Keys are dealt to shards by their hash, each with a cascade of its own that one task builds, so the universe may be of
+any size. Filters that fit a checked size together are broadcast, and tasks look rows up where they are. Larger ones
+travel to the rows: a shard's filters come first in its partitions, its rows stream past them.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, mix
+from lodestone.llm.common import cut, mix, whole_groups
 
 BITS_A_KEY, HASHES = 10, 5
-#: Bytes that all filters of a cascade may take together, on the driver and in each task.
+#: Bytes that all filters may take together to be broadcast.
 MOST_BYTES = 64 << 20
+#: Keys of a shard, and rows that one partition looks up in a shard's filters that are not broadcast.
+SHARD_KEYS, SHARD_ROWS = 1 << 20, 1 << 20
+#: Levels after which keys are taken to be one and the same, listed and not.
+MOST_LEVELS = 100
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -72,47 +78,39 @@ def _words(keys: int) -> int:
     return max(1, -(-keys * BITS_A_KEY // 64))
 
 
-def _filter(keys: DataFrame, n: int, level: int) -> np.ndarray:
-    """The filter of `keys` (h1, h2): tasks find the bits, Spark ORs them word by word."""
-    size = _words(n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(_places(size, level, batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            word, first = np.unique(at >> np.uint64(6), return_index=True)
-            bits = np.uint64(1) << (at & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array((np.bitwise_or.reduceat(bits, first) if len(first) else bits).view(np.int64))], ["word", "bits"])
-
-    rows = keys.select("h1", "h2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size, np.uint64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def build_cascade(universe: DataFrame, most_bytes: int = MOST_BYTES, most_levels: int = 40) -> Cascade | None:
-    """A cascade over `universe` (h1, h2, listed), whose keys are distinct; None if it would be too large."""
-    n = universe.where("listed").count()
-    wrong, levels = universe.where("listed"), []
-    others = universe.where("NOT listed")
-    while n:
-        if sum(map(len, levels)) * 8 + _words(n) * 8 > most_bytes or len(levels) == most_levels:
-            return None
-        words = _filter(wrong, n, len(levels))
-        passed = _passing(others, words, len(levels))
+def build_cascade(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> Cascade:
+    """The cascade of one shard's distinct keys."""
+    wrong, others, levels = np.flatnonzero(listed), np.flatnonzero(~listed), []
+    while len(wrong):
+        if len(levels) == MOST_LEVELS:
+            raise ValueError("a key is listed and not listed")
+        words = np.zeros(_words(len(wrong)), np.uint64)
+        at = _places(len(words), len(levels), h1[wrong], h2[wrong]).ravel()
+        np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        passed = others[_has(words, len(levels), h1[others], h2[others])]
         levels.append(words)
-        wrong, others = cut(passed), wrong
-        n = wrong.count()
+        wrong, others = passed, wrong
     return Cascade(levels)
 
 
-def _passing(keys: DataFrame, words: np.ndarray, level: int) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(words)
+def cascades(universe: DataFrame, shards: int) -> DataFrame:
+    """(shard, level, words): the filters of `universe` (h1, h2, listed), whose keys are distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_has(shared.value, level, batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+        for found in whole_groups(batches, 1 << 20):
+            shard, h1, h2 = (found.column(c).to_numpy() for c in range(3))
+            listed = found.column(3).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                for n, words in enumerate(build_cascade(h1[a:b], h2[a:b], listed[a:b]).levels):
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([int(shard[a])]), "level": pa.array([n], pa.int32()), "words": pa.array([words.tobytes()], pa.binary())})
+
+    keyed = universe.select(_shard(F.col("h1"), shards).alias("shard"), "h1", "h2", "listed")
+    return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, level int, words binary")
 
-    return keys.select("h1", "h2").mapInArrow(run, "h1 long, h2 long")
+
+def _shard(h1: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(h1), F.lit(shards).cast("long"))
 
 
 def mark_listed(rows: DataFrame, key: str, universe: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -121,23 +119,66 @@ def mark_listed(rows: DataFrame, key: str, universe: DataFrame, most_bytes: int
     Keys enter as two independent 64-bit hashes. A null key is not listed. A column named listed is replaced.
     """
     h1, h2 = F.xxhash64(F.lit(1), F.col(key)), F.xxhash64(F.lit(2), F.col(key))
-    hashed = cut(universe.select(h1.alias("h1"), h2.alias("h2"), "listed"))
-    cascade = build_cascade(hashed, most_bytes)
+    hashed = cut(universe.where(F.col(key).isNotNull()).select(h1.alias("h1"), h2.alias("h2"), "listed"))
+    shards = max(1, -(-hashed.count() // SHARD_KEYS))
+    filters = cut(cascades(hashed, shards))
+    size = filters.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     rows = rows.drop("listed")
-    if cascade is None:
-        listed = universe.where("listed").select(F.col(key).alias("__key"), F.lit(True).alias("listed"))
-        return rows.join(listed, F.col(key) == F.col("__key"), "left").drop("__key").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    shared = rows.sparkSession.sparkContext.broadcast(cascade)
-    source = rows.withColumns({"__h1": h1, "__h2": h2})
-    schema = rows.withColumn("listed", F.lit(True)).schema
+    source = rows.select(*rows.columns, h1.alias("__h1"), h2.alias("__h2"), _shard(h1, shards).alias("__shard"))
+    out = _with_broadcast(source, filters) if size <= most_bytes else _with_streamed(source, filters)
+    return out.withColumn("listed", F.col("listed") & F.col(key).isNotNull())
+
+
+def _with_broadcast(source: DataFrame, filters: DataFrame) -> DataFrame:
+    held: dict[int, list[np.ndarray]] = {}
+    for r in filters.orderBy("shard", "level").collect():  # most_bytes at most
+        held.setdefault(r.shard, []).append(np.frombuffer(r.words, np.uint64))
+    shared = source.sparkSession.sparkContext.broadcast({n: Cascade(levels) for n, levels in held.items()})
+    schema = source.drop("__h1", "__h2", "__shard").withColumn("listed", F.lit(True)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns
-            found = shared.value.listed(batch.column(n - 2).to_numpy(), batch.column(n - 1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found)], [*batch.schema.names[:-2], "listed"])
+            a, b, shard = (batch.column(batch.num_columns - k).to_numpy() for k in (3, 2, 1))
+            listed = np.zeros(batch.num_rows, bool)
+            for n in np.unique(shard).tolist():
+                own = np.flatnonzero(shard == n)
+                if n in shared.value:
+                    listed[own] = shared.value[n].listed(a[own], b[own])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(listed)], schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _with_streamed(source: DataFrame, filters: DataFrame) -> DataFrame:
+    """Rows meet their shard's filters in sorted partitions; a shard of very many rows is cut into parts by the rows' hash."""
+    row = F.struct(*[c for c in source.columns if c not in ("__h1", "__h2", "__shard")])
+    parts = cut(source.groupBy(F.col("__shard").alias("shard")).agg(F.ceil(F.count("*") / SHARD_ROWS).alias("parts")))
+    data = source.select(F.col("__shard").alias("shard"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), row.alias("row")).join(parts, "shard")
+    data = data.select("shard", F.pmod(F.xxhash64("row"), "parts").alias("part"), F.lit(1).alias("kind"), F.lit(0).alias("level"), F.lit(None).cast("binary").alias("words"), "h1", "h2", "row")
+    sent = filters.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    none = F.lit(None).cast("long")
+    sent = sent.select("shard", "part", F.lit(0).alias("kind"), "level", "words", none.alias("h1"), none.alias("h2"), F.lit(None).cast(data.schema["row"].dataType).alias("row"))
+    met = data.unionByName(sent).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "level")
 
-    return source.mapInArrow(run, schema).withColumn("listed", F.col("listed") & F.col(key).isNotNull())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, levels = None, []
+        for batch in batches:
+            shard, part, kind = (batch.column(c).to_numpy() for c in range(3))
+            cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if (shard[a], part[a]) != at:
+                    at, levels = (shard[a], part[a]), []
+                run_of = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    levels += [np.frombuffer(x, np.uint64) for x in run_of.column(4).to_pylist()]
+                else:
+                    listed = Cascade(levels).listed(run_of.column(5).to_numpy(), run_of.column(6).to_numpy())
+                    yield pa.RecordBatch.from_arrays([run_of.column(7), pa.array(listed)], ["row", "listed"])
+
+    from pyspark.sql.types import BooleanType, StructField, StructType
+
+    out = met.mapInArrow(run, StructType([StructField("row", data.schema["row"].dataType), StructField("listed", BooleanType())]))
+    return out.select("row.*", "listed")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:

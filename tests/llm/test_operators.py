@@ -543,15 +543,20 @@ def test_short_texts_at_the_threshold(spark):
 # 10: urls
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize(("most", "keys"), [(1 << 20, 1 << 20), (1 << 20, 500), (8, 500)])
+def test_cascade_is_exact(spark, monkeypatch, most, keys):
+    """One cascade, cascades in shards, and filters that travel to the rows."""
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", keys)
+    monkeypatch.setattr(url_filter, "SHARD_ROWS", 400)
     rows = [(f"host{i}.example", i % 7 == 0) for i in range(3000)]
     universe = spark.createDataFrame(rows, "host string, listed boolean")
-    ask = universe.select("host").union(spark.createDataFrame([(None,)], "host string"))
-    for most in (1 << 20, 8):  # the filters, then the way beyond their size
-        got = {r.host: r.listed for r in url_filter.mark_listed(ask, "host", universe, most).collect()}
-        assert got == dict(rows) | {None: False}
-    none = url_filter.mark_listed(ask, "host", universe.withColumn("listed", F.lit(False)))
-    assert none.where("listed").count() == 0
+    hot = spark.createDataFrame([(None, 0), *((rows[7 * (i % 2)][0], i) for i in range(900))], "host string, n int")
+    ask = universe.select("host", F.lit(-1).alias("n")).union(hot)
+    got = url_filter.mark_listed(ask, "host", universe, most).collect()
+    assert {r.host: r.listed for r in got} == dict(rows) | {None: False}
+    assert sorted((r.host or "", r.n) for r in got) == sorted((r.host or "", r.n) for r in ask.collect())
+    none = url_filter.mark_listed(ask, "host", universe.withColumn("listed", F.lit(False)), most)
+    assert none.where("listed").count() == 0 and none.count() == 3901
 
 
 def test_url_edges(spark):
