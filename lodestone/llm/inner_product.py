@@ -18,6 +18,8 @@ from lodestone.llm.vector_blocks import Q_ROWS, V_ROWS, best, blocks, grid, usab
 #: From this local cosine threshold on, coordinates prune more than lengths; and how many coordinates are used.
 COORDINATE_FROM, FOCUS = 0.6, 4
 SLACK = 1e-9
+#: The threshold of a query that has not found k yet.
+NONE = np.iinfo(np.int64).min
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -35,10 +37,11 @@ def _walk(q_ids: np.ndarray, q: np.ndarray, bodies: list[tuple[float, np.ndarray
     length = np.sqrt((q**2).sum(1))
     unit = q / np.maximum(length, 1e-300)[:, None]
     focus = np.argsort(-np.abs(unit), axis=1)[:, :FOCUS]
-    threshold = np.full(n, -np.inf)
+    threshold = np.full(n, NONE)
     row, vec, product = (np.zeros(0, np.int64) for _ in range(3))
     for top, ids, v in bodies:
-        live = np.flatnonzero(length * top * (1 + SLACK) + SLACK >= threshold)
+        # the bounds are in floating point and a little wide; products and thresholds are whole numbers
+        live = np.flatnonzero((threshold == NONE) | (length * top * (1 + SLACK) + SLACK >= threshold))
         if not len(live):
             break
         size = np.sqrt((v**2).sum(1))
@@ -70,12 +73,12 @@ def _walk(q_ids: np.ndarray, q: np.ndarray, bodies: list[tuple[float, np.ndarray
                     ok = s >= threshold[i]
                     new.append((np.full(int(ok.sum()), i), ids[keep][ok], s[ok]))
         row, vec, product = (np.concatenate([old, *(x[c] for x in new)]) for c, old in enumerate((row, vec, product)))
-        kept = best(row, vec, -product, k)
+        kept = best(row, vec, ~product, k)  # ascending, without overflow
         row, vec, product = row[kept], vec[kept], product[kept]
         count = np.bincount(row, minlength=n)
         lowest = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(lowest, row, product)
-        threshold = np.where(count >= k, lowest.astype(np.float64), -np.inf)
+        threshold = np.where(count >= k, lowest, NONE)
     return q_ids[row], vec, product
 
 

@@ -53,13 +53,18 @@ def _keys(cells: np.ndarray, dims: int, t: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def perturbations(to_wall: np.ndarray, probes: int) -> list[tuple[int, ...]]:
-    """Sets of indices into `to_wall` (sorted squared distances to walls), least sum first, the empty set first."""
+def perturbations(to_wall: np.ndarray, axis: np.ndarray, probes: int) -> list[tuple[int, ...]]:
+    """The empty set and `probes` sets of indices into `to_wall` (sorted squared distances to walls), least sum first.
+
+    `axis` tells which projection each wall belongs to; a set that would move one both ways is passed over. There
+    are fewer sets only if the walls have no more.
+    """
     out: list[tuple[int, ...]] = [()]
     heap = [(float(to_wall[0]), (0,))]
     while heap and len(out) <= probes:
         total, chosen = heapq.heappop(heap)
-        out.append(chosen)
+        if len(set(axis[list(chosen)].tolist())) == len(chosen):
+            out.append(chosen)
         last = chosen[-1]
         if last + 1 < len(to_wall):
             step = float(to_wall[last + 1])
@@ -80,19 +85,13 @@ def probe_keys(q: np.ndarray, dims: int, tables: int, hashes: int, probes: int,
         order = np.argsort(walls, axis=1, kind="stable")
         moved, owner = [], []
         for i in range(len(q)):
-            # sets that move one projection both ways are passed over, so some more are drawn
-            n = 0
-            for chosen in perturbations(walls[i, order[i]], probes * 2):
+            sets = perturbations(walls[i, order[i]], order[i] % hashes, probes)
+            for chosen in sets:
                 walk = order[i, list(chosen)]
-                if len(set((walk % hashes).tolist())) < len(walk):
-                    continue
                 new = cell[i].copy()
                 new[walk % hashes] += np.where(walk < hashes, -1, 1)
                 moved.append(new)
-                n += 1
-                if n > probes:
-                    break
-            owner += [i] * n
+            owner += [i] * len(sets)
         rows.append(np.array(owner, np.int64))
         keys.append(_keys(np.array(moved).reshape(-1, hashes), dims, t))
     return np.concatenate(rows), np.concatenate(keys)

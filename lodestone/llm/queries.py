@@ -127,7 +127,7 @@ WITH lines AS (
   SELECT trim(line) AS line, min(doc_id) AS keeper FROM lines WHERE trim(line) <> ''
   GROUP BY 1 HAVING count(DISTINCT site) >= 10
 ), split AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
+  SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
 ), marked AS (
   SELECT s.doc_id, i.i, s.parts[i.i] AS line, b.line IS NOT NULL AND s.doc_id IS DISTINCT FROM b.keeper AS gone
   FROM split s, unnest(range(1, len(s.parts) + 1)) AS i(i) LEFT JOIN bad b ON trim(s.parts[i.i]) = b.line
@@ -135,6 +135,7 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
        coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS clean_text
 FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 

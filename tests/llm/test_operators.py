@@ -85,8 +85,13 @@ def test_nearest_with_few_candidates_finds_all(spark):
 
 def test_probes_come_in_order_of_their_sums():
     walls = np.sort(np.random.default_rng(2).random(8))
-    sums = [sum(walls[list(s)]) for s in multiprobe.perturbations(walls, 100)]
-    assert sums[0] == 0 and sums == sorted(sums) and len(set(multiprobe.perturbations(walls, 100))) == len(sums)
+    axis = np.random.default_rng(3).permutation(8) % 4
+    sets = multiprobe.perturbations(walls, axis, 60)
+    sums = [sum(walls[list(s)]) for s in sets]
+    assert sums[0] == 0 and sums == sorted(sums) and len(set(sets)) == 61
+    assert all(len({axis[i] for i in s}) == len(s) for s in sets)
+    # each of four projections stays, goes down or goes up
+    assert len(multiprobe.perturbations(walls, axis, 1000)) == 3**4
 
 
 @pytest.mark.parametrize("threshold", [0.0, 0.6, 2.0])
