@@ -10,10 +10,12 @@ only vectors long enough are kept. What is left is verified by its exact product
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.vector_blocks import Q_ROWS, V_ROWS, best, blocks, grid, usable
+from lodestone.llm.common import cut
+from lodestone.llm.vector_blocks import Q_ROWS, V_ROWS, asked, best, blocks, grouped, unpacked, usable
 
 #: From this local cosine threshold on, coordinates prune more than lengths; and how many coordinates are used.
 COORDINATE_FROM, FOCUS = 0.6, 4
@@ -82,6 +84,15 @@ def _walk(q_ids: np.ndarray, q: np.ndarray, bodies: list[tuple[float, np.ndarray
     return q_ids[row], vec, product
 
 
+def _least_norm(q_ids: np.ndarray, q: np.ndarray, row_ids: np.ndarray, score: np.ndarray, k: int) -> float:
+    """The norm that a vector needs to get into any of the queries' first k; 0 if one of them takes any vector."""
+    need = np.inf
+    for i, length in zip(q_ids.tolist(), np.sqrt((q**2).sum(1)).tolist(), strict=True):
+        own = score[row_ids == i]
+        need = min(need, own.min() / length if len(own) >= k and own.min() > 0 else 0.0)
+    return float(need)
+
+
 def top_products(embeddings: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query's k highest products of floor(256 x) vectors: (query_id, rank, vec_id, score), exact.
 
@@ -94,7 +105,29 @@ def top_products(embeddings: DataFrame, queries: DataFrame, k: int = 5, id: str
     def clean(df: DataFrame) -> DataFrame:
         return df.where(usable(vector) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
-    found = grid(blocks(clean(queries), Q_ROWS, integers=True), blocks(clean(embeddings), V_ROWS, integers=True), lambda i, q, b: _walk(i, q, b, k), "long")
+    vectors = cut(grouped(blocks(clean(embeddings), V_ROWS, integers=True)))
+    ask = cut(asked(blocks(clean(queries), Q_ROWS, integers=True)))
+    groups = vectors.groupBy("dims", "g").agg(F.max("top").alias("longest"))
+    head = groups.groupBy("dims").agg(F.max_by("g", F.struct("longest", "g")).alias("g"))
+
+    def walk(need: bool):
+        def run(group: pa.Table) -> pa.Table:
+            q_ids, q, bodies = unpacked(group)
+            a, b, s = _walk(q_ids, q, bodies, k)
+            out = {"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.int64())}
+            if not need:
+                return pa.table(out)
+            rows = pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.StructArray.from_arrays(list(out.values()), list(out)))
+            return pa.table({"block": group.column("block").slice(0, 1), "need": pa.array([_least_norm(q_ids, q, a, s, k)]), "found": rows})
+
+        return run
+
+    # the longest vectors settle how long the others must be; a block of queries meets only groups that long
+    first = ask.join(head, "dims").join(vectors, ["dims", "g"]).groupBy("dims", "g", "block")
+    first = cut(first.applyInArrow(walk(True), "block long, need double, found array<struct<query_id:long,vec_id:long,score:long>>"))
+    left = ask.join(first.select("block", "need"), "block").join(groups.join(head, ["dims", "g"], "left_anti"), "dims").where("longest * (1 + 1e-9) + 1e-9 >= need")
+    rest = left.drop("need", "longest").join(vectors, ["dims", "g"]).groupBy("dims", "g", "block").applyInArrow(walk(False), "query_id long, vec_id long, score long")
+    found = first.select(F.inline("found")).unionByName(rest)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

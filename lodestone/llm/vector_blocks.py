@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,30 +55,41 @@ def blocks(vectors: DataFrame, rows: int, integers: bool = False) -> DataFrame:
 def grid(queries: DataFrame, vectors: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, list[tuple[float, np.ndarray, np.ndarray]]], tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
     """Every query block against every vector block of its length: rows (query_id, vec_id, score).
 
-    Vector blocks are dealt to groups of about BLOCKS_A_GROUP; query blocks go to each group once. The kernel
+    Query blocks go to each group of vector blocks once. The kernel
     gets a query block (ids, matrix) and a group's blocks (top, ids, matrix), largest norm first, and returns
     the few best of each query there, so no pair of vectors ever becomes a row.
     """
-    vectors = cut(vectors.withColumn("n", F.monotonically_increasing_id()))
-    groups = max(1, math.ceil(vectors.count() / BLOCKS_A_GROUP))
-    vectors = vectors.withColumn("g", F.pmod(F.xxhash64("n"), F.lit(groups))).drop("n")
-    queries = queries.withColumn("block", F.monotonically_increasing_id())
-    queries = cut(queries).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    queries = queries.select("dims", "g", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    met = queries.join(vectors, ["dims", "g"])
+    queries, vectors = cut(asked(queries)), cut(grouped(vectors))
+    met = queries.join(vectors.select("dims", "g").distinct(), "dims").join(vectors, ["dims", "g"])
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("top", "descending")])
-        dims = group.column("dims")[0].as_py()
-        bodies = [(t, np.frombuffer(i, "<i8"), np.frombuffer(v, "<f8").reshape(-1, dims)) for t, i, v in zip(*(group.column(c).to_pylist() for c in ("top", "ids", "vectors")), strict=True)]
-        q_ids = np.frombuffer(group.column("q_ids")[0].as_py(), "<i8")
-        q = np.frombuffer(group.column("q_vectors")[0].as_py(), "<f8").reshape(-1, dims)
-        a, b, s = kernel(q_ids, q, bodies)
+        a, b, s = kernel(*unpacked(group))
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.int64() if score == "long" else pa.float64())})
 
     return met.groupBy("dims", "g", "block").applyInArrow(run, f"query_id long, vec_id long, score {score}")
 
 
+def grouped(vectors: DataFrame) -> DataFrame:
+    """Vector blocks with `g`, the group of at most BLOCKS_A_GROUP blocks that follow each other by norm."""
+    n = F.monotonically_increasing_id()  # the partition's number, then the row's in 33 bits
+    place = n.bitwiseAND(F.lit((1 << 33) - 1))
+    return vectors.withColumn("g", n - place + F.floor(place / BLOCKS_A_GROUP))
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """Query blocks (dims, block, q_ids, q_vectors)."""
+    return queries.select("dims", F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+
+
+def unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[float, np.ndarray, np.ndarray]]]:
+    """A query block (ids, matrix) and the vector blocks (top, ids, matrix) that it meets, largest norm first."""
+    group = group.sort_by([("top", "descending")])
+    dims = group.column("dims")[0].as_py()
+    bodies = [(t, np.frombuffer(i, "<i8"), np.frombuffer(v, "<f8").reshape(-1, dims)) for t, i, v in zip(*(group.column(c).to_pylist() for c in ("top", "ids", "vectors")), strict=True)]
+    q = np.frombuffer(group.column("q_vectors")[0].as_py(), "<f8").reshape(-1, dims)
+    return np.frombuffer(group.column("q_ids")[0].as_py(), "<i8"), q, bodies
+
+
 def best(query: np.ndarray, vec: np.ndarray, cost: np.ndarray, k: int) -> np.ndarray:
     """Indices of each query's k rows of least cost, ties to the smaller id, each id once."""
     order = np.lexsort((vec, cost, query))

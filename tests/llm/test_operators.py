@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import agenda, bpe, chat, components, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, queries, simhash, similarity, token_counts, url_filter
+from lodestone.llm import agenda, bpe, chat, components, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, queries, simhash, similarity, token_counts, url_filter, vector_blocks
 from lodestone.llm.common import mix
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,6 +105,29 @@ def test_products_are_exact(spark, threshold, monkeypatch):
         assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
 
 
+def test_products_prune_groups_by_length(spark, monkeypatch):
+    """Norms over several orders of magnitude, in many small groups; and products beyond 2**53."""
+    monkeypatch.setattr(inner_product, "V_ROWS", 8)
+    monkeypatch.setattr(vector_blocks, "BLOCKS_A_GROUP", 2)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6)) * rng.lognormal(0, 1.2, (300, 1)) * 1e4
+    x[7] = x[3]
+    rows = [(i, [float(v) for v in row], "other") for i, row in enumerate(x)] + [(None, [1.0] * 6, "no id")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = inner_product.top_products(df, df.where("vec_id % 50 = 0")).collect()
+    whole = [[math.floor(256 * float(v)) for v in row] for row in x]
+    assert max(abs(a) for v in whole for a in v) ** 2 > 2**53
+    for q in range(0, 300, 50):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_products_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e10] * 4), (50, [1e10] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        inner_product.top_products(df, df).collect()
+
+
 def test_pruned_walk_equals_all_products():
     rng = np.random.default_rng(5)
     v = np.floor(rng.normal(size=(600, 8)) * rng.lognormal(0, 1, (600, 1)) * 256)
