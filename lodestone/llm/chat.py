@@ -7,6 +7,7 @@ backslash between `<` and `|`, which reads back exactly.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,7 @@ def format_chats(conversations: DataFrame, template: dict | None = None) -> Data
     other columns are ignored.
     """
     template = template or TEMPLATE
+    check_template(template)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     steps = F.create_map(*(F.lit(x) for a, role, b in TURNS for x in (f"{a}\n{role}", b)))
@@ -78,17 +80,77 @@ def format_chats(conversations: DataFrame, template: dict | None = None) -> Data
     return out.withColumn("formatted", text).withColumn("valid", F.col("state").isin(ENDS))
 
 
-def parse_chats(formatted: Column) -> Column:
-    """array<struct<role, text>>: the turns of a formatted text, read back."""
-    bodies = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2**31 - 2)
+def _layout(parts: list[tuple[str, bool]]) -> tuple[str, str, str, str, bool]:
+    """What stands before the role, between role and text (or before the text), after the text; and if there is a role."""
+    names = [w for w, _ in parts]
+    if names.count(TEXT) != 1 or names.count(ROLE) > 1 or ROLE in names[names.index(TEXT) :]:
+        raise ValueError("a template's entry has one text, and at most one role before it")
+    at = names.index(TEXT)
+    r = names.index(ROLE) if ROLE in names else -1
+    head, middle, tail = "".join(names[: max(r, 0)]), "".join(names[r + 1 : at]), "".join(names[at + 1 :])
+    return names[0], head if r >= 0 else "", middle, tail, r >= 0
+
+
+def check_template(template: dict) -> str:
+    """The string that opens every turn; an error if a formatted text could not be read back.
+
+    Escapes protect strings that begin with `<|` and, in roles, line feeds. So all entries open with one and the same such
+    string, which stands nowhere else in them; what follows a text begins with another one; what follows a role
+    begins with a line feed or `<|`; the entry for all other roles names the role; and the others name theirs at the
+    same place, or begin with a control string of their own.
+    """
+    opens = {_layout(p)[0] for p in template.values()}
+    if len(opens) != 1 or not (first := opens.pop()).startswith("<|"):
+        raise ValueError("all entries must open with one control string")
+    for role, parts in template.items():
+        _, _, middle, tail, has_role = _layout(parts)
+        if not tail.startswith("<|") or sum(w.count(first) for w, _ in parts) != 1:
+            raise ValueError("a text must be closed by a control string, and the opening one stand once")
+        if has_role and not middle.startswith(("\n", "<|")):
+            raise ValueError("a role must end with a line feed or a control string")
+        if role is None and not has_role:
+            raise ValueError("the entry for all other roles must name the role")
+    if None not in template:
+        raise ValueError("there must be an entry for all other roles")
+    general = _layout(template[None])[1].removeprefix(first)
+    for role, parts in template.items():
+        _, head, middle, _, has_role = _layout(parts)
+        own = (head if has_role else middle).removeprefix(first)
+        apart = own.startswith("<|") and not own.startswith(general or "\n") and not general.startswith(own)
+        if role is not None and not apart and not (has_role and own == general):
+            raise ValueError("what follows the opening string must tell an entry from the one for all other roles")
+    return first
+
+
+def parse_chats(formatted: Column, template: dict | None = None) -> Column:
+    """array<struct<role, text>>: the turns of a text that format_chats made with this template, read back."""
+    template = template or TEMPLATE
+    first = check_template(template)
+    bodies = F.slice(F.split(formatted, re.sub(r"([^\w])", r"\\\1", first)), 2, 2**31 - 2)
 
     def turn(body: Column) -> Column:
-        head = F.instr(body, "\n")
-        # what follows the text is the closing string and a line feed
-        return F.struct(
-            unescape_role(F.substr(body, F.lit(1), head - 1)).alias("role"),
-            unescape(F.substr(body, head + 1, F.length(body) - head - (len(CLOSE) + 1))).alias("text"),
-        )
+        def taken(role: str | None, parts: list[tuple[str, bool]]) -> Column:
+            _, head, middle, tail, has_role = _layout(parts)
+            head, middle = head.removeprefix(first), middle if has_role else middle.removeprefix(first)
+            if not has_role:
+                name, start = F.lit(role), F.lit(len(middle) + 1)
+            elif role is not None:
+                name, start = F.lit(role), F.length(escape_role(F.lit(role))) + len(head) + len(middle) + 1
+            else:
+                # the role has no line feed and no control string, so it ends where the middle begins
+                end = F.locate(middle, body, len(head) + 1)
+                name, start = unescape_role(F.substr(body, F.lit(len(head) + 1), end - 1 - len(head))), end + len(middle)
+            text = F.substr(body, start, F.length(body) - start + 1 - len(tail))
+            return F.struct(name.alias("role"), unescape(text).alias("text"))
+
+        def opening(role: str, parts: list[tuple[str, bool]]) -> Column:
+            _, head, middle, _, has_role = _layout(parts)
+            if not has_role:
+                return F.lit(middle.removeprefix(first))
+            return F.concat(F.lit(head.removeprefix(first)), escape_role(F.lit(role)), F.lit(middle))
+
+        named = [(role, parts) for role, parts in template.items() if role is not None]
+        return reduce(lambda other, x: F.when(F.startswith(body, opening(*x)), taken(*x)).otherwise(other), named, taken(None, template[None]))
 
     return F.transform(bodies, turn)
 

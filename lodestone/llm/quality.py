@@ -1,6 +1,6 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed words and character n-grams; a linear layer and a
+A document is the mean of learned vectors of its hashed words, pairs of words and character n-grams; a linear layer and a
 softmax over two classes follow. Training is plain stochastic gradient descent in numpy over a bounded sample
 of labelled rows. As both layers are linear, the trained model folds into one number for each bucket (the
 vector's share of the log odds), so scoring a text is a gather and a mean.
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import codepoints, mix, runs, segment_hashes
@@ -21,21 +21,21 @@ from lodestone.llm.common import codepoints, mix, runs, segment_hashes
 BITS = 18
 BUCKETS = 1 << BITS
 NGRAMS = (3, 4)
-REPEATED = 0
 DIM = 16
 EPOCHS = 6
 RATE = 0.5
-#: Documents that training reads at most, however many are labelled: those with the lowest hash of their id.
-MAX_TRAIN = 3000
+#: Documents that training reads at most, however many are labelled: those with the lowest hash of their id; and
+#: distinct features of all of them together (8 bytes each), so that long texts can't fill the driver.
+MAX_TRAIN, MAX_FEATURES = 3000, 12_000_000
 WHITE = np.array([*range(9, 14), 32, 0x85, 0xA0], np.uint32)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (buckets, texts they belong to) for words, each n of the n-grams, and repeated words.
+    """Pairs (buckets, texts they belong to) for words, each n of the n-grams, and pairs of neighbouring words.
 
-    N-grams hold white space at their ends only, as word boundaries. A word that equals the one before it
-    adds a feature of its own, the same for all words.
+    N-grams hold white space at their ends only, as word boundaries. Pairs of words have no order: their hash is
+    that of both words' hashes combined by XOR, so all pairs of a word with itself share a bucket.
     """
     codes, bounds = codepoints(texts)
     if not len(codes):
@@ -62,8 +62,9 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     solid = ~white[starts]
     words, owner = hashes[solid], doc[starts[solid]]
     out.append(((words >> np.uint64(64 - BITS)).astype(np.int32), owner))
-    again = owner[1:][(words[1:] == words[:-1]) & (owner[1:] == owner[:-1])]
-    out.append((np.full(len(again), REPEATED, np.int32), again))
+    same = owner[1:] == owner[:-1]
+    pairs = mix((words[1:] ^ words[:-1])[same] + _STEPS[0])
+    out.append(((pairs >> np.uint64(64 - BITS)).astype(np.int32), owner[1:][same]))
     return out
 
 
@@ -120,11 +121,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     return Model((vectors @ odds).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
     """Fit on at most `max_rows` labelled documents; executors turn texts into counts of buckets.
 
     Rows with a null label or id are left out; of repeated ids the lowest label counts; repeated rows of
-    `docs` all count. What comes to the driver is bounded by max_rows times the number of buckets.
+    `docs` all count. In the order of their ids' hashes, documents are taken as long as they have `max_features`
+    distinct features or fewer together, which bounds what comes to the driver.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("__label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -139,7 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
                 yield pa.RecordBatch.from_arrays(row, ["doc_id", "label", "buckets", "counts"])
 
     counted = source.mapInArrow(count, source.select("doc_id").schema.add("label", "integer").add("buckets", "binary").add("counts", "binary"))
-    rows = counted.orderBy(F.xxhash64("doc_id"), "doc_id", "buckets", "counts").limit(max_rows).collect()
+    order = (F.xxhash64("doc_id"), "doc_id", "buckets", "counts")
+    first = counted.orderBy(*order).limit(max_rows)  # a bounded sample, in one partition
+    so_far = F.sum(F.octet_length("buckets") / 4).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = first.withColumn("so_far", so_far).where(F.col("so_far") <= max_features).drop("so_far").collect()
     bags = []
     for r in rows:
         n = np.frombuffer(r.counts, "<i4").astype(np.float32)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import agenda, bpe, chat, components, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, queries, simhash, similarity, token_counts, url_filter, vector_blocks
-from lodestone.llm.common import mix
+from lodestone.llm.common import mix, segment_hashes
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -215,6 +215,38 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.where("turn < 0")).count() == 0
 
 
+OTHER_TEMPLATES = [
+    {"assistant": [("<|bot|>", False), ("<|me|>", False), (chat.TEXT, True), ("<|end|>", True)], None: [("<|bot|>", False), ("<|as|>", False), (chat.ROLE, False), ("<|says|>", False), (chat.TEXT, False), ("<|end|>", False), ("\n\n", False)]},
+    {None: [("<|t|>", False), ("* ", False), (chat.ROLE, True), ("\n", False), ("> ", False), (chat.TEXT, True), ("<|/t|>", False)]},
+    {"user": [("<|t|>", False), (chat.ROLE, False), ("\nQ: ", False), (chat.TEXT, False), ("<|x|>", False)], None: [("<|t|>", False), (chat.ROLE, False), ("\n", False), (chat.TEXT, True), ("<|x|>", False)]},
+]
+
+
+@pytest.mark.parametrize("n", range(3))
+def test_other_templates_read_back(spark, n):
+    said = ["plain", "", "<|t|> <|bot|><|end|>x", "a\n> b <\\|says|>", "long " * 20000]
+    turns = [(c, i, role, text, "clash") for c, text in enumerate(said) for i, role in enumerate(("system", "user", "assistant", "t%\n<|as|>"))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, state string")
+    out = chat.format_chats(df, OTHER_TEMPLATES[n]).withColumn("turns", chat.parse_chats(F.col("formatted"), OTHER_TEMPLATES[n])).collect()
+    assert len(out) == len(said)
+    for r in out:
+        assert [(t.role, t.text) for t in r.turns] == [(t[2], t[3]) for t in turns if t[0] == r.conv_id]
+        assert r.formatted == "".join(s.text for s in r.segments)
+
+
+def test_entries_that_look_alike_are_errors():
+    general = [("<|t|>", False), (chat.ROLE, False), ("\n", False), (chat.TEXT, False), ("<|x|>", False)]
+    for own in ([("<|t|>", False), (chat.TEXT, True), ("<|x|>", False)], [("<|t|>", False), ("Q: ", False), (chat.ROLE, False), ("\n", False), (chat.TEXT, False), ("<|x|>", False)]):
+        with pytest.raises(ValueError):
+            chat.check_template({None: general, "user": own})
+
+
+@pytest.mark.parametrize("parts", [[(chat.ROLE, False), (chat.TEXT, False), ("<|x|>", False)], [("<|t|>", False), (chat.ROLE, False), ("\n", False), (chat.TEXT, False), ("end", False)], [("<|t|>", False), (chat.ROLE, False), (": ", False), (chat.TEXT, False), ("<|x|>", False)], [("<|t|>", False), (chat.TEXT, False), ("<|x|>", False)]])
+def test_templates_that_cannot_be_read_back_are_errors(parts):
+    with pytest.raises(ValueError):
+        chat.check_template({None: parts})
+
+
 def test_chat_digest(spark, data):
     r = [x for x in queries.op4_chat_formatting(spark, data).collect() if x.conv_id == -1][0]
     text = queries.TRICKY
@@ -236,6 +268,61 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.1
 
 
+def test_scores_equal_plain_python(spark):
+    """Every text of the small table and the odd ones, feature by feature."""
+    golden, shift, word_hash = 1 << 64, 64 - quality.BITS, {}
+
+    def words_of(text):
+        out, here = [], ""
+        for c in text + " ":
+            if ord(c) in quality.WHITE:
+                if here:
+                    out.append(here)
+                here = ""
+            else:
+                here += c
+        return out
+
+    def hashed(word):
+        if word not in word_hash:
+            codes = np.array(list(map(ord, word)), np.uint32)
+            word_hash[word] = int(segment_hashes(codes, np.array([0]), np.array([len(codes)]))[0])
+        return word_hash[word]
+
+    def mixed(x):
+        return int(mix(np.array([x % golden], np.uint64))[0]) >> shift
+
+    rng = np.random.default_rng(0)
+    model = quality.Model(rng.normal(size=quality.BUCKETS).astype(np.float32), 0.25)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()] + [t or "" for t in ODD if len(t or "") < 2000]
+    steps = [int(x) for x in quality._STEPS]
+    grams = {}
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        found = []
+        plain = "".join(" " if ord(c) in quality.WHITE else c for c in text)
+        for n in quality.NGRAMS:
+            for i in range(len(plain) - n + 1):
+                gram = plain[i : i + n]
+                if " " not in gram[1:-1]:
+                    if gram not in grams:
+                        grams[gram] = mixed(n + sum(ord(c) * s for c, s in zip(gram, steps, strict=False)))
+                    found.append(grams[gram])
+        own = words_of(text)
+        found += [hashed(w) >> shift for w in own]
+        found += [mixed((hashed(a) ^ hashed(b)) + steps[0]) for a, b in zip(own, own[1:], strict=False)]
+        odds = 0.25 + (float(np.mean(model.weight[found].astype(np.float64))) if found else 0.0)
+        assert abs(got - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
+def test_training_stays_within_its_bounds(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    whole, part = quality.train(docs, labels), quality.train(docs, labels, max_features=5000)
+    few = quality.train(docs, labels, max_rows=3)
+    assert np.count_nonzero(whole.weight != part.weight) and np.count_nonzero(part.weight != few.weight)
+    assert quality.train(docs, labels, max_features=10).weight.any() == False  # noqa: E712  nothing fits
+
+
 def test_quality_edges(spark):
     docs = odd_docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
