@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -14,15 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one where it names none and all runs in
+    one process (tests); else an error, as executors don't see each other's folders.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
+    """A reliable checkpoint in the shared folder.
 
-    Only where the cluster names none (a local session, tests) a temporary folder is set.
+    With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes it once the result is out of use.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ck-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
