@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one on a single machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not shared and not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-scratch-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(rows: DataFrame) -> DataFrame:
