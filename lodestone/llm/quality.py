@@ -92,7 +92,7 @@ class Model:
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 1) -> Model:
-    """Train on (buckets, shares) of each document. Without both classes the prior is all that is learnt."""
+    """Train on (buckets, counts) of each document. Without both classes the prior is all that is learnt."""
     ones = int(labels.sum())
     prior = float(np.log((ones + 1) / (len(labels) - ones + 1))) if len(labels) else 0.0
     if not 0 < ones < len(labels):
@@ -106,7 +106,8 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
         for i in rng.permutation(len(bags)):
             rate = RATE * (1 - step / total)
             step += 1
-            buckets, share = bags[i]
+            buckets, counts = bags[i]
+            share = counts.astype(np.float32) / max(1, int(counts.sum()))
             hidden = share @ vectors[buckets]
             logits = hidden @ out + bias
             p = np.exp(logits - logits.max())
@@ -144,12 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     order = (F.xxhash64("doc_id"), "doc_id", "buckets", "counts")
     first = counted.orderBy(*order).limit(max_rows)  # a bounded sample, in one partition
     so_far = F.sum(F.octet_length("buckets") / 4).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = first.withColumn("so_far", so_far).where(F.col("so_far") <= max_features).drop("so_far").collect()
-    bags = []
-    for r in rows:
-        n = np.frombuffer(r.counts, "<i4").astype(np.float32)
-        bags.append((np.frombuffer(r.buckets, "<i4"), n / max(1.0, float(n.sum()))))
-    return fit(bags, np.array([r.label for r in rows], np.int64))
+    rows = first.withColumn("so_far", so_far).where(F.col("so_far") <= max_features).select("label", "buckets", "counts").toArrow()
+    # views of Arrow's own buffers, so that the sample is held once
+    bags = [tuple(np.frombuffer(x.as_buffer(), "<i4") for x in pair) for pair in zip(rows.column("buckets"), rows.column("counts"), strict=True)]
+    return fit(bags, rows.column("label").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
