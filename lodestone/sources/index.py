@@ -24,6 +24,11 @@ def _folder(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 class KeywordIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -54,7 +59,7 @@ class KeywordIndex:
         for it, read by all later ones. Tables that change need a new name.
         """
         key = (spark.sparkContext.applicationId, name)
-        if key not in _BUILT:
+        if key not in _BUILT or not _exists(spark, f"{_BUILT[key]}/stats/_SUCCESS"):  # scratch folders may be cleared
             _BUILT[key] = cls.temporary(spark, docs, tokens).root
         return cls(spark, _BUILT[key])
 
