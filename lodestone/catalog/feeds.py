@@ -127,7 +127,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
 
 
-@query()
+@query("SELECT DISTINCT event_id, user_id FROM events")
 def live_new_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming: newest records as they come, each once though polled again."""
     from lodestone.streaming import jobs

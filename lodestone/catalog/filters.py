@@ -125,6 +125,18 @@ def messages_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).where(listing.after_message(1704067500, "m/5/0")).orderBy("created_s", "uri").limit(50).select("uri", "created_s")
 
 
+@query(f"""WITH {MEMORIES_SQL}, t AS (SELECT max(created_at) - INTERVAL 10 MINUTE AS seen FROM mem),
+page AS (SELECT id, author, created_at, rkey FROM mem CROSS JOIN t WHERE created_at < seen ORDER BY created_at DESC, author DESC, rkey DESC LIMIT 25),
+came AS (SELECT id, author FROM mem ORDER BY created_at DESC, author DESC, rkey DESC LIMIT 25)
+SELECT id, author, false AS fresh FROM page UNION ALL SELECT id, author, true FROM came WHERE id NOT IN (SELECT id FROM page)""")
+def list_prepend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page read ten minutes ago, with what a poll brings now in front of it."""
+    m = memories(spark, sf_dir)
+    at = F.broadcast(m.agg((F.max("created_at") - F.expr("INTERVAL 10 MINUTES")).alias("at")))  # one row
+    page = listing.newest_first(m.crossJoin(at).where("created_at < at"), 25).select("id", "author")
+    return listing.prepend(page, listing.newest_first(m, 25).select("id", "author"), "id")
+
+
 @query("SELECT author, count(*) AS nodes FROM (SELECT source AS author FROM documents) GROUP BY author")
 def author_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).groupBy("author").agg(F.count("*").alias("nodes"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.catalog.keyword import BM25_SQL, TERMS, index
+from lodestone.catalog.keyword import BM25_SQL, FILLER, TERMS, index
 from lodestone.catalog.registry import query
 from lodestone.catalog.vectors import CODE_SQL, DIST_SQL, Q_SQL, SIM_SQL, codes, query_vector
-from lodestone.operators import filters
+from lodestone.operators import filters, keyword
 from lodestone.operators import vector_search as S
 from lodestone.plans import search
 from lodestone.sources.tables import MEMORIES_SQL, memories, table, tombstones
@@ -65,6 +65,22 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "author", "text").join(F.broadcast(view), "id").select("id", "similarity", "keyword", "fused", "author", "text")  # ten rows
 
 
+@query(f"""WITH {UNION_SQL}, {FUSE_SQL}, page AS (SELECT id, sim, kw, fused FROM fused ORDER BY fused DESC, id LIMIT 20),
+i AS (SELECT id, term, round(ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM leaf CROSS JOIN stats WHERE id IN (SELECT id FROM page)),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY idf DESC, term) AS rn, max(CASE WHEN idf >= 0.4 THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS strong FROM i),
+w AS (SELECT id, string_agg(term, ' ' ORDER BY rn) AS terms, min_by(term, rn) AS first FROM m WHERE idf >= 0.4 OR (strong = 0 AND rn = 1) GROUP BY id),
+r AS (SELECT *, CASE WHEN sim IS NOT NULL THEN row_number() OVER (PARTITION BY sim IS NOT NULL ORDER BY sim DESC, fused DESC, id) END AS vr, CASE WHEN kw > 0 THEN row_number() OVER (PARTITION BY kw > 0 ORDER BY kw DESC, fused DESC, id) END AS kr FROM page),
+x AS (SELECT r.*, text, w.terms, instr(lower(text), w.first) AS pos, greatest(1, instr(lower(text), w.first) - 50) AS start FROM r JOIN documents ON doc_id = r.id LEFT JOIN w ON w.id = r.id)
+SELECT id, fused, CAST(vr AS INTEGER) AS vector_rank, CASE WHEN sim IS NOT NULL THEN CAST(floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, sim)) * 1000.0::DOUBLE) AS INTEGER) END AS similarity,
+CAST(kr AS INTEGER) AS keyword_rank, CASE WHEN kw > 0 THEN CAST(round(kw * 100) AS INTEGER) END AS score, CASE WHEN kw > 0 THEN terms END AS terms,
+CASE WHEN kw > 0 AND pos > 0 THEN CASE WHEN start > 1 THEN '…' ELSE '' END || trim(substr(text, start, 200)) || CASE WHEN start + 199 < length(text) THEN '…' ELSE '' END END AS snippet FROM x""")
+def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of hybrid hits with what either side has to say for each."""
+    page = search.fuse_convex(_candidates(spark, sf_dir), 20)
+    terms = keyword.strongest(index(spark, sf_dir).hits(TERMS), FILLER)
+    return search.explain(page, terms, memories(spark, sf_dir))
+
+
 @query("""WITH l AS (SELECT 's' || (event_id % 3) AS space, CASE event_id % 3 WHEN 0 THEN 'vector' ELSE 'hybrid' END AS mode, 'u' || user_id AS uri, max(value) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),
 p AS (SELECT space, mode, uri, round(v / 100, 6) AS sim, row_number() OVER (PARTITION BY space ORDER BY v DESC, uri) AS pos FROM l),
 s AS (SELECT *, round(1.0::DOUBLE / (60 + pos), 6) AS score FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY score DESC, sim DESC, space) AS n FROM s),
@@ -79,4 +95,5 @@ def merge_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("event_id") % 3 == 0, "vector").otherwise("hybrid")
     best = e.groupBy(space.alias("space"), mode.alias("mode"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uri")).agg(F.max("value").alias("v"))
     lists = best.select("space", "mode", "uri", F.round(F.col("v") / 100, 6).alias("sim"), F.row_number().over(Window.partitionBy("space").orderBy(F.desc("v"), "uri")).alias("pos"))
-    return search.merge_spaces(lists, 30)
+    # a place beyond the 30th has 30 better ones in its own list
+    return search.merge_spaces(lists.where("pos <= 30"), 30)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
-from lodestone.functions.scores import EXACT_LENGTHS, W_PART_STEM, W_PARTS, idf, length_array, length_code
+from lodestone.functions.scores import EXACT_LENGTHS, W_PART_STEM, W_PARTS, length_array, length_code
 from lodestone.operators import filters, keyword
 from lodestone.sources.index import KeywordIndex
 from lodestone.sources.tables import MEMORIES_SQL, memories, placed, spread, tombstones
@@ -186,8 +186,4 @@ def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that explain a hit, strongest first: common and filler words only if nothing else matched."""
     s = keyword.term_scores(docs(spark, sf_dir), tokens(), TERMS)
     n = F.broadcast(keyword.corpus_stats(docs(spark, sf_dir), tokens()).select("n"))  # one row
-    w = F.round(idf(F.col("n"), F.col("df")), 6)
-    held = s.crossJoin(n).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-w).alias("w"), "term"))).alias("t"))
-    strong = F.filter("t", lambda x: (x["w"] <= -0.4) & ~x["term"].isin(FILLER))
-    best = F.when(F.size(strong) > 0, strong).otherwise(F.slice("t", 1, 1))
-    return held.select("id", F.array_join(F.transform(best, lambda x: x["term"]), " ").alias("terms"))
+    return keyword.strongest(s.crossJoin(n), FILLER).select("id", F.array_join("terms", " ").alias("terms"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
-from lodestone.operators import feeds, filters
+from lodestone.operators import feeds, filters, running
 from lodestone.sources.store import missing_embeddings
 from lodestone.sources.tables import MEMORIES_SQL, events, memories, placed, table, tombstones
 
@@ -128,7 +128,7 @@ def uncovered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT space, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE n <= 50) AS taken, count(*) FILTER (WHERE n > 50) AS held FROM w GROUP BY ALL""")
 def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select((F.col("user_id") % 5).alias("space"), F.to_date("ts").alias("day"), "ts", "event_id")
-    q = feeds.daily_quota(e, 50, ["ts", "event_id"])
+    q = feeds.daily_quota(e, 50, ["ts", "event_id"], F.date_trunc("minute", F.col("ts")))
     return q.groupBy("space", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count_if(~F.col("held")).alias("taken"), F.count_if(F.col("held")).alias("held"))
 
 
@@ -136,9 +136,8 @@ def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT space, count(*) FILTER (WHERE total <= 200000 AND n <= 300) AS taken, coalesce(min(doc_id) FILTER (WHERE total > 200000 OR n > 300), -1) AS held_from FROM r GROUP BY space""")
 def limit_holdback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes of a space in order until its bytes or count are over the limit; from there on they are held."""
-    w = Window.partitionBy("space").orderBy("doc_id")
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("space"), "doc_id", F.octet_length("text").cast("long").alias("size"))
-    d = d.withColumn("total", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.row_number().over(w))
+    d = running.running(d, ["space"], ["doc_id"], running.id_range("doc_id"), {"total": "size"})
     fits = (F.col("total") <= 200000) & (F.col("n") <= 300)
     return d.groupBy("space").agg(F.count_if(fits).alias("taken"), F.coalesce(F.min(F.when(~fits, F.col("doc_id"))), F.lit(-1)).alias("held_from"))
 
@@ -232,3 +231,25 @@ FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id GROUP BY 1""")
 def model_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change between two models: for each author what has the new model's vector, what lacks it, and who is done."""
     return feeds.model_progress(memories(spark, sf_dir, vectors=True), F.col("embedding").isNotNull(), "author")
+
+
+RESYNC_SQL = """f AS (SELECT event_id % 20 AS space, event_id // 20 AS rev, user_id AS path, event_type, {'op': CASE WHEN event_id % 7 = 0 THEN 'delete' ELSE 'upsert' END, 'value': CAST(value AS DOUBLE)} AS x FROM events),
+got AS (SELECT * FROM f WHERE NOT (event_type = 'error' AND space < 5)),
+lost AS (SELECT DISTINCT space FROM (SELECT space, rev, lag(rev) OVER (PARTITION BY space ORDER BY rev) AS before FROM got) WHERE rev > before + 1),
+last AS (SELECT space, path, max_by(x, rev) AS x FROM got WHERE space NOT IN (SELECT space FROM lost) GROUP BY ALL),
+snap AS (SELECT space, path, max_by(x, rev) AS x FROM f WHERE space IN (SELECT space FROM lost) GROUP BY ALL),
+st AS (SELECT c_custkey % 20 AS space, c_custkey AS path, CAST(c_acctbal AS DOUBLE) AS value FROM customer)"""
+
+
+@query(f"""WITH {RESYNC_SQL} SELECT space, path, value FROM st WHERE space NOT IN (SELECT space FROM lost) AND (space, path) NOT IN (SELECT (space, path) FROM last)
+UNION ALL SELECT space, path, x.value FROM last WHERE x.op = 'upsert' UNION ALL SELECT space, path, x.value FROM snap WHERE x.op = 'upsert'""")
+def feed_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spaces after their feeds' changes; those whose feed has lost some take the snapshot of the other side instead."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_id") % 7 == 0, "delete").otherwise("upsert")
+    sent = e.select((F.col("event_id") % 20).alias("space"), F.expr("event_id div 20").alias("rev"), F.col("user_id").alias("path"), op.alias("op"), F.col("value").cast("double").alias("value"), "event_type")
+    received = sent.where(~((F.col("event_type") == "error") & (F.col("space") < 5)))
+    c = table(spark, sf_dir, "customer")
+    stored = c.select((F.col("c_custkey") % 20).alias("space"), F.col("c_custkey").alias("path"), F.col("c_acctbal").cast("double").alias("value"))
+    changes, whole = (feeds.latest(x, ["space", "path"], ["rev"], ["op", "value"]) for x in (received, sent))
+    return feeds.resync(stored, changes, whole.where("op = 'upsert'"), feeds.gaps(received, "space", "rev"), "space")

@@ -62,7 +62,7 @@ def embed_text(prefix: str, text: Column, tags: Column, most: int = 24000) -> Co
     return F.when(F.size(tags) > 0, F.concat(body, F.lit("\n\nTags: "), F.array_join(tags, ", "))).otherwise(body)
 
 
-def snippet(text: Column, term: str, width: int = 200) -> Column:
+def snippet(text: Column, term: str | Column, width: int = 200) -> Column:
     """A window of `width` characters that starts a quarter of it before the term; null without the term."""
     at = F.instr(F.lower(text), term)
     start = F.greatest(F.lit(1), at - width // 4)

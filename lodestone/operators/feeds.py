@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.running import SPAN, id_range, preceding, running
+
 
 def latest(changes: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The last change of each key: one aggregation with a partial maximum, so a hot key gathers nowhere."""
@@ -45,23 +47,36 @@ def removed(known: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return known.join(listed.select(key), key, "left_anti")
 
 
-def gaps(feed: DataFrame, key: str, rev: str) -> DataFrame:
+def gaps(feed: DataFrame, key: str, rev: str, span: int = SPAN) -> DataFrame:
     """Rows whose revision does not follow the one before it."""
-    before = F.lag(rev).over(Window.partitionBy(key).orderBy(rev))
-    return feed.withColumn("before", before).where(F.col("before").isNotNull() & (F.col(rev) > F.col("before") + 1))
+    held = preceding(feed, [key], rev, id_range(rev, span))
+    return held.where(F.col("before").isNotNull() & (F.col(rev) > F.col("before") + 1))
+
 
+def resync(stored: DataFrame, changes: DataFrame, snapshot: DataFrame, gapped: DataFrame, space: str) -> DataFrame:
+    """`stored` (space, path, value) after `changes` (space, path, op, value), the last of each path.
+
+    A space whose feed has skipped revisions (`gapped`) can't be trusted to its changes: its rows are those of the snapshot.
+    """
+    lost = gapped.select(space).distinct()
+    whole = changes.join(lost, space, "left_anti")
+    kept = stored.join(lost, space, "left_anti").join(whole.select(space, "path"), [space, "path"], "left_anti")
+    columns = [space, "path", "value"]
+    return kept.select(*columns).unionByName(whole.where("op = 'upsert'").select(*columns)).unionByName(snapshot.join(lost, space, "left_semi").select(*columns))
 
-def daily_quota(writes: DataFrame, limit: int, order: Sequence[str]) -> DataFrame:
-    """Which writes of a (space, day) fit the limit, in order; later ones are held back."""
-    n = F.row_number().over(Window.partitionBy("space", "day").orderBy(*order))
-    return writes.withColumn("n", n).withColumn("held", F.col("n") > limit)
 
+def daily_quota(writes: DataFrame, limit: int, order: Sequence[str], bucket: Column) -> DataFrame:
+    """Which writes of a (space, day) fit the limit, in order; later ones are held back. `bucket` never falls along the order."""
+    return running(writes, ["space", "day"], order, bucket).withColumn("held", F.col("n") > limit)
 
-def over_budget(entries: DataFrame, budget: int, last_used: str, size: str, id: str, part: str) -> DataFrame:
-    """Least recently used entries beyond the budget of each part; the most recent one always stays."""
-    w = Window.partitionBy(part).orderBy(F.desc(last_used), F.desc(id))
-    total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return entries.withColumn("n", F.row_number().over(w)).withColumn("total", total).where((F.col("n") > 1) & (F.col("total") > budget))
+
+def over_budget(entries: DataFrame, budget: int, last_used: str, size: str, id: str, part: str, span: int = 1) -> DataFrame:
+    """Least recently used entries beyond the budget of each part; the most recent one always stays.
+
+    `last_used` is a number; `span` of its units make a bucket.
+    """
+    held = running(entries, [part], [F.desc(last_used), F.desc(id)], -F.floor(F.col(last_used) / span), {"total": size})
+    return held.where((F.col("n") > 1) & (F.col("total") > budget))
 
 
 def merge_inputs(segments: DataFrame, most: int = 8, dead_ratio: float = 0.25) -> DataFrame:

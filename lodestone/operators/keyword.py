@@ -146,3 +146,14 @@ def tree_scores(leaves: DataFrame) -> DataFrame:
     alt = part.groupBy("id", "grp", "alt", "alt_weight").agg(F.sum("s").alias("s"))
     group = alt.groupBy("id", "grp").agg(F.max(F.col("alt_weight") * F.col("s")).alias("s"))
     return group.groupBy("id").agg(F.round(F.sum("s"), 6).alias("kw")).where("kw > 0")
+
+
+def strongest(hits: DataFrame, filler: Sequence[str], least: float = 0.4) -> DataFrame:
+    """(id, terms) from hits (id, term, n, df): the terms that explain a hit, strongest first.
+
+    Common and filler words only stand, the best of them, where nothing else matched.
+    """
+    w = F.round(idf(F.col("n"), F.col("df")), 6)
+    held = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-w).alias("w"), "term"))).alias("t"))
+    strong = F.filter("t", lambda x: (x["w"] <= -least) & ~x["term"].isin(*filler))
+    return held.select("id", F.when(F.size(strong) > 0, strong).otherwise(F.slice("t", 1, 1))["term"].alias("terms"))

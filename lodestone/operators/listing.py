@@ -18,6 +18,12 @@ def before_key(created_us: int, author: str, rkey: str) -> Column:
     return (c <= at) & ((c < at) | (F.col("author") < author) | ((F.col("author") == author) & (F.col("rkey") < rkey)))
 
 
+def prepend(page: DataFrame, arrived: DataFrame, key: str) -> DataFrame:
+    """A page with what has come since in front of it, each key once: `fresh` marks what the page lacked."""
+    new = arrived.join(F.broadcast(page.select(key)), key, "left_anti").select(*page.columns)  # a page at most
+    return new.withColumn("fresh", F.lit(True)).unionByName(page.withColumn("fresh", F.lit(False)))
+
+
 def encode_cursor(created: Column, author: Column, rkey: Column) -> Column:
     return F.concat_ws("~", F.unix_micros(created).cast("string"), author, rkey)
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scores import convex, d, rrf
+from lodestone.functions.text import snippet
 from lodestone.operators import keyword
 from lodestone.operators import vector_search as S
+from lodestone.operators.filters import view_similarity
 
 
 def mode_of(query: str | None, vector: Sequence[float] | None, mode: str | None, has_model: bool = True) -> str:
@@ -67,6 +69,31 @@ def fuse_rrf(cands: DataFrame, limit: int) -> DataFrame:
     return both.withColumn("fused", F.round(rrf(F.col("vector_rank"), F.col("keyword_rank")), 6)).orderBy(F.desc("fused"), "id").limit(limit)
 
 
+def explain(page: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """Why each hit of a page (id, sim, kw, fused) is there: its place on the page by either score, both scores, the
+    matched terms (`terms`: id, terms) and a piece of the text around the strongest.
+
+    A side that has no score for the hit says nothing; ties keep the page's order.
+    """
+    r = page  # a page is at most a few hundred rows
+    for score, has, out in (("sim", F.col("sim").isNotNull(), "vector_rank"), ("kw", F.col("kw") > 0, "keyword_rank")):
+        place = F.row_number().over(Window.partitionBy(has).orderBy(F.desc(score), F.desc("fused"), "id"))
+        r = r.withColumn(out, F.when(has, place))
+    few = F.broadcast(r)
+    said = docs.select("id", "text").join(few, "id").join(terms.join(F.broadcast(page.select("id")), "id", "left_semi"), "id", "left")
+    words = F.when(F.col("kw") > 0, F.col("terms"))
+    return said.select(
+        "id",
+        "fused",
+        "vector_rank",
+        F.when(F.col("sim").isNotNull(), view_similarity(F.col("sim"))).alias("similarity"),
+        "keyword_rank",
+        F.when(F.col("kw") > 0, F.round(F.col("kw") * 100).cast("int")).alias("score"),
+        F.array_join(words, " ").alias("terms"),
+        snippet(F.col("text"), F.get(words, 0)).alias("snippet"),
+    )
+
+
 def merge_spaces(lists: DataFrame, limit: int) -> DataFrame:
     """Answers of several spaces (space, mode, pos, uri, sim) as one list (uri, space, score, rank).
 

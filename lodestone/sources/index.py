@@ -67,10 +67,14 @@ class KeywordIndex:
         """(id, kw): the best `limit` documents."""
         return keyword.top(self.scores(terms), "kw", limit)
 
-    def scores(self, terms: Sequence[str]) -> DataFrame:
-        """(id, kw) of every document that has one of the terms."""
+    def hits(self, terms: Sequence[str]) -> DataFrame:
+        """(term, id, tf, dl, df, n, total, avg_dl) of the terms' lists."""
         hits = self.postings(terms).select("term", "id", "tf", "dl")
         df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query term
         stats = F.broadcast(self.spark.read.parquet(f"{self.root}/stats"))  # one row
-        each = hits.join(df, "term").crossJoin(stats).select("id", (idf(F.col("n"), F.col("df")) * tf_factor(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("s"))
+        return hits.join(df, "term").crossJoin(stats)
+
+    def scores(self, terms: Sequence[str]) -> DataFrame:
+        """(id, kw) of every document that has one of the terms."""
+        each = self.hits(terms).select("id", (idf(F.col("n"), F.col("df")) * tf_factor(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("s"))
         return each.groupBy("id").agg(F.round(F.sum("s"), 6).alias("kw")).where("kw > 0")

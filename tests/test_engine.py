@@ -318,3 +318,38 @@ def test_streaming_changes_reach_the_store(spark, data, tmp_path):
 
     jobs.apply_changes(jobs.read_events(spark, f"{data}/events.parquet", schema), fold, f"{tmp_path}/ck").awaitTermination()
     assert store.read().count() == events(spark, data).select("user_id").distinct().count()
+
+
+def test_running_values_across_buckets(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from lodestone.operators import running
+
+    rng = random.Random(5)
+    data = [(rng.choice(["hot", "hot", "cold", None]), i * 3 + rng.randrange(2), rng.choice([None, 1, 2, 30])) for i in range(400)]
+    rows = spark.createDataFrame(data, "k string, at long, size long")
+    w = Window.partitionBy("k").orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def same(a, b):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+    found = running.running(rows, ["k"], ["at"], running.id_range("at", 50), {"total": "size"})
+    same(rows.withColumns({"n": F.row_number().over(w).cast("long"), "total": F.sum("size").over(so_far)}), found.withColumn("n", F.col("n").cast("long")))
+    same(rows.withColumn("before", F.lag("at").over(w)), running.preceding(rows, ["k"], "at", running.id_range("at", 50)))
+    same(rows.withColumn("recent", F.count("*").over(w.rangeBetween(-20, 0))), running.recent(rows, ["k"], "at", 20))
+    down = Window.partitionBy("k").orderBy(F.desc("at"))
+    same(rows.withColumn("n", F.row_number().over(down).cast("long")), running.running(rows, ["k"], [F.desc("at")], -running.id_range("at", 50)).withColumn("n", F.col("n").cast("long")))
+
+
+def test_resync_replaces_only_spaces_that_lost_changes(spark):
+    from lodestone.operators import feeds
+
+    stored = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 1), (2, "old", 1)], "space long, path string, value long")
+    changes = spark.createDataFrame([(1, "a", "upsert", 2), (1, "b", "delete", None), (2, "a", "upsert", 5)], "space long, path string, op string, value long")
+    snapshot = spark.createDataFrame([(1, "z", 9), (2, "a", 7), (2, "c", 8)], "space long, path string, value long")
+    feed = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3)], "space long, rev long")
+    out = feeds.resync(stored, changes, snapshot, feeds.gaps(feed, "space", "rev", span=2), "space")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 2), (2, "a", 7), (2, "c", 8)]
