@@ -137,7 +137,10 @@ def live_new_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drain(stream.select("event_id", "user_id"), scratch(spark, "live"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS did, event_id, ts, CASE WHEN event_type = 'error' THEN 'ended' ELSE event_type END AS state, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS s FROM events),
+l AS (SELECT *, lag(state) OVER w AS held, lag(s) OVER w + 300 AS lease FROM e WINDOW w AS (PARTITION BY did ORDER BY ts, event_id))
+SELECT did, 'offline' AS state, lease AS at_s FROM l WHERE held <> 'ended' AND s >= lease
+UNION ALL SELECT did, state, s FROM l WHERE held IS NULL OR held <> state OR (held <> 'ended' AND s >= lease)""")
 def presence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming: presence changes, with leases that run out in event time."""
     from lodestone.streaming import jobs

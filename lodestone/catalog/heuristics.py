@@ -77,7 +77,14 @@ def shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.shorten(F.col("text"), 80).alias("short"))
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (
+  SELECT doc_id, 0 AS k, '' AS piece, text AS rest FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, k + 1, substr(rest, 1, n), substr(rest, n + 1) FROM (
+    SELECT *, CASE WHEN length(rest) > 1000 AND contains(reach, chr(10)) THEN 500 + length(reach) - instr(reverse(reach), chr(10)) ELSE 1000 END AS n
+    FROM (SELECT *, substr(rest, 501, 501) AS reach FROM c WHERE rest <> ''))
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS n, CAST(length(piece) AS INTEGER) AS chars, md5(piece) AS md5 FROM c
+WHERE k > 0 AND trim(regexp_replace(piece, '\s+', ' ', 'g')) <> ''""")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"), 1000)).alias("n", "chunk"))
     return c.select("doc_id", "n", F.length("chunk").alias("chars"), F.md5(F.col("chunk").cast("binary")).alias("md5"))

@@ -165,7 +165,12 @@ def cluster_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cluster", F.round(V.dot(q, "center"), 6).alias("s")).orderBy(F.desc("s"), "cluster").limit(S.probes(10))
 
 
-@query()
+@query(f"""WITH {CENTERS_SQL}, {Q_SQL}, {CODE_SQL}, d AS (SELECT vec_id AS id, cluster, round(list_dot_product(CAST(embedding AS DOUBLE[]), center), 6) AS s FROM embeddings CROSS JOIN centers),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cluster) AS rn FROM d),
+probed AS (SELECT cluster FROM centers CROSS JOIN q ORDER BY round(list_dot_product(CAST(q.e AS DOUBLE[]), center) / q.n, 6) DESC, cluster LIMIT 4),
+inside AS (SELECT id FROM r WHERE rn = 1 AND cluster IN (SELECT cluster FROM probed)),
+cand AS (SELECT c.id, {DIST_SQL} AS dist, {SIM_SQL} AS sim FROM cd c CROSS JOIN q WHERE c.id IN (SELECT id FROM inside) ORDER BY dist, id LIMIT 200)
+SELECT id, dist, sim FROM cand ORDER BY sim DESC, id LIMIT 10""")
 def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector search among the clusters nearest to the query only."""
     v = _labelled(spark, sf_dir)
@@ -190,7 +195,10 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS w FROM documents),
+h AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM w),
+b AS (SELECT w, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(0, length(x) // 2), lambda i: CAST(('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT))), lambda a, c: (xor(a, c) * 16777619) & 4294967295) % 256 AS bucket FROM h)
+SELECT doc_id AS id, 1.0::DOUBLE AS norm, CAST(greatest(1, count(DISTINCT bucket)) AS INTEGER) AS used FROM documents LEFT JOIN (SELECT id, bucket FROM w JOIN b USING (w)) t ON t.id = doc_id GROUP BY doc_id""")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), E.hash_embed(F.col("text"), 256).alias("v"))
     return d.select("id", F.round(V.norm("v"), 4).alias("norm"), F.size(F.filter("v", lambda x: x != 0)).alias("used"))

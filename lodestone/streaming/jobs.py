@@ -45,9 +45,10 @@ def presence_changes(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            _, lease = state.get
+            current, lease = state.get
             state.remove()
-            yield pd.DataFrame({"did": [key[0]], "state": ["offline"], "at_s": [lease]})
+            gone = [] if current == "ended" else [(key[0], "offline", int(lease))]
+            yield pd.DataFrame(gone, columns=["did", "state", "at_s"])
             return
         current, lease = state.get if state.exists else (None, 0)
         out = []
@@ -62,11 +63,9 @@ def presence_changes(events: DataFrame, late: str = "1 hour") -> DataFrame:
             if new != current:
                 out.append((key[0], new, int(ts)))
             current, lease = new, int(ts) + LEASE_S
-        if current == "ended":
-            state.remove() if state.exists else None
-        else:
-            state.update((current, lease))
-            state.setTimeoutTimestamp(max(lease * 1000, state.getCurrentWatermarkMs() + 1))
+        # an ended one is remembered as long, so that a repeat in a later batch is no change
+        state.update((current, lease))
+        state.setTimeoutTimestamp(max(lease * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["did", "state", "at_s"])
 
     keyed = events.withWatermark("ts", late).groupBy("user_id")
