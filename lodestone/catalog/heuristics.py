@@ -59,7 +59,9 @@ def bound_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.bound_term(F.concat("url", "url")).alias("term"))
 
 
-@query("SELECT doc_id, sha256('search_document: ' || substr(text, 1, 24000) || chr(10) || chr(10) || 'Tags: ' || lang || ', t' || (doc_id % 4)) AS embed_sha FROM documents")
+@query("""WITH d AS (SELECT *, encode(text) AS b FROM documents),
+c AS (SELECT *, CASE WHEN octet_length(b) <= 24000 THEN text ELSE coalesce(TRY(decode(b[1:24000])), TRY(decode(b[1:23999])), TRY(decode(b[1:23998])), TRY(decode(b[1:23997]))) END AS start FROM d)
+SELECT doc_id, sha256('search_document: ' || start || chr(10) || chr(10) || 'Tags: ' || lang || ', t' || (doc_id % 4)) AS embed_sha FROM c""")
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
     return m.select(F.col("id").alias("doc_id"), F.sha2(T.embed_text("search_document: ", F.col("text"), F.col("tags")), 256).alias("embed_sha"))

@@ -50,15 +50,22 @@ def opaque(s: Column) -> Column:
     return tid(s) | (s.rlike("^[A-Za-z0-9]{16,}$") & (s.rlike("^[0-9]+$") | (switches >= 3)))
 
 
+def first_bytes(s: Column, most: int) -> Column:
+    """The longest start of at most `most` bytes in UTF-8 that ends between two characters."""
+    raw = s.cast("binary")
+    starts = (F.try_validate_utf8(F.substring(raw, 1, most - i).cast("string")) for i in range(4))
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.coalesce(*starts, F.substring(s, 1, most // 4)))
+
+
 def bound_term(s: Column) -> Column:
-    """An ASCII term of more than 64 bytes: its first 48, and 12 digits of its hash."""
-    short = F.concat(F.substring(s, 1, TERM_PREFIX), F.lit("#"), F.substring(F.sha2(s, 256), 1, 12))
+    """A term of more than 64 bytes: its first 48, whole characters, and 12 digits of its hash."""
+    short = F.concat(first_bytes(s, TERM_PREFIX), F.lit("#"), F.substring(F.sha2(s, 256), 1, 12))
     return F.when(F.octet_length(s) > TERM_BYTES, short).otherwise(s)
 
 
 def embed_text(prefix: str, text: Column, tags: Column, most: int = 24000) -> Column:
-    """What the embedder gets of an ASCII text: prefix, the text's start, the tags."""
-    body = F.concat(F.lit(prefix), F.substring(text, 1, most))
+    """What the embedder gets: prefix, the text's first `most` bytes (whole characters), the tags."""
+    body = F.concat(F.lit(prefix), first_bytes(text, most))
     return F.when(F.size(tags) > 0, F.concat(body, F.lit("\n\nTags: "), F.array_join(tags, ", "))).otherwise(body)
 
 

@@ -1,5 +1,6 @@
 """Operators against small brute-force versions, lifecycles, streams."""
 
+import hashlib
 import math
 import shutil
 
@@ -353,3 +354,21 @@ def test_resync_replaces_only_spaces_that_lost_changes(spark):
     feed = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3)], "space long, rev long")
     out = feeds.resync(stored, changes, snapshot, feeds.gaps(feed, "space", "rev", span=2), "space")
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 2), (2, "a", 7), (2, "c", 8)]
+
+
+def test_starts_of_so_many_bytes_hold_whole_characters(spark):
+    data = ["", "short", "a" * 100, "é" * 40, "a" + "é" * 40, "x" * 46 + "😀" * 9, "日本語" * 30, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(data)], "i int, t string")
+
+    def start(t, n):
+        return t.encode()[:n].decode(errors="ignore")
+
+    out = {r.i: r for r in rows.select("i", T.first_bytes(F.col("t"), 48).alias("f"), T.bound_term(F.col("t")).alias("b"), T.embed_text("p: ", F.col("t"), F.array(F.lit("x")), 50).alias("e")).collect()}
+    for i, t in enumerate(data):
+        if t is None:
+            assert out[i].f is None and out[i].b is None
+            continue
+        long = len(t.encode()) > 64
+        assert out[i].f == start(t, 48)
+        assert out[i].b == (start(t, 48) + "#" + hashlib.sha256(t.encode()).hexdigest()[:12] if long else t)
+        assert out[i].e == "p: " + start(t, 50) + "\n\nTags: x"
