@@ -4,25 +4,29 @@ Each of `tables` tables hashes a vector with `hashes` Gaussian projections cut i
 visits its own bucket and the perturbed ones with the least sum of squared distances to the crossed cell
 walls, which is the order of estimated success. Vectors of one bucket travel in packed blocks; a task
 compares a block of queries with a block of vectors and keeps each query's nearest, so candidates of all
-tables merge without a row for each pair. Distances are exact, in double precision.
+tables merge without a row for each pair. Distances are exact, in double precision: a matrix product with a bound
+on its error only tells which pairs can be among the nearest.
+
+Few tables with many probes reach the recall of many tables with few, and store each vector less often.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from lodestone.llm.common import cut, mix
-from lodestone.llm.vector_blocks import Q_ROWS, V_ROWS, best, blocks, grid, packed, usable
+from lodestone.llm.common import cut, mix, ranges
+from lodestone.llm.vector_blocks import Q_ROWS, V_ROWS, best, blocks, grid, usable
 
-TABLES, HASHES, PROBES = 8, 6, 40
+TABLES, HASHES, PROBES = 3, 6, 75
 #: Cell width as a multiple of the median distance of the sample's pairs, and the sample's size.
-WIDTH, SAMPLE = 1.3, 1000
+WIDTH, SAMPLE = 1.6, 1000
 #: Vectors in a block of one bucket.
 BUCKET_ROWS = 256
 
@@ -97,18 +101,22 @@ def probe_keys(q: np.ndarray, dims: int, tables: int, hashes: int, probes: int,
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, width: float, seed: int) -> DataFrame:
-    """(key, dims, id, vec): each vector once a table, or with probes > 0 once for every bucket it visits."""
+def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, width: float, seed: int, code: str | None) -> DataFrame:
+    """(key, dims, id, vec): each vector once a table, or with probes > 0 once for every bucket it visits.
+
+    Vectors are packed as numbers of type `code`; None leaves them out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                ids, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
-                lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+                ids, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
+                lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lengths)]
                 for dims in np.unique(lengths).tolist():
                     own = np.flatnonzero(lengths == dims)
-                    x = np.array([lists[i] for i in own], np.float64)
+                    x = flat[ranges(at[own], lengths[own])].reshape(-1, dims).astype(np.float64)
                     if probes:
                         row, key = probe_keys(x, dims, tables, hashes, probes, width, seed)
                     else:
@@ -116,16 +124,19 @@ def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, width: fl
                         cells = np.floor(x @ a + b)
                         key = np.concatenate([_keys(cells[:, t * hashes : (t + 1) * hashes], dims, t) for t in range(tables)])
                         row = np.tile(np.arange(len(x)), tables)
-                    raw = [r.astype("<f8").tobytes() for r in x]
+                    raw = [r.tobytes() for r in x.astype(code)] if code else [b""] * len(x)
                     yield pa.RecordBatch.from_pydict({"key": pa.array(key), "dims": pa.array(np.full(len(row), dims, np.int32)), "id": pa.array(ids[own][row]), "vec": pa.array([raw[i] for i in row.tolist()], pa.binary())})
 
     return vectors.select("id", "v").mapInArrow(run, "key long, dims int, id long, vec binary")
 
 
-def _bucket_blocks(hashed: DataFrame, rows: int, ids: str, vecs: str, block: str) -> DataFrame:
-    """(key, dims, block, ids, vecs): each bucket cut into blocks of about `rows` members by a hash of the id."""
-    parts = hashed.groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
-    cut_up = hashed.join(parts, "key").withColumn(block, F.pmod(F.xxhash64("id", "vec"), "parts"))
+def _bucket_blocks(hashed: Callable[[bool], DataFrame], rows: int, ids: str, vecs: str, block: str) -> DataFrame:
+    """(key, dims, block, ids, vecs): each bucket cut into blocks of about `rows` members by a hash of the id.
+
+    `hashed` gives the members with their vectors, or for counting without them.
+    """
+    parts = hashed(False).groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    cut_up = hashed(True).join(parts, "key").withColumn(block, F.pmod(F.xxhash64("id", "vec"), "parts"))
     return cut_up.groupBy("key", "dims", block).agg(F.collect_list("id").alias(ids), F.collect_list("vec").alias(vecs))
 
 
@@ -145,8 +156,13 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, id: str = "v
 
     all_vectors, asked = clean(embeddings), cut(clean(queries))
     width = cell_width(all_vectors)
-    index = _bucket_blocks(_hashed(all_vectors, tables, hashes, 0, width, seed), BUCKET_ROWS, "ids", "vecs", "v_block")
-    visits = _bucket_blocks(_hashed(asked, tables, hashes, probes, width, seed), BUCKET_ROWS, "q_ids", "q_vecs", "q_block")
+    code = "<f4" if embeddings.schema[vector].dataType.elementType == FloatType() else "<f8"  # floats stay exact in four bytes
+
+    def hashed(rows: DataFrame, probes: int) -> Callable[[bool], DataFrame]:
+        return lambda full: _hashed(rows, tables, hashes, probes, width, seed, code if full else None)
+
+    index = _bucket_blocks(hashed(all_vectors, 0), BUCKET_ROWS, "ids", "vecs", "v_block")
+    visits = _bucket_blocks(hashed(asked, probes), BUCKET_ROWS, "q_ids", "q_vecs", "q_block")
     met = visits.join(index, ["key", "dims"]).select("dims", "q_ids", "q_vecs", "ids", "vecs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +171,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, id: str = "v
         for batch in batches:
             for row in range(batch.num_rows):
                 dims, q_ids, q_vecs, ids, vecs = (batch.column(c)[row].as_py() for c in range(5))
-                q, v = (np.frombuffer(b"".join(x), "<f8").reshape(-1, dims) for x in (q_vecs, vecs))
+                q, v = (np.frombuffer(b"".join(x), code).reshape(-1, dims).astype(np.float64) for x in (q_vecs, vecs))
                 held.append(_near(np.array(q_ids), q, np.array(ids), v, k))
                 size += len(held[-1][0])
                 if size > 200_000:
@@ -177,15 +193,28 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, id: str = "v
 
 
 def _near(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k nearest of one block to each query of another, by differences of the vectors themselves."""
-    out = []
-    for lo in range(0, len(q), 32):
-        d = np.sqrt(((q[lo : lo + 32, None, :] - v[None]) ** 2).sum(-1))
-        a, b = np.nonzero(q_ids[lo : lo + 32, None] != ids[None])
-        q_of, v_of, cost = q_ids[lo : lo + 32][a], ids[b], d[a, b]
-        top = best(q_of, v_of, cost, k)
-        out.append((q_of[top], v_of[top], cost[top]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    """The k nearest of one block to each query of another.
+
+    Squares by a matrix product are off by no more than `slack`; pairs that they can't rule out are measured by
+    differences of the vectors themselves. Squares beyond a double's range rule nothing out.
+    """
+    by_id = np.argsort(ids, kind="stable")
+    ids, v = ids[by_id], v[by_id]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    other = q_ids[:, None] != ids[None]
+    with np.errstate(over="ignore", invalid="ignore"):
+        q2, v2 = (q**2).sum(1), (v**2).sum(1)
+        rough = q2[:, None] + v2 - 2 * q @ v.T
+        slack = 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps * (q2 + v2.max())
+    rough[~other] = np.inf
+    limit = np.full(len(q), np.inf)
+    if len(first) > k:  # rows that repeat an id count once
+        limit = np.partition(np.minimum.reduceat(rough, first, axis=1), k - 1, axis=1)[:, k - 1] + 2 * slack
+    a, b = np.nonzero(other & ~(rough > limit[:, None]))
+    cost = np.concatenate([np.sqrt(((q[a[lo : lo + 8192]] - v[b[lo : lo + 8192]]) ** 2).sum(1)) for lo in range(0, max(1, len(a)), 8192)])
+    q_of, v_of = q_ids[a], ids[b]
+    top = best(q_of, v_of, cost, k)
+    return q_of[top], v_of[top], cost[top]
 
 
 def _merge(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:

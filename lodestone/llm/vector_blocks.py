@@ -20,11 +20,6 @@ def usable(column: str) -> Column:
     return F.col(column).isNotNull() & (F.size(column) > 0) & F.coalesce(finite, F.lit(False))
 
 
-def packed(batch: pa.RecordBatch | pa.Table, column: str, dims: int) -> np.ndarray:
-    """A column of binaries of `dims` doubles as a matrix."""
-    return np.frombuffer(b"".join(batch.column(column).to_pylist()), "<f8").reshape(-1, dims)
-
-
 def blocks(vectors: DataFrame, rows: int, integers: bool = False) -> DataFrame:
     """(dims, top, ids, vectors) for runs of at most `rows` vectors of equal length, ordered by norm.
 

@@ -83,6 +83,33 @@ def test_nearest_with_few_candidates_finds_all(spark):
     assert multiprobe.nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-160, 1e160])
+def test_near_measures_what_the_bound_leaves(scale):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(300, 7)) * scale
+    v[50:90] = v[50] * (1 + 1e-15 * rng.integers(0, 2, size=(40, 1)))
+    ids = np.r_[np.arange(290), np.arange(10)]  # ten ids have two rows
+    q_ids, q = np.arange(40, 60), v[40:60]
+    with np.errstate(over="ignore"):
+        got = list(zip(*(x.tolist() for x in multiprobe._near(q_ids, q, ids, v, 5)), strict=True))
+        for i, own in zip(q_ids.tolist(), q, strict=True):
+            cost = {}
+            for j, row in zip(ids.tolist(), v, strict=True):
+                if j != i:
+                    cost[j] = min(cost.get(j, np.inf), float(np.sqrt(((own - row) ** 2).sum())))
+            assert [(b, c) for a, b, c in got if a == i] == sorted(cost.items(), key=lambda x: (x[1], x[0]))[:5]
+
+
+def test_nearest_takes_null_ids_clashing_columns_and_doubles(spark):
+    x = np.random.default_rng(4).normal(size=(120, 6))
+    rows = [(i, row.tolist(), 1, "k", 0.5) for i, row in enumerate(x)] + [(None, x[0].tolist(), 1, "k", 0.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, key string, score double")
+    got = multiprobe.nearest(df, df.where("vec_id % 40 = 0"), k=3, tables=1, probes=0).collect()
+    assert len(got) == 9 and all(r.vec_id is not None for r in got)
+    for r in got:
+        assert r.score == np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum())
+
+
 def test_probes_come_in_order_of_their_sums():
     walls = np.sort(np.random.default_rng(2).random(8))
     axis = np.random.default_rng(3).permutation(8) % 4
