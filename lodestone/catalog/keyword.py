@@ -42,7 +42,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
     """The stored index of the documents; the session's first search builds it."""
-    return KeywordIndex.shared(spark, sf_dir, docs(spark, sf_dir), tokens())
+    return KeywordIndex.shared(spark, sf_dir, lambda: docs(spark, sf_dir), tokens())
 
 
 @query(f"WITH {POST_SQL} SELECT term, id, tf FROM post")

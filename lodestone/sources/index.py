@@ -6,7 +6,7 @@ statistics skip all other terms: it reads what its terms have, not the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from lodestone.operators import keyword
 from lodestone.sources.tables import scratch
 
 FOLDERS = 64
-#: Roots of the indexes that this process has built, by application and name.
-_BUILT: dict[tuple[str, str], str] = {}
+#: The indexes that this process has built, by application and name.
+_BUILT: dict[tuple[str, str], KeywordIndex] = {}
 
 
 def _folder(term: Column) -> Column:
@@ -32,6 +32,13 @@ def _exists(spark: SparkSession, name: str) -> bool:
 class KeywordIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._parts: dict[str, DataFrame] = {}
+
+    def _part(self, name: str) -> DataFrame:
+        """A part of the index, whose files are listed once: they don't change."""
+        if name not in self._parts:
+            self._parts[name] = self.spark.read.parquet(f"{self.root}/{name}")
+        return self._parts[name]
 
     @classmethod
     def build(cls, docs: DataFrame, tokens: Column, root: str) -> KeywordIndex:
@@ -50,18 +57,19 @@ class KeywordIndex:
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
         wanted = keyword.query_terms(terms)
-        folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(_folder(F.col("term"))).collect()]
-        return self.spark.read.parquet(f"{self.root}/postings").where(F.col("folder").isin(folders) & F.col("term").isin(wanted))
+        # one row of constants, which Spark folds without a job
+        folders = self.spark.sql("SELECT 0").select(F.array(*(_folder(F.lit(t)) for t in wanted)).cast("array<int>")).first()[0]
+        return self._part("postings").where(F.col("folder").isin(folders) & F.col("term").isin(wanted))
 
     @classmethod
-    def shared(cls, spark: SparkSession, name: str, docs: DataFrame, tokens: Column) -> KeywordIndex:
+    def shared(cls, spark: SparkSession, name: str, docs: Callable[[], DataFrame], tokens: Column) -> KeywordIndex:
         """The application's index of what `name` stands for, such as a table's path: built by the first query that asks
         for it, read by all later ones. Tables that change need a new name.
         """
         key = (spark.sparkContext.applicationId, name)
-        if key not in _BUILT or not _exists(spark, f"{_BUILT[key]}/stats/_SUCCESS"):  # scratch folders may be cleared
-            _BUILT[key] = cls.temporary(spark, docs, tokens).root
-        return cls(spark, _BUILT[key])
+        if key not in _BUILT or not _exists(spark, f"{_BUILT[key].root}/stats/_SUCCESS"):  # scratch folders may be cleared
+            _BUILT[key] = cls.temporary(spark, docs(), tokens)
+        return _BUILT[key]
 
     def search(self, terms: Sequence[str], limit: int) -> DataFrame:
         """(id, kw): the best `limit` documents."""
@@ -71,7 +79,7 @@ class KeywordIndex:
         """(term, id, tf, dl, df, n, total, avg_dl) of the terms' lists."""
         hits = self.postings(terms).select("term", "id", "tf", "dl")
         df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query term
-        stats = F.broadcast(self.spark.read.parquet(f"{self.root}/stats"))  # one row
+        stats = F.broadcast(self._part("stats"))  # one row
         return hits.join(df, "term").crossJoin(stats)
 
     def scores(self, terms: Sequence[str]) -> DataFrame:

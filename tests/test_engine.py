@@ -298,10 +298,10 @@ def test_index_reads_its_terms_only(spark, data, tmp_path):
     index = KeywordIndex.build(docs, tokens, f"{tmp_path}/index")
     plan = index.postings(["the"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(folder" in plan.replace("folder#", "folder") and "the)" in plan.split("PushedFilters")[1]
-    shared = [KeywordIndex.shared(spark, f"{tmp_path}/name", docs, tokens) for _ in range(2)]
+    shared = [KeywordIndex.shared(spark, f"{tmp_path}/name", lambda: docs, tokens) for _ in range(2)]
     assert shared[0].root == shared[1].root
     shutil.rmtree(shared[0].root)
-    assert KeywordIndex.shared(spark, f"{tmp_path}/name", docs, tokens).search(["the"], 5).count() == 5
+    assert KeywordIndex.shared(spark, f"{tmp_path}/name", lambda: docs, tokens).search(["the"], 5).count() == 5
     assert index.search(["the", "licensed"], 5).collect() == keyword.top(keyword.bm25(docs, tokens, ["the", "licensed"]), "kw", 5).collect()
 
 
