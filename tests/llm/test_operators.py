@@ -110,6 +110,17 @@ def test_nearest_takes_null_ids_clashing_columns_and_doubles(spark):
         assert r.score == np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum())
 
 
+def test_nearest_in_a_hot_bucket(spark):
+    """A vector that is most of the table fills many blocks of one bucket; ties go to the smaller ids."""
+    x = np.random.default_rng(8).normal(size=(40, 8))
+    rows = [(i, (x[0] if i < 1500 else x[i - 1490]).tolist()) for i in range(1520)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = multiprobe.nearest(df, df.where("vec_id IN (0, 3, 700)"), k=4).collect()
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
+    for q, own in ((0, [1, 2, 3, 4]), (3, [0, 1, 2, 4]), (700, [0, 1, 2, 3])):
+        assert [found[q, n + 1] for n in range(4)] == [(i, 0.0) for i in own]
+
+
 def test_probes_come_in_order_of_their_sums():
     walls = np.sort(np.random.default_rng(2).random(8))
     axis = np.random.default_rng(3).permutation(8) % 4
@@ -149,6 +160,20 @@ def test_products_prune_groups_by_length(spark, monkeypatch):
         assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
 
 
+def test_products_beyond_doubles_are_whole_numbers(spark):
+    """Products over 2**53 that differ in their last digits, beside null ids and columns named like the results."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(1 << 26, 1 << 27, size=8)
+    whole = [[int(c) for c in base + rng.integers(-1, 2, size=8)] for _ in range(60)]
+    rows = [(i, [c / 256 for c in w], 7, "x") for i, w in enumerate(whole)] + [(None, [1e6] * 8, 7, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score string")
+    got = inner_product.top_products(df, df.where("vec_id % 20 = 0"), k=5).collect()
+    for q in (0, 20, 40):
+        every = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)
+        assert -every[0][0] > 2**53
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == every[:5]
+
+
 def test_products_beyond_64_bits_are_an_error(spark):
     df = spark.createDataFrame([(0, [1e10] * 4), (50, [1e10] * 4)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
@@ -242,6 +267,13 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.where("turn < 0")).count() == 0
 
 
+def test_very_long_turns(spark):
+    text = "<|im_end|>long text é\n" * 60_000
+    df = spark.createDataFrame([(1, 0, "user", text, "a", "b"), (1, 1, "assistant", text, "a", "b")], "conv_id long, turn long, role string, text string, segments string, valid string")
+    out = chat.format_chats(df).select(chat.parse_chats(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"), "valid").first()
+    assert [(t.role, t.text) for t in out.turns] == [("user", text), ("assistant", text)] and out.loss == text and out.valid is True
+
+
 OTHER_TEMPLATES = [
     {"assistant": [("<|bot|>", False), ("<|me|>", False), (chat.TEXT, True), ("<|end|>", True)], None: [("<|bot|>", False), ("<|as|>", False), (chat.ROLE, False), ("<|says|>", False), (chat.TEXT, False), ("<|end|>", False), ("\n\n", False)]},
     {None: [("<|t|>", False), ("* ", False), (chat.ROLE, True), ("\n", False), ("> ", False), (chat.TEXT, True), ("<|/t|>", False)]},
@@ -493,6 +525,15 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(df.where("doc_id < 0")).count() == 0
 
 
+def test_lines_of_very_long_texts(spark):
+    long = "\n".join(f"line {n}" for n in range(40_000))
+    rows = [(i, long + f"\nown {i}" if i in (2, 5) else "line 77\nline 78", "en", f"s{i}", 0) for i in range(8)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), min_sites=8).collect()}
+    assert out[0].n_removed == 0 and out[1].text == ""
+    assert out[5].n_lines == 40_001 and out[5].n_removed == 2 and out[5].text == out[2].text.replace("own 2", "own 5")
+    assert out[5].text == "\n".join(f"line {n}" for n in range(40_000) if n not in (77, 78)) + "\nown 5"
+
+
 def test_a_passage_on_few_sites_beside_a_hot_one(spark):
     passage, copied = "this passage stands in a few documents only", "a line of ordinary copies"
     rows = [(i, f"own line {i}\n{passage}", "en", "hot" if i < 4 else f"s{i}", 0) for i in range(12)]
@@ -622,6 +663,17 @@ def test_near_copies_are_found_and_others_left(spark):
     assert all(r.component_id == first[r.g] for r in out)
 
 
+def test_near_copies_of_very_long_texts(spark):
+    rng = np.random.default_rng(12)
+    text = [str(x) for x in rng.integers(0, 10**6, 60_000)]
+    changed = [*text[:30_000], "changed", *text[30_001:]]
+    rows = [(1, " ".join(text)), (2, " ".join(changed)), (3, " ".join(text[:5_000])), (4, "w" * 2_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    got = {r.doc_id: int.from_bytes(r.fingerprint, "big") for r in simhash.near_duplicates(df, words=3).collect()}
+    assert got == {i: fingerprint(t) for i, t in rows}
+
+
 def overlapping(rng, n, least):
     """Two texts of n words each: their ends differ so that the five-word similarity is just as asked, or a step over."""
     words = ["w" + str(x) for x in rng.integers(0, 10**9, 2 * n)]
