@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators and of the corpus pipeline, with SQL where SQL can express them."""
+"""The thin queries of the operators and of the corpus pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, simhash, token_counts, url_filter
+from lodestone.llm import centroids, chat, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, simhash, token_counts, url_filter
 from lodestone.llm.common import table
 
 
@@ -192,6 +192,42 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+def _op13_sql() -> str:
+    """Start, three rounds of assignment and exact means, a last assignment."""
+    parts = [
+        """v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+)""",
+        """c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS c
+  FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT 16)
+)""",
+    ]
+    for r in range(4):
+        parts.append(f"""a{r} AS (
+  SELECT vec_id, v, min(struct_pack(distance, cluster)) AS best FROM (
+    SELECT vec_id, v, row, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+    FROM (SELECT *, row_number() OVER () AS row FROM v) CROSS JOIN c{r}) GROUP BY vec_id, v, row
+)""")
+        if r < 3:
+            parts.append(f"""s{r} AS (
+  SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT best.cluster AS cluster, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{r}) GROUP BY cluster, i
+), c{r + 1} AS (
+  SELECT cluster, coalesce(m, c) AS c FROM c{r}
+  LEFT JOIN (SELECT cluster, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS m FROM s{r} GROUP BY cluster) USING (cluster)
+)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, best.cluster AS cluster, best.distance AS distance, CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.cluster = best.cluster
+"""
+
+
 # The stages of the pipeline: what each operator decides takes effect, and rows keep the columns of documents.
 
 
@@ -224,9 +260,9 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_multiprobe_nearest, op2_top_products, op3_best_fit_packing, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_line_dedup, op8_simhash_near_dedup, op9_merge_dropout, op10_url_filter)
+    own = (op1_multiprobe_nearest, op2_top_products, op3_best_fit_packing, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_line_dedup, op8_simhash_near_dedup, op9_merge_dropout, op10_url_filter, op13_centroid_clusters)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_products": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_top_products": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_url_filter": OP10_SQL, "op13_centroid_clusters": _op13_sql()}
