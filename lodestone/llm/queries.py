@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import centroids, chat, direct_codes, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, simhash, token_counts, url_filter
+from lodestone.llm import centroids, chat, direct_codes, inner_product, line_dedup, multiprobe, packing, piece_dropout, quality, simhash, spelling, token_counts, url_filter
 from lodestone.llm.common import shared_folder, table
 
 
@@ -200,6 +200,11 @@ def op11_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct_codes.documents(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.word_counts(docs, least_length=5, least_count=3, slips=97), ratio=2)
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
 
@@ -268,7 +273,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_multiprobe_nearest, op2_top_products, op3_best_fit_packing, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_line_dedup, op8_simhash_near_dedup, op9_merge_dropout, op10_url_filter, op11_direct_codes, op13_centroid_clusters)
+    own = (op1_multiprobe_nearest, op2_top_products, op3_best_fit_packing, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_line_dedup, op8_simhash_near_dedup, op9_merge_dropout, op10_url_filter, op11_direct_codes, op12_spelling_variants, op13_centroid_clusters)
     return {f.__name__: f for f in own}
 
 
