@@ -41,8 +41,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
-    """The stored index of the documents; the session's first search builds it."""
-    return KeywordIndex.shared(spark, sf_dir, lambda: docs(spark, sf_dir), tokens())
+    """The stored index of the documents; the session's first search builds it, and any after the table has changed."""
+    return KeywordIndex.shared(spark, f"{sf_dir}/documents.parquet", lambda: docs(spark, sf_dir), tokens())
 
 
 @query(f"WITH {POST_SQL} SELECT term, id, tf FROM post")
@@ -163,19 +163,32 @@ s AS (SELECT query, post.id, round(sum(ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (
  FROM ask JOIN post USING (term) JOIN dfs USING (term) JOIN dls ON dls.id = post.id CROSS JOIN stats GROUP BY query, post.id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY kw DESC, id) AS INTEGER) AS rank FROM s WHERE kw > 0) SELECT query, rank, id, kw FROM r WHERE rank <= 10""")
 def keyword_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for every benchmark passage, in one job."""
+    """The ten best documents for every benchmark passage: bounds first, then the blocks that can still matter."""
     from lodestone.sources.tables import table
 
     ask = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tokens())).alias("term"))
-    return keyword.bm25_batch(docs(spark, sf_dir), tokens(), ask, 10)
+    return index(spark, sf_dir).search_batch(ask, 10)
 
 
 @query(f"WITH {BM25_SQL} SELECT id, kw FROM bm ORDER BY kw DESC, id LIMIT 20")
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword ranking from a stored index, of which the query reads its terms' lists only."""
+    """Keyword ranking from a stored index: pruned by its blocks' bounds, equal to scoring all."""
     return index(spark, sf_dir).search(TERMS, 20)
 
 
+@query(f"""WITH {CODES_SQL}, {LEN_SQL}, {POST_SQL} SELECT term, id // 128 AS "window", count(*) AS n, max(tf) AS max_tf, CAST(min(dl) AS BIGINT) AS min_dl, CAST(sum(tf) AS BIGINT) AS total_tf, min(id) AS first_id, max(id) AS last_id
+FROM post JOIN dls USING (id) GROUP BY term, id // 128""")
+def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index's blocks with their bounds, read without their postings' counts and lengths."""
+    b = index(spark, sf_dir).blocks()
+    return b.select("term", "window", "n", "max_tf", "min_dl", "total_tf", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+
+
+@query(f"""WITH {POST_SQL} SELECT count(*) AS postings, count(DISTINCT (term, id // 128)) AS blocks, count(DISTINCT term) AS terms, 0 AS bad_blocks, 0 AS bad_bounds, 0 AS bad_terms, 0 AS bad_lengths, 0 AS dangling, 0 AS bad_stats FROM post""")
+def verify_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).verify(docs(spark, sf_dir))
+
+
 FILLER = ["what", "which", "who", "when", "where", "why", "how", "i", "we", "you", "it", "they", "do", "be", "have", "has", "was"]
 
 

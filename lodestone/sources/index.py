@@ -1,32 +1,62 @@
-"""A stored inverted index: postings by term, lengths inside, statistics as one row.
+"""A stored inverted index: posting blocks by term, bounds beside them, a dictionary, statistics as one row.
 
-Postings are Parquet folders by a hash of the term, sorted by term, so a query opens a few folders and the files'
-statistics skip all other terms: it reads what its terms have, not the corpus.
+A block holds a term's postings within a window of BLOCK_IDS ids, so blocks of different terms cover the same windows.
+Its highest count and lowest length bound every score in it. Blocks are Parquet folders by a hash of the term,
+sorted by term and window: a query opens a few folders and the files' statistics skip other terms.
+
+A top-k search first reads bounds only. It adds up each window's bounds, scores the windows of the highest sums,
+and so knows a score that the k-th hit reaches at least; then only blocks of windows that can still reach it are joined.
+The rows are those of scoring everything.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.scores import idf, tf_factor
+from lodestone.functions.scores import decoded_length, idf, tf_factor
 from lodestone.operators import keyword
 from lodestone.sources.tables import scratch
 
 FOLDERS = 64
-#: The indexes that this process has built, by application and name.
-_BUILT: dict[tuple[str, str], KeywordIndex] = {}
+#: Ids of one window.
+BLOCK_IDS = 128
+#: Scores are rounded to six decimals; a bound this much below the threshold can still reach it.
+SLACK = 2e-6
+#: The indexes that this process has built, by application and name, each with the state of the table it was built from.
+_BUILT: dict[tuple[str, str], tuple[str, KeywordIndex]] = {}
 
 
 def _folder(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
-def _exists(spark: SparkSession, name: str) -> bool:
+def _at(spark: SparkSession, name: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    fs, path = _at(spark, name)
+    return fs.exists(path)
+
+
+def table_state(spark: SparkSession, name: str) -> str:
+    """A digest of a table's files: their names, sizes and times of change. Empty for a table that isn't there."""
+    fs, path = _at(spark, name)
+    if not fs.exists(path):
+        return ""
+    seen, folders = [], [path]
+    while folders:
+        for s in fs.listStatus(folders.pop()):
+            if s.isDirectory():
+                folders.append(s.getPath())
+            else:
+                seen.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
 class KeywordIndex:
@@ -41,48 +71,172 @@ class KeywordIndex:
         return self._parts[name]
 
     @classmethod
-    def build(cls, docs: DataFrame, tokens: Column, root: str) -> KeywordIndex:
-        """Write the index of (id, text) rows."""
+    def build(cls, docs: DataFrame, tokens: Column, root: str, block_ids: int = BLOCK_IDS) -> KeywordIndex:
+        """Write the index of (id, text) rows; ids are whole numbers, rows without one are left out."""
         out = cls(docs.sparkSession, root)
-        posted = keyword.postings_with_lengths(docs, tokens).withColumn("folder", _folder(F.col("term")))
-        # a common term spreads over tasks by its ids; files stay sorted by term
-        posted.repartitionByRange("folder", "term", "id").sortWithinPartitions("folder", "term", "id").write.partitionBy("folder").parquet(f"{out.root}/postings")
-        keyword.corpus_stats(docs, tokens).write.parquet(f"{out.root}/stats")
+        window = F.floor(F.col("id") / block_ids).cast("long")
+        posted = keyword.postings_with_lengths(docs.where("id IS NOT NULL"), tokens).select(_folder(F.col("term")).alias("folder"), "term", window.alias("window"), "id", "tf", "dl")
+        # a common term spreads over tasks by its windows; a range serves the grouping as well
+        placed = posted.repartitionByRange("folder", "term", "window")
+        each = placed.groupBy("folder", "term", "window").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))  # a window's ids
+        blocks = each.select(
+            "folder",
+            "term",
+            "window",
+            F.size("p").cast("long").alias("n"),
+            F.array_max("p.tf").alias("max_tf"),
+            F.array_min("p.dl").alias("min_dl"),
+            F.aggregate("p.tf", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_tf"),
+            F.col("p.id").alias("ids"),
+            F.col("p.tf").alias("tfs"),
+            F.col("p.dl").alias("dls"),
+        )
+        blocks.sortWithinPartitions("folder", "term", "window").write.partitionBy("folder").parquet(f"{out.root}/blocks")
+        if not _exists(out.spark, f"{out.root}/blocks/folder=0") and out._none():
+            blocks.drop("folder").limit(0).withColumn("folder", F.lit(0)).write.mode("overwrite").parquet(f"{out.root}/blocks")
+        words = out.blocks().groupBy("folder", "term").agg(F.sum("n").alias("df"), F.sum("total_tf").alias("total_tf"))
+        words.repartitionByRange("folder", "term").sortWithinPartitions("folder", "term").write.parquet(f"{out.root}/terms")
+        keyword.corpus_stats(docs.where("id IS NOT NULL"), tokens).write.parquet(f"{out.root}/stats")
         return out
 
+    def _none(self) -> bool:
+        """No posting at all: a partitioned table without rows has no files to tell its columns."""
+        fs, path = _at(self.spark, f"{self.root}/blocks")
+        return not any(s.isDirectory() for s in fs.listStatus(path))
+
     @classmethod
     def temporary(cls, spark: SparkSession, docs: DataFrame, tokens: Column) -> KeywordIndex:
         """An index in a folder that the cluster shares."""
         return cls.build(docs, tokens, scratch(spark, "index"))
 
-    def postings(self, terms: Sequence[str]) -> DataFrame:
+    @classmethod
+    def shared(cls, spark: SparkSession, table: str, docs: Callable[[], DataFrame], tokens: Column) -> KeywordIndex:
+        """The application's index of the table at this path: built by the first query that asks for it, read by later
+        ones, built again once the table's files have changed. The outdated folder goes then.
+        """
+        key, state = (spark.sparkContext.applicationId, table), table_state(spark, table)
+        old_state, old = _BUILT.get(key, ("", None))
+        if old is None or old_state != state or not _exists(spark, f"{old.root}/stats/_SUCCESS"):  # scratch folders may be cleared
+            _BUILT[key] = (state, cls.temporary(spark, docs(), tokens))
+            if old is not None:
+                fs, path = _at(spark, old.root)
+                fs.delete(path, True)
+        return _BUILT[key][1]
+
+    def blocks(self) -> DataFrame:
+        """(folder, term, window, n, max_tf, min_dl, total_tf, ids, tfs, dls)."""
+        return self._part("blocks")
+
+    def _of(self, rows: DataFrame, terms: Sequence[str]) -> DataFrame:
         wanted = keyword.query_terms(terms)
         # one row of constants, which Spark folds without a job
         folders = self.spark.sql("SELECT 0").select(F.array(*(_folder(F.lit(t)) for t in wanted)).cast("array<int>")).first()[0]
-        return self._part("postings").where(F.col("folder").isin(folders) & F.col("term").isin(wanted))
+        return rows.where(F.col("folder").isin(folders) & F.col("term").isin(wanted))
 
-    @classmethod
-    def shared(cls, spark: SparkSession, name: str, docs: Callable[[], DataFrame], tokens: Column) -> KeywordIndex:
-        """The application's index of what `name` stands for, such as a table's path: built by the first query that asks
-        for it, read by all later ones. Tables that change need a new name.
-        """
-        key = (spark.sparkContext.applicationId, name)
-        if key not in _BUILT or not _exists(spark, f"{_BUILT[key].root}/stats/_SUCCESS"):  # scratch folders may be cleared
-            _BUILT[key] = cls.temporary(spark, docs(), tokens)
-        return _BUILT[key]
+    def postings(self, terms: Sequence[str] | None = None) -> DataFrame:
+        """(term, id, tf, dl) of the terms' lists, or of all."""
+        rows = self.blocks() if terms is None else self._of(self.blocks(), terms)
+        return rows.select("term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
 
-    def search(self, terms: Sequence[str], limit: int) -> DataFrame:
-        """(id, kw): the best `limit` documents."""
-        return keyword.top(self.scores(terms), "kw", limit)
+    def dictionary(self, terms: Sequence[str] | None = None) -> DataFrame:
+        """(term, df, total_tf)."""
+        return (self._part("terms") if terms is None else self._of(self._part("terms"), terms)).select("term", "df", "total_tf")
 
     def hits(self, terms: Sequence[str]) -> DataFrame:
         """(term, id, tf, dl, df, n, total, avg_dl) of the terms' lists."""
-        hits = self.postings(terms).select("term", "id", "tf", "dl")
-        df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query term
+        df = F.broadcast(self.dictionary(terms).select("term", "df"))  # a row for each query term
         stats = F.broadcast(self._part("stats"))  # one row
-        return hits.join(df, "term").crossJoin(stats)
+        return self.postings(terms).join(df, "term").crossJoin(stats)
 
     def scores(self, terms: Sequence[str]) -> DataFrame:
         """(id, kw) of every document that has one of the terms."""
         each = self.hits(terms).select("id", (idf(F.col("n"), F.col("df")) * tf_factor(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("s"))
         return each.groupBy("id").agg(F.round(F.sum("s"), 6).alias("kw")).where("kw > 0")
+
+    def search(self, terms: Sequence[str], limit: int, keep: DataFrame | None = None) -> DataFrame:
+        """(id, kw): the best `limit` documents, of those in `keep` (ids) if it is given."""
+        asked = self.spark.createDataFrame([(0, t) for t in keyword.query_terms(terms)], "query int, term string")
+        best = PrunedSearch(self, asked, limit, keep, self._of(self.blocks(), terms) if terms else None).top()
+        return best.select("id", "kw").orderBy(F.desc("kw"), "id")
+
+    def search_batch(self, queries: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
+        """(query, rank, id, kw): the best k documents for each query of (query, term) rows."""
+        return PrunedSearch(self, queries, k, keep).top()
+
+    def verify(self, docs: DataFrame) -> DataFrame:
+        """One row that counts what breaks the stored index's rules, and what it holds.
+
+        Blocks: ids ascend and lie in the block's window, counts are 1 or more, bounds are those of the postings.
+        The dictionary has the sums of its lists. Each document's counts add up to its coded length. Every id is one of
+        `docs` (id, text), and the statistics count them all.
+        """
+        b = self.blocks()
+        lo, hi = F.floor(F.element_at("ids", 1) / BLOCK_IDS), F.floor(F.element_at("ids", -1) / BLOCK_IDS)
+        ordered = (F.array_sort(F.array_distinct("ids")) == F.col("ids")) & (lo == F.col("window")) & (hi == F.col("window"))
+        sized = (F.size("ids") == F.col("n")) & (F.size("tfs") == F.col("n")) & (F.size("dls") == F.col("n")) & (F.array_min("tfs") >= 1)
+        bounded = (F.array_max("tfs") == F.col("max_tf")) & (F.array_min("dls") == F.col("min_dl")) & (F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x) == F.col("total_tf"))
+        bad = lambda c: F.count_if(~F.coalesce(c, F.lit(False)))
+        of_blocks = b.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), bad(ordered & sized).alias("bad_blocks"), bad(bounded).alias("bad_bounds"))
+        lists = b.groupBy("term").agg(F.sum("n").alias("df2"), F.sum("total_tf").alias("tf2"))
+        words = self.dictionary().join(lists, "term", "full")
+        of_terms = words.agg(F.count("*").alias("terms"), bad((F.col("df") == F.col("df2")) & (F.col("total_tf") == F.col("tf2"))).alias("bad_terms"))
+        per = self.postings().groupBy("id").agg(F.sum("tf").alias("tokens"), F.min("dl").alias("least"), F.max("dl").alias("most"))
+        known = docs.select("id", F.lit(1).alias("known")).distinct()
+        coded = decoded_length(F.col("tokens"))
+        of_docs = per.join(known, "id", "left").agg(bad((coded == F.col("least")) & (coded == F.col("most"))).alias("bad_lengths"), F.count_if(F.col("known").isNull()).alias("dangling"))
+        counted = docs.where("id IS NOT NULL").agg(F.count("*").alias("docs"))
+        stats = self._part("stats").crossJoin(counted).select((F.col("n") != F.col("docs")).cast("long").alias("bad_stats"))
+        return of_blocks.crossJoin(of_terms).crossJoin(of_docs).crossJoin(stats)  # one row each
+
+
+class PrunedSearch:
+    """Top-k by bounds first, for queries of (query, term) rows. `blocks` may already be narrowed to the queries' terms.
+
+    Work grows with the bounds, one for each query, term and window that meet, and with the postings of the windows that
+    stay; never with the documents that a common term has.
+    """
+
+    def __init__(self, index: KeywordIndex, queries: DataFrame, k: int, keep: DataFrame | None = None, blocks: DataFrame | None = None):
+        self.k, self.keep, self.blocks = k, keep, index.blocks() if blocks is None else blocks
+        asked = queries.select("query", "term").where("term IS NOT NULL").distinct().withColumn("folder", _folder(F.col("term")))
+        stats = F.broadcast(index._part("stats"))  # one row
+        weights = asked.join(index._part("terms").select("folder", "term", "df"), ["folder", "term"]).crossJoin(stats)
+        self.weights = weights.select("query", "folder", "term", idf(F.col("n"), F.col("df")).alias("w"), "avg_dl").where("w > 0")
+
+    def bounds(self) -> DataFrame:
+        """(query, window, bound): what a document of the window can score at most. Reads no postings."""
+        met = self.blocks.select("folder", "term", "window", "max_tf", "min_dl").join(self.weights, ["folder", "term"])
+        most = F.col("w") * tf_factor(F.col("max_tf"), F.col("min_dl"), F.col("avg_dl"))
+        return met.groupBy("query", "window").agg(F.sum(most).alias("bound"))
+
+    def first(self) -> DataFrame:
+        """The k windows of highest bounds for each query."""
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "window"))
+        return self.bounds().withColumn("r", rank).where(F.col("r") <= self.k).select("query", "window")
+
+    def scored(self, windows: DataFrame) -> DataFrame:
+        """(query, rank, id, kw): the best k of the documents in these windows (query, window)."""
+        met = self.blocks.select("folder", "term", "window", "ids", "tfs", "dls").join(self.weights, ["folder", "term"]).join(windows, ["query", "window"])
+        each = met.select("query", "w", "avg_dl", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
+        if self.keep is not None:
+            each = each.join(self.keep.select("id"), "id", "left_semi")
+        s = F.col("w") * tf_factor(F.col("tf"), F.col("dl"), F.col("avg_dl"))
+        sums = each.groupBy("query", "id").agg(F.round(F.sum(s), 6).alias("kw")).where("kw > 0")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("kw"), "id"))
+        return sums.withColumn("rank", rank).where(F.col("rank") <= self.k).select("query", "rank", "id", "kw")
+
+    def windows(self) -> DataFrame:
+        """(query, window) of the windows that can hold one of the best k."""
+        reached = self.scored(self.first()).where(F.col("rank") == self.k).select("query", F.col("kw").alias("least"))
+        b = self.bounds().join(reached, "query", "left")
+        return b.where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least"))).select("query", "window")
+
+    def top(self) -> DataFrame:
+        return self.scored(self.windows())
+
+    def postings_read(self) -> DataFrame:
+        """(query, postings, read): postings of the query's terms, and those in windows that stay."""
+        met = self.blocks.select("folder", "term", "window", "n").join(self.weights, ["folder", "term"])
+        stay = self.windows().withColumn("stays", F.lit(True))
+        per = met.join(stay, ["query", "window"], "left").groupBy("query")
+        return per.agg(F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("stays"), F.col("n"))), F.lit(0)).alias("read"))
