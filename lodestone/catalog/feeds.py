@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
 from lodestone.functions import text as T
-from lodestone.operators import lounge
+from lodestone.operators import lounge, rate_limit
 from lodestone.sources.tables import MESSAGES_SQL, events, messages, scratch, table
 
 PRES_SQL = """pres AS (SELECT user_id AS did, CASE WHEN x = 'error' THEN 'ended' ELSE x END AS state, CAST(epoch_us(t) // 1000000 AS BIGINT) AS updated_s, CAST(epoch_us(t) // 1000000 AS BIGINT) + 300 AS lease_s
@@ -80,6 +80,37 @@ def rate_limit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("n > 2")
 
 
+def _calls(rows: DataFrame) -> DataFrame:
+    """Events as calls of their type's bucket, ten thousand times as fast: ten seconds become a millisecond."""
+    return rows.select(F.col("event_type").alias("key"), F.floor(F.unix_micros("ts") / 10_000_000).alias("ms"), F.col("event_id").alias("id"))
+
+
+# A bucket of 20 tokens that gains 2 a second, in thousandths of a token; the n-th call of each key follows from the one before.
+BUCKET_SQL = """WITH RECURSIVE c AS (
+  SELECT event_type AS key, CAST(epoch_us(ts) // 10000000 AS BIGINT) AS ms, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 10000000, event_id) AS n FROM events
+), b AS (
+  SELECT key, ms, id, n, true AS allowed, CAST(19000 AS BIGINT) AS units FROM c WHERE n = 1
+  UNION ALL
+  SELECT key, ms, id, n, has >= 1000, CASE WHEN has >= 1000 THEN has - 1000 ELSE has END
+  FROM (SELECT c.*, least(20000, b.units + 2 * (c.ms - b.ms)) AS has FROM b JOIN c ON c.key = b.key AND c.n = b.n + 1)
+) SELECT key, ms, id, allowed, units / 1000.0::DOUBLE AS "left" FROM b"""
+
+
+@query(BUCKET_SQL)
+def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which calls a bucket of 20 tokens, two more each second, lets through; refused calls take nothing."""
+    return rate_limit.token_bucket(_calls(events(spark, sf_dir)), "key", "ms", "id")
+
+
+@query(BUCKET_SQL)
+def token_bucket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaming: the same buckets, their levels kept as state."""
+    from lodestone.streaming import jobs
+
+    rows = jobs.read_events(spark, f"{sf_dir}/events.parquet", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    return jobs.drain(jobs.token_bucket(_calls(rows)), scratch(spark, "bucket"))
+
+
 @query("WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_id, event_type FROM r WHERE n <= 200")
 def keep_newest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lounge.newest(events(spark, sf_dir), 200, ["event_type"], [F.desc("ts"), F.desc("event_id")]).select("event_id", "event_type")

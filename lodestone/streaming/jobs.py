@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.operators import rate_limit
 from lodestone.operators.lounge import LEASE_S
 
 
@@ -72,6 +73,37 @@ def presence_changes(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return keyed.applyInPandasWithState(step, "did long, state string, at_s long", "state string, lease long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def token_bucket(calls: DataFrame, tokens: int = rate_limit.TOKENS, seconds: int = rate_limit.SECONDS, burst: int = rate_limit.BURST, late: str = "1 hour") -> DataFrame:
+    """`rate_limit.token_bucket` of a stream (key, ms, id): a bucket's level and last call are its state.
+
+    A bucket idle for the time that fills it is forgotten by a timer, which changes nothing: a new one is full. Calls are
+    ordered within a micro-batch; one that comes in a later batch than a newer call is judged after it, at its time.
+    Watermarks begin at 1970, so times before count as late and are dropped.
+    """
+    unit, full = 1000 * seconds, 1000 * seconds * burst
+
+    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        level, at = state.get if state.exists else (full, None)
+        rows = pd.concat(list(batches)).sort_values(["ms", "id"], kind="stable")
+        passed, left = [], []
+        for t in rows["ms"].tolist():
+            level, ok = rate_limit.step(level, 0 if at is None else t - at, unit, tokens, full)
+            at = t if at is None else max(at, t)
+            passed.append(ok)
+            left.append(level / unit)
+        state.update((level, at))
+        state.setTimeoutTimestamp(max(at + -(-full // tokens), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": rows["key"], "ms": rows["ms"], "id": rows["id"], "allowed": passed, "left": left})
+
+    timed = calls.where("key IS NOT NULL AND ms IS NOT NULL").withColumn("at", F.timestamp_millis("ms")).withWatermark("at", late)
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
+    schema = f"key {kinds['key']}, ms long, id {kinds['id']}, allowed boolean, left double"
+    return timed.groupBy("key").applyInPandasWithState(take, schema, "level long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def apply_changes(changes: DataFrame, fold: Callable[[DataFrame, int], None], checkpoint: str):
     """Micro-batches to a store: `fold(batch, number)` must be idempotent in the batch's number."""
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
