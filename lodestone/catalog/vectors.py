@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
 from lodestone.functions import embedding as E
 from lodestone.functions import vectors as V
-from lodestone.operators import filters
+from lodestone.operators import filters, spherical
 from lodestone.operators import vector_search as S
 from lodestone.sources.tables import MEMORIES_SQL, memories, table, tombstones
+from lodestone.sources.vector_index import VectorIndex
 
 DIMS = 64
 #: The memory whose vector stands for the query.
@@ -181,18 +183,66 @@ def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.vector_search(codes(spark, sf_dir).join(inside, "id", "left_semi"), query_vector(spark, sf_dir), 10)
 
 
-@query()
+def _kmeans_sql() -> str:
+    """Six rounds of spherical k-means over a sample drawn by hash, then every vector at the best of eight centres."""
+    parts = [
+        "u0 AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) = 64)",
+        "u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u0 WHERE list_dot_product(v, v) > 0)",
+        "size AS (SELECT count(*) AS n, least(4096, greatest(2, CAST(round_even(sqrt(count(*)), 0) AS BIGINT))) AS k FROM u)",
+        "smp AS (SELECT id, v FROM u CROSS JOIN size WHERE n <= 32 * k OR CAST(('0x' || substr(md5('sample:' || id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * n < 32 * k)",
+        "k0 AS (SELECT cluster, v AS c FROM (SELECT CAST(row_number() OVER (ORDER BY md5('start:' || id), id) - 1 AS INTEGER) AS cluster, v FROM smp) CROSS JOIN size WHERE cluster < k)",
+    ]
+    for r in range(6):
+        parts += [
+            f"""a{r} AS (SELECT id, v, min(struct_pack(s, cluster)) AS best FROM (SELECT id, v, cluster, -round(list_dot_product(v, c), 6) AS s FROM smp CROSS JOIN k{r}) GROUP BY id, v)""",
+            f"""s{r} AS (SELECT cluster, list(x ORDER BY i) AS x FROM (SELECT best.cluster AS cluster, i, CAST(sum(CAST(floor(v[i] * 1073741824 + 0.5) AS BIGINT)) AS DOUBLE) AS x FROM a{r}, unnest(range(1, 65)) AS g(i) GROUP BY ALL) GROUP BY cluster)""",
+            f"""m{r} AS (SELECT cluster, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS c FROM s{r} WHERE list_dot_product(x, x) > 0)""",
+            f"""e{r} AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS n FROM k{r} WHERE cluster NOT IN (SELECT cluster FROM m{r}))""",
+            f"""k{r + 1} AS (SELECT cluster, c FROM m{r} UNION ALL SELECT cluster, v FROM e{r} JOIN (SELECT v, row_number() OVER (ORDER BY md5('round{r}:' || id), id) AS n FROM smp) USING (n))""",
+        ]
+    parts += [
+        "far AS (SELECT id, v, cluster, c, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (v[i] > 0) <> (c[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS apart FROM u CROSS JOIN k6)",
+        "few AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY apart, cluster) AS n FROM far)",
+        "near AS (SELECT id, min(struct_pack(s, cluster)).cluster AS cluster FROM (SELECT id, cluster, -round(list_dot_product(v, c), 6) AS s FROM few WHERE n <= 8) GROUP BY id)",
+    ]
+    return ", ".join(parts)
+
+
+KMEANS_SQL = _kmeans_sql()
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored vector index; the session's first search builds it, and any after the table has changed."""
+    path = f"{sf_dir}/embeddings.parquet"
+    return VectorIndex.shared(spark, path, lambda: table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), DIMS)
+
+
+@query(f"WITH {KMEANS_SQL} SELECT cluster, count(*) AS n FROM near GROUP BY cluster")
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of spherical k-means clusters, k about the square root of the number of vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = table(spark, sf_dir, "embeddings").where(F.size("embedding") == DIMS).select(F.col("vec_id").alias("id"), array_to_vector(V.as_double("embedding")).alias("features"))
-    n = v.count()
-    if not n:
-        return spark.createDataFrame([], "cluster int, n long")
-    model = KMeans(k=S.cluster_count(n), maxIter=6, seed=7, distanceMeasure="cosine").fit(v)
-    return model.transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    centers = spherical.train(v, S.cluster_count(spherical.directed(v, DIMS).count()), DIMS)
+    return spherical.assign(spherical.directed(v, DIMS), centers if len(centers) else np.zeros((1, DIMS))).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {KMEANS_SQL}, {Q_SQL}, {CODE_SQL},
+probed AS (SELECT cluster FROM k6 CROSS JOIN q CROSS JOIN size QUALIFY row_number() OVER (ORDER BY round(list_dot_product(list_transform(q.e, lambda x: CAST(x AS DOUBLE) / q.n), c), 6) DESC, cluster) <= greatest(4, k // 8)),
+cand AS (SELECT c.id, {DIST_SQL} AS dist, {SIM_SQL} AS sim FROM cd c CROSS JOIN q WHERE c.id IN (SELECT id FROM near WHERE cluster IN (SELECT cluster FROM probed)) ORDER BY dist, id LIMIT 200)
+SELECT id, dist, sim FROM cand ORDER BY sim DESC, id LIMIT 10""")
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector search in a stored index: the folders of the nearest clusters are all that it opens."""
+    return vector_index(spark, sf_dir).search(query_vector(spark, sf_dir), 10)
+
+
+@query(f"""WITH {KMEANS_SQL}, {CODE_SQL},
+ask AS (SELECT id AS query_id, v FROM u WHERE id % 10 >= 8),
+probed AS (SELECT query_id, v, cluster FROM ask CROSS JOIN k6 CROSS JOIN size QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, c), 6) DESC, cluster) <= greatest(4, k // 8)),
+s AS (SELECT query_id, cd.id, round(list_dot_product(v, list_transform(cd.code, lambda x: CAST(x AS DOUBLE) * CAST(scale AS DOUBLE))), 6) AS sim FROM probed JOIN near USING (cluster) JOIN cd ON cd.id = near.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, id, sim FROM r WHERE rank <= 5""")
+def vector_index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buffered memories' vectors against the stored index, cluster by cluster in blocks."""
+    ask = table(spark, sf_dir, "embeddings").where("vec_id % 10 >= 8").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index(spark, sf_dir).search_batch(ask, 5)
 
 
 @query(r"""WITH w AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS w FROM documents),

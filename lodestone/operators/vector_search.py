@@ -32,10 +32,11 @@ def query_words(v: Sequence[float]) -> list[int]:
     return [int(x) for x in np.packbits(bits.reshape(-1, 64), axis=1, bitorder="little").view("<i8").ravel()]
 
 
-def coded(memories: DataFrame, dims: int) -> DataFrame:
-    """(id, words, scale, code) of rows with a vector of `dims` components."""
+def coded(memories: DataFrame, dims: int, *more: str) -> DataFrame:
+    """(id, words, scale, code, more) of rows with a vector of `dims` components."""
     has = memories.where(F.col("embedding").isNotNull() & (F.size("embedding") == dims))
-    return has.select("id", V.sign_words("embedding", dims).alias("words"), V.int8_scale("embedding").alias("scale"), "embedding").withColumn("code", V.int8_code("embedding", F.col("scale"))).drop("embedding")
+    signs = has.select("id", V.sign_words("embedding", dims).alias("words"), V.int8_scale("embedding").alias("scale"), "embedding", *more)
+    return signs.select("id", "words", "scale", V.int8_code("embedding", F.col("scale")).alias("code"), *more)
 
 
 def hamming_candidates(codes: DataFrame, query: Sequence[float], limit: int = CANDIDATES) -> DataFrame:

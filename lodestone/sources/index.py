@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,13 @@ FOLDERS = 64
 BLOCK_IDS = 128
 #: Scores are rounded to six decimals; a bound this much below the threshold can still reach it.
 SLACK = 2e-6
-#: The indexes that this process has built, by application and name, each with the state of the table it was built from.
-_BUILT: dict[tuple[str, str], tuple[str, KeywordIndex]] = {}
+SCHEMAS = {
+    "blocks": "term string, window long, n long, max_tf long, min_dl long, total_tf long, ids array<long>, tfs array<long>, dls array<long>, folder int",
+    "terms": "folder int, term string, df long, total_tf long",
+    "stats": "n long, total long, avg_dl double",
+}
+#: The indexes that this process has built, by application, kind and table, each with the table's state at that time.
+_BUILT: dict[tuple[str, str, str], tuple[str, Any]] = {}
 
 
 def _folder(term: Column) -> Column:
@@ -59,6 +65,20 @@ def table_state(spark: SparkSession, name: str) -> str:
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
+def shared(spark: SparkSession, kind: str, table: str, build: Callable[[], Any]) -> Any:
+    """The application's index (with a `root`) of the table at this path: built by the first query that asks for it, read
+    by later ones, built again once the table's files have changed. The outdated folder goes then.
+    """
+    key, state = (spark.sparkContext.applicationId, kind, table), table_state(spark, table)
+    old_state, old = _BUILT.get(key, ("", None))
+    if old is None or old_state != state or not _exists(spark, old.root):  # scratch folders may be cleared
+        _BUILT[key] = (state, build())
+        if old is not None:
+            fs, path = _at(spark, old.root)
+            fs.delete(path, True)
+    return _BUILT[key][1]
+
+
 class KeywordIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -67,7 +87,7 @@ class KeywordIndex:
     def _part(self, name: str) -> DataFrame:
         """A part of the index, whose files are listed once: they don't change."""
         if name not in self._parts:
-            self._parts[name] = self.spark.read.parquet(f"{self.root}/{name}")
+            self._parts[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
         return self._parts[name]
 
     @classmethod
@@ -87,23 +107,16 @@ class KeywordIndex:
             F.array_max("p.tf").alias("max_tf"),
             F.array_min("p.dl").alias("min_dl"),
             F.aggregate("p.tf", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_tf"),
-            F.col("p.id").alias("ids"),
+            F.col("p.id").cast("array<long>").alias("ids"),
             F.col("p.tf").alias("tfs"),
             F.col("p.dl").alias("dls"),
         )
         blocks.sortWithinPartitions("folder", "term", "window").write.partitionBy("folder").parquet(f"{out.root}/blocks")
-        if not _exists(out.spark, f"{out.root}/blocks/folder=0") and out._none():
-            blocks.drop("folder").limit(0).withColumn("folder", F.lit(0)).write.mode("overwrite").parquet(f"{out.root}/blocks")
         words = out.blocks().groupBy("folder", "term").agg(F.sum("n").alias("df"), F.sum("total_tf").alias("total_tf"))
         words.repartitionByRange("folder", "term").sortWithinPartitions("folder", "term").write.parquet(f"{out.root}/terms")
         keyword.corpus_stats(docs.where("id IS NOT NULL"), tokens).write.parquet(f"{out.root}/stats")
         return out
 
-    def _none(self) -> bool:
-        """No posting at all: a partitioned table without rows has no files to tell its columns."""
-        fs, path = _at(self.spark, f"{self.root}/blocks")
-        return not any(s.isDirectory() for s in fs.listStatus(path))
-
     @classmethod
     def temporary(cls, spark: SparkSession, docs: DataFrame, tokens: Column) -> KeywordIndex:
         """An index in a folder that the cluster shares."""
@@ -111,17 +124,8 @@ class KeywordIndex:
 
     @classmethod
     def shared(cls, spark: SparkSession, table: str, docs: Callable[[], DataFrame], tokens: Column) -> KeywordIndex:
-        """The application's index of the table at this path: built by the first query that asks for it, read by later
-        ones, built again once the table's files have changed. The outdated folder goes then.
-        """
-        key, state = (spark.sparkContext.applicationId, table), table_state(spark, table)
-        old_state, old = _BUILT.get(key, ("", None))
-        if old is None or old_state != state or not _exists(spark, f"{old.root}/stats/_SUCCESS"):  # scratch folders may be cleared
-            _BUILT[key] = (state, cls.temporary(spark, docs(), tokens))
-            if old is not None:
-                fs, path = _at(spark, old.root)
-                fs.delete(path, True)
-        return _BUILT[key][1]
+        """The application's index of the table at this path; see `shared`."""
+        return shared(spark, "keyword", table, lambda: cls.temporary(spark, docs(), tokens))
 
     def blocks(self) -> DataFrame:
         """(folder, term, window, n, max_tf, min_dl, total_tf, ids, tfs, dls)."""
