@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
 from lodestone.functions import text as T
-from lodestone.operators import lounge, rate_limit
+from lodestone.operators import lounge, observability, rate_limit, running
 from lodestone.sources.tables import MESSAGES_SQL, events, messages, scratch, table
 
 PRES_SQL = """pres AS (SELECT user_id AS did, CASE WHEN x = 'error' THEN 'ended' ELSE x END AS state, CAST(epoch_us(t) // 1000000 AS BIGINT) AS updated_s, CAST(epoch_us(t) // 1000000 AS BIGINT) + 300 AS lease_s
@@ -74,6 +74,51 @@ def resume_from_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.where("seq > 100").crossJoin(last).where(F.col("seq") > F.col("last") - 2000).orderBy("seq").limit(500).select("seq", "event_type", "user_id")
 
 
+# The log of each type's events: presence of every third user, messages to one user in eleven or to all.
+LOUNGE_SQL = """log AS (SELECT event_type AS space, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq, 'e/' || event_id AS ref, user_id,
+  CASE WHEN user_id % 3 = 0 THEN 'presence' ELSE 'message' END AS kind, CASE WHEN user_id % 3 > 0 AND user_id % 4 > 0 THEN ['u' || (user_id % 11)] ELSE CAST([] AS VARCHAR[]) END AS "to" FROM events),
+newest AS (SELECT space, max(seq) AS last FROM log GROUP BY space),
+pres AS (SELECT space, 'p/' || user_id AS ref FROM log WHERE kind = 'presence' GROUP BY ALL), mess AS (SELECT space, "to", ref FROM log JOIN newest USING (space) WHERE kind = 'message' AND seq > last - 100)"""
+
+
+def _lounge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("space"), "event_id", "user_id")
+    numbered = running.running(e, ["space"], ["event_id"], running.id_range("event_id"))
+    is_message = F.col("user_id") % 3 > 0
+    return numbered.select(
+        "space",
+        F.col("n").cast("long").alias("seq"),
+        F.concat(F.lit("e/"), F.col("event_id").cast("string")).alias("ref"),
+        "user_id",
+        F.when(is_message, "message").otherwise("presence").alias("kind"),
+        F.when(is_message & (F.col("user_id") % 4 > 0), F.array(F.concat(F.lit("u"), (F.col("user_id") % 11).cast("string")))).otherwise(F.array().cast("array<string>")).alias("to"),
+    )
+
+
+@query(f"""WITH {LOUNGE_SQL}, c AS (SELECT s_suppkey AS subscriber, ['view', 'click', 'error', 'signup', 'purchase'][1 + s_suppkey % 5] AS space, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'u' || (s_suppkey % 11) END AS me, s_suppkey % 7 AS k FROM supplier),
+a AS (SELECT subscriber, space, me, coalesce(last, 0) AS last, CASE k WHEN 1 THEN 'e1-' || (last - 10 - subscriber % 20) WHEN 2 THEN 'e0-' || last WHEN 3 THEN 'e1-0' WHEN 4 THEN 'e1-x' WHEN 5 THEN 'e1-' || (last + 5) WHEN 6 THEN 'e1-' || last ELSE '' END AS cursor,
+  CASE k WHEN 1 THEN last - 10 - subscriber % 20 WHEN 3 THEN CASE WHEN last <= 2000 THEN 0 END WHEN 6 THEN last END AS pos FROM c LEFT JOIN newest USING (space)),
+b AS (SELECT *, pos IS NULL AND cursor <> '' AS reset FROM a)
+SELECT subscriber, 'event' AS kind, seq, ref, reset, 'e1-' || seq AS cursor FROM b JOIN log USING (space) WHERE pos IS NOT NULL AND seq > pos AND seq > last - 2000 AND (me = '' OR len("to") = 0 OR list_contains("to", me))
+UNION ALL SELECT subscriber, 'presence', NULL, ref, reset, NULL FROM b JOIN pres USING (space) WHERE pos IS NULL
+UNION ALL SELECT subscriber, 'message', NULL, ref, reset, NULL FROM b JOIN mess USING (space) WHERE pos IS NULL AND (me = '' OR len("to") = 0 OR list_contains("to", me))
+UNION ALL SELECT subscriber, 'ready', last, NULL, reset, 'e1-' || last FROM b""")
+def resume_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a subscriber that comes back: with the tail of the log after its cursor, or with a snapshot."""
+    log = _lounge(spark, sf_dir)
+    newest = log.groupBy("space").agg(F.max("seq").alias("last"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("subscriber"))
+    spaces = F.array(*map(F.lit, ("view", "click", "error", "signup", "purchase")))
+    s = s.withColumn("space", F.get(spaces, (F.col("subscriber") % 5).cast("int"))).join(newest, "space", "left")
+    me = F.when(F.col("subscriber") % 4 == 0, "").otherwise(F.concat(F.lit("u"), (F.col("subscriber") % 11).cast("string")))
+    k, last = F.col("subscriber") % 7, F.col("last")
+    at = lambda epoch, n: F.concat(F.lit(f"{epoch}-"), n.cast("string"))
+    cursor = F.when(k == 1, at("e1", last - 10 - F.col("subscriber") % 20)).when(k == 2, at("e0", last)).when(k == 3, "e1-0").when(k == 4, "e1-x").when(k == 5, at("e1", last + 5)).when(k == 6, at("e1", last)).otherwise("")
+    presence = log.where("kind = 'presence'").select("space", F.concat(F.lit("p/"), F.col("user_id").cast("string")).alias("ref")).distinct()
+    recent = log.join(newest, "space").where("kind = 'message' AND seq > last - 100")
+    return lounge.resume(log, s.select("subscriber", "space", me.alias("me"), cursor.alias("cursor")), presence, recent, "e1")
+
+
 @query("SELECT user_id % 7 AS space, CAST(epoch_us(date_trunc('minute', ts)) // 1000000 AS BIGINT) AS minute_s, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2")
 def rate_limit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).groupBy((F.col("user_id") % 7).alias("space"), F.unix_seconds(F.date_trunc("minute", F.col("ts"))).alias("minute_s")).agg(F.count("*").alias("n"))
@@ -152,6 +197,34 @@ def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("event_type", F.unix_seconds("w.start").alias("hour_s"), "n", F.round(F.col("n") / F.lit(3600.0), 6).alias("rate"), "total")
 
 
+@query("""WITH c AS (SELECT event_type, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t, row_number() OVER (PARTITION BY event_type ORDER BY event_id) % 50 AS v FROM events),
+o AS (SELECT event_type, t, CAST(-floor(-t / 21600.0::DOUBLE) AS BIGINT) * 21600 AS "end", CAST(max(v) AS DOUBLE) AS v FROM c GROUP BY ALL),
+l AS (SELECT *, lag(v) OVER w AS before FROM o WINDOW w AS (PARTITION BY event_type, "end" ORDER BY t)),
+g AS (SELECT event_type, "end", count(*) AS n, coalesce(sum(CASE WHEN v < before THEN v ELSE v - before END), 0) AS seen, min(t) AS first, max(t) AS last, min_by(v, t) AS v0 FROM l GROUP BY ALL HAVING count(*) > 1),
+s AS (SELECT *, CAST(last - first AS DOUBLE) AS span, CAST(last - first AS DOUBLE) / (n - 1) AS each, CAST(first - ("end" - 21600) AS DOUBLE) AS b0, CAST("end" - last AS DOUBLE) AS a0 FROM g),
+e AS (SELECT *, CASE WHEN b0 < each * 1.1::DOUBLE THEN b0 ELSE each / 2 END AS b1, CASE WHEN a0 < each * 1.1::DOUBLE THEN a0 ELSE each / 2 END AS a1, CASE WHEN seen > 0 AND v0 >= 0 THEN span * v0 / seen END AS z FROM s)
+SELECT event_type, "end" AS end_s, n, round(seen * (span + CASE WHEN z < b1 THEN z ELSE b1 END + a1) / span, 6) AS increase FROM e""")
+def counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of each type's counter, which begins again after every 49 events, in windows of six hours."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    counted = running.running(e, ["event_type"], ["event_id"], running.id_range("event_id")).withColumn("v", F.col("n") % 50)
+    grown = observability.increase(counted, ["event_type"], "at", "v", 21600)
+    return grown.select("event_type", F.col("end").alias("end_s"), "n", F.round("increase", 6).alias("increase"))
+
+
+@query("""WITH b(le, i) AS (VALUES (1.0::DOUBLE, 0), (5.0, 1), (10.0, 2), (25.0, 3), (50.0, 4), (100.0, 5), (250.0, 6), ('Infinity'::DOUBLE, 7)),
+h AS (SELECT event_type, le, i, CAST(count(*) FILTER (WHERE value <= le) AS DOUBLE) AS n FROM events CROSS JOIN b WHERE value IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS total, coalesce(lag(n) OVER o, 0) AS below, coalesce(lag(le) OVER o, 0) AS low FROM h WINDOW o AS (PARTITION BY event_type ORDER BY le)),
+q(quantile) AS (VALUES (0.5::DOUBLE), (0.95), (0.99)), r AS (SELECT *, row_number() OVER (PARTITION BY event_type, quantile ORDER BY le) AS rn FROM w CROSS JOIN q WHERE n >= quantile * total)
+SELECT event_type, quantile, round(CASE WHEN le = 'Infinity'::DOUBLE THEN 250.0::DOUBLE ELSE low + (le - low) * (quantile * total - below) / (n - below) END, 6) AS value FROM r WHERE rn = 1""")
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, 95th and 99th percentile of each type's values out of the buckets of its histogram."""
+    edges = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, float("inf")]
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type").agg(*(F.count_if(F.col("value") <= x).alias(f"n{i}") for i, x in enumerate(edges)))
+    b = e.select("event_type", F.inline(F.array(*(F.struct(F.lit(x).alias("le"), F.col(f"n{i}").alias("n")) for i, x in enumerate(edges)))))
+    return observability.histogram_quantile(b, ["event_type"], [0.5, 0.95, 0.99]).select("event_type", "quantile", F.round("value", 6).alias("value"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of a record's JSON; a field of a wrong type is null, not an error."""

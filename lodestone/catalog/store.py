@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
 from lodestone.operators import feeds, filters, running
+from lodestone.operators import model_change as changing
 from lodestone.sources.store import missing_embeddings
 from lodestone.sources.tables import MEMORIES_SQL, events, memories, placed, table, tombstones
 
@@ -226,6 +227,63 @@ def generation_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.visible(rows, gone, "id", "generation")
 
 
+# Events as the configuration log of seven spaces. A model is written name@digest/dims; it is null if a part is missing.
+CONFIG_SQL = """l AS (SELECT user_id % 7 AS space, event_id AS seq, CASE event_type WHEN 'signup' THEN 'declare' WHEN 'view' THEN 'next' WHEN 'purchase' THEN 'promote' WHEN 'error' THEN 'cancel' ELSE event_type END AS action,
+  CASE WHEN k % 13 > 0 THEN CASE WHEN k % 3 = 0 THEN 'nomic-embed-text' ELSE 'm' || (k % 3) END || '@d' || (k % 2) || '/' || (64 + k % 2 * 32) END AS m, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS n
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
+f AS (SELECT space, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, '' AS action, CAST(NULL AS VARCHAR) AS refusal, CAST(NULL AS VARCHAR) AS model, CAST(NULL AS VARCHAR) AS "next", '' AS dp, '' AS qp, CAST(NULL AS VARCHAR) AS active, CAST(NULL AS VARCHAR) AS building, false AS resync FROM l GROUP BY space
+  UNION ALL
+  SELECT space, n, seq, action, refusal, model, "next", dp, qp, active,
+    CASE WHEN refusal IS NOT NULL THEN b1 ELSE want END, refusal IS NULL AND (fresh OR (want IS NOT NULL AND want IS DISTINCT FROM b1))
+  FROM (SELECT *, CASE WHEN "next" IS DISTINCT FROM model THEN "next" END AS want FROM (
+    SELECT space, n, seq, action, refusal, model, "next", CASE WHEN new AND starts_with(model, 'nomic-embed-text') THEN 'search_document: ' WHEN new THEN '' ELSE dp END AS dp, CASE WHEN new AND starts_with(model, 'nomic-embed-text') THEN 'search_query: ' WHEN new THEN '' ELSE qp END AS qp,
+      CASE WHEN refusal IS NULL THEN model ELSE a0 END AS active, refusal IS NULL AND a0 IS DISTINCT FROM model AND b0 IS DISTINCT FROM model AS fresh,
+      CASE WHEN refusal IS NULL AND a0 IS DISTINCT FROM model AND b0 IS NOT DISTINCT FROM model THEN NULL ELSE b0 END AS b1
+    FROM (SELECT space, n, seq, action, refusal, dp, qp, a0, b0, refusal IS NULL AND action IN ('declare', 'promote') AS new,
+        CASE WHEN refusal IS NULL AND action = 'declare' THEN m WHEN refusal IS NULL AND action = 'promote' THEN x0 ELSE m0 END AS model,
+        CASE WHEN refusal IS NOT NULL THEN x0 WHEN action = 'next' THEN m END AS "next"
+      FROM (SELECT l.space, l.n, l.seq, l.action, l.m, f.model AS m0, f."next" AS x0, f.dp, f.qp, f.active AS a0, f.building AS b0,
+          CASE l.action WHEN 'declare' THEN CASE WHEN m IS NULL THEN 'incomplete model' END
+            WHEN 'next' THEN CASE WHEN f.model IS NULL THEN 'no model' WHEN m IS NULL THEN 'incomplete model' WHEN m = f.model THEN 'same model' END
+            WHEN 'promote' THEN CASE WHEN f."next" IS NULL THEN 'no change in progress' END
+            WHEN 'cancel' THEN CASE WHEN f.model IS NULL THEN 'no model' END ELSE 'unknown action' END AS refusal
+        FROM f JOIN l ON l.space = f.space AND l.n = f.n + 1)))))"""
+
+
+def _config_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    actions = F.create_map(*(F.lit(x) for pair in (("signup", "declare"), ("view", "next"), ("purchase", "promote"), ("error", "cancel")) for x in pair))
+    e = table(spark, sf_dir, "events").withColumn("k", k)
+    log = e.select(
+        (F.col("user_id") % 7).alias("space"),
+        F.col("event_id").alias("seq"),
+        F.coalesce(F.element_at(actions, F.col("event_type")), F.col("event_type")).alias("action"),
+        F.when(F.col("k") % 13 > 0, F.when(F.col("k") % 3 == 0, "nomic-embed-text").otherwise(F.concat(F.lit("m"), (F.col("k") % 3).cast("string")))).alias("name"),
+        F.concat(F.lit("d"), (F.col("k") % 2).cast("string")).alias("digest"),
+        (64 + F.col("k") % 2 * 32).alias("dims"),
+        F.lit("").alias("document_prefix"),
+        F.lit("").alias("query_prefix"),
+    )
+    return changing.fold(log)
+
+
+@query(f"""WITH RECURSIVE {CONFIG_SQL} SELECT space, seq, action, refusal, model, "next", dp AS document_prefix, qp AS query_prefix, active, building, resync FROM f WHERE n > 0""")
+def config_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of the spaces' configuration logs and the state after it: models, slots, and who must sync again."""
+    return _config_states(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {CONFIG_SQL}, cur AS (SELECT space, max_by(active, n) AS active, arg_max_null(building, n) AS building FROM f GROUP BY space),
+mem AS (SELECT doc_id % 7 AS space, CASE WHEN doc_id % 3 = 0 THEN ['m1@d1/96', 'nomic-embed-text@d0/64', 'm2@d0/64'] ELSE ['m1@d1/96', 'm2@d0/64', 'm2@d1/96', 'nomic-embed-text@d1/96', 'm1@d0/64'] END AS models FROM documents)
+SELECT space, count(*) AS n, count(*) FILTER (WHERE list_contains(models, active)) AS searchable, count(*) FILTER (WHERE list_contains(models, building)) AS built,
+  building IS NOT NULL AND count(*) FILTER (WHERE list_contains(models, building)) = count(*) AS ready FROM mem JOIN cur USING (space) GROUP BY space, building""")
+def slot_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the spaces' slots are filled, and which building slot can be promoted."""
+    some, most = (F.array(*map(F.lit, x)) for x in (("m1@d1/96", "nomic-embed-text@d0/64", "m2@d0/64"), ("m1@d1/96", "m2@d0/64", "m2@d1/96", "nomic-embed-text@d1/96", "m1@d0/64")))
+    m = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("space"), F.when(F.col("doc_id") % 3 == 0, some).otherwise(most).alias("models"))
+    return changing.slot_progress(_config_states(spark, sf_dir), m, F.col("models"))
+
+
 @query("""SELECT d.source AS author, count(*) AS n, count(e.embedding) AS done, count(*) - count(e.embedding) AS missing, count(*) = count(e.embedding) AS ready
 FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id GROUP BY 1""")
 def model_change(spark: SparkSession, sf_dir: str) -> DataFrame:
