@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog.keyword import BM25_SQL, FILLER, TERMS, index
 from lodestone.catalog.registry import query
 from lodestone.catalog.vectors import CODE_SQL, DIST_SQL, Q_SQL, SIM_SQL, codes, query_vector
+from lodestone.functions.highlight import highlights
 from lodestone.operators import filters, keyword
 from lodestone.operators import vector_search as S
 from lodestone.plans import search
@@ -97,3 +98,28 @@ def merge_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = best.select("space", "mode", "uri", F.round(F.col("v") / 100, 6).alias("sim"), F.row_number().over(Window.partitionBy("space").orderBy(F.desc("v"), "uri")).alias("pos"))
     # a place beyond the 30th has 30 better ones in its own list
     return search.merge_spaces(lists.where("pos <= 30"), 30)
+
+
+@query(rf"""WITH {BM25_SQL}, {MEMORIES_SQL}, top AS (SELECT id, kw FROM bm ORDER BY kw DESC, id LIMIT 20),
+page AS (SELECT top.id, kw, text, tags, source FROM top JOIN mem USING (id)),
+fld AS (SELECT id, 0 AS f, 0 AS tag, text AS src FROM page UNION ALL SELECT id, 1, CAST(unnest(range(len(tags))) AS INTEGER), unnest(tags) FROM page UNION ALL SELECT id, 2, 0, source FROM page),
+cut AS (SELECT id, f, tag, src, regexp_extract_all(src, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS parts FROM fld WHERE src <> ''),
+pieces AS (SELECT id, f, tag, i, parts[i] AS w, octet_length(encode(parts[i])) AS n FROM cut, unnest(range(1, len(parts) + 1)) AS g(i)),
+placed AS (SELECT *, CAST(sum(n) OVER (PARTITION BY id, f, tag ORDER BY i) AS INTEGER) AS stop FROM pieces),
+spot AS (SELECT id, f, tag, stop - n AS start, stop FROM placed WHERE lower(w) IN ('the', 'licensed', 'ouwhea', 'tion', 'license')),
+best AS (SELECT id, f, tag, count(*) AS matches, min(start) AS first FROM spot GROUP BY id, f, tag QUALIFY row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, f, tag) = 1),
+chars AS (SELECT id, k, substr(src, k, 1) AS c, CAST(sum(octet_length(encode(substr(src, k, 1)))) OVER (PARTITION BY id ORDER BY k) AS INTEGER) AS stop FROM (SELECT id, src, unnest(range(1, length(src) + 1)) AS k FROM best JOIN fld USING (id, f, tag))),
+win AS (SELECT id, max(CASE WHEN stop - octet_length(encode(c)) <= greatest(0, first - 50) THEN stop - octet_length(encode(c)) END) AS lo, max(stop) AS total FROM chars JOIN best USING (id) GROUP BY id),
+ends AS (SELECT id, lo, total, coalesce(min(CASE WHEN stop >= lo + 200 THEN stop END), total) AS hi FROM win JOIN chars USING (id) GROUP BY id, lo, total),
+said AS (SELECT id, lo, hi, total, string_agg(c, '' ORDER BY k) AS s FROM ends JOIN chars USING (id) WHERE stop > lo AND stop <= hi GROUP BY ALL),
+bare AS (SELECT *, CASE WHEN lo > 0 THEN '…' ELSE '' END AS pre, CASE WHEN hi < total THEN '…' ELSE '' END AS post, octet_length(encode(s)) - octet_length(encode(ltrim(s, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160)))) AS lead FROM said)
+SELECT best.id, kw, ['text', 'tag', 'source'][f + 1] AS field, tag, CAST(matches AS INTEGER) AS matches, pre || trim(s, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160)) || post AS snippet, highlights
+FROM best JOIN bare USING (id) JOIN top USING (id) LEFT JOIN (
+  SELECT id, string_agg((start + shift) || '-' || (stop + shift), ' ' ORDER BY start) AS highlights
+  FROM (SELECT spot.id, spot.start, spot.stop, octet_length(encode(pre)) - lo - lead AS shift FROM spot JOIN best USING (id, f, tag) JOIN bare USING (id) WHERE spot.start >= lo AND spot.stop <= hi) GROUP BY id) USING (id)""")
+def highlighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a keyword search with snippets and the byte ranges of its matches."""
+    top = index(spark, sf_dir).search(TERMS, 20)
+    page = memories(spark, sf_dir).select("id", "text", "tags", "source").join(F.broadcast(top), "id").withColumn("terms", F.array(*map(F.lit, TERMS)))  # twenty rows
+    shown = F.array_join(F.transform("highlights", lambda h: F.concat(h["start"].cast("string"), F.lit("-"), h["end"].cast("string"))), " ")
+    return highlights(page).withColumn("highlights", F.when(F.size("highlights") > 0, shown))
