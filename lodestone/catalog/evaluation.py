@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.catalog.keyword import CODES_SQL, LEN_SQL, POST_SQL, STATS_SQL, index
 from lodestone.catalog.registry import query
-from lodestone.functions.scores import d
+from lodestone.functions import vectors as V
+from lodestone.functions.scores import d, decoded_length, idf
 from lodestone.operators import keyword, metrics
 from lodestone.operators import vector_search as S
-from lodestone.plans import evaluate
+from lodestone.plans import evaluate, tuning
 from lodestone.sources.tables import table
 
 QUERIES = 40
@@ -179,6 +181,58 @@ def grid_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.select(parts[0].cast("double").alias("k1"), parts[1].cast("double").alias("b"), parts[2].cast("double").alias("stem"), "ndcg", "n")
 
 
+# Twelve terms of each query, in two groups of a word, its stem, two parts and their stems; every setting of the grid.
+GRID_SQL = f"""{CODES_SQL}, {RUN_SQL}, {LEN_SQL}, {STATS_SQL}, {POST_SQL},
+ask AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY i) - 1 AS INTEGER) AS leaf, term FROM (
+  SELECT item_id AS query, term, min(i) AS i FROM (SELECT item_id, unnest(t) AS term, unnest(range(len(t))) AS i FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1) AS t FROM benchmark WHERE item_id < {QUERIES})) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY i) <= 12),
+dfs AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM post WHERE term IN (SELECT term FROM ask) GROUP BY term),
+un AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+cnd AS (SELECT base.query, base.doc, CAST(dls.dl AS DOUBLE) AS dl, grade, round(list_dot_product(a.v, q.v), 6) AS sim FROM base JOIN dls ON dls.id = base.doc LEFT JOIN grades g ON g.query = base.query AND g.doc = base.doc LEFT JOIN un a ON a.id = base.doc LEFT JOIN un q ON q.id = base.query
+  QUALIFY row_number() OVER (PARTITION BY base.query ORDER BY sim DESC NULLS LAST, base.doc) <= 200),
+kb AS (SELECT * FROM (VALUES (0.9::DOUBLE), (1.2::DOUBLE), (1.6::DOUBLE)) k(k1) CROSS JOIN (VALUES (0.4::DOUBLE), (0.75::DOUBLE)) x(b)),
+lf AS (SELECT cnd.query, doc, k1, b, leaf, ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg_dl)) AS s
+  FROM cnd JOIN ask USING (query) JOIN post ON post.id = cnd.doc AND post.term = ask.term JOIN dfs ON dfs.term = ask.term CROSS JOIN stats CROSS JOIN kb),
+pv AS (SELECT query, doc, k1, b, {", ".join(f"coalesce(max(s) FILTER (WHERE leaf = {i}), 0::DOUBLE) AS s{i}" for i in range(12))} FROM cnd CROSS JOIN kb LEFT JOIN lf USING (query, doc, k1, b) GROUP BY query, doc, k1, b),
+w AS (SELECT * FROM (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.85::DOUBLE), (1.0::DOUBLE)) a(stem) CROSS JOIN (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) c(parts) CROSS JOIN (VALUES (0.5::DOUBLE), (0.8::DOUBLE)) e(ps)),
+kw AS (SELECT pv.query, pv.doc, k1, b, stem, parts, ps, sim, grade, round(greatest(s0, stem * s1, parts * (greatest(s2, ps * s3) + greatest(s4, ps * s5))) + greatest(s6, stem * s7, parts * (greatest(s8, ps * s9) + greatest(s10, ps * s11))), 6) AS kw FROM pv JOIN cnd USING (query, doc) CROSS JOIN w),
+nm AS (SELECT *, min(sim) OVER p AS lo, max(sim) OVER p AS hi, max(kw) OVER p AS top, CASE WHEN sim > 0 THEN row_number() OVER (PARTITION BY query, k1, b, stem, parts, ps ORDER BY greatest(coalesce(sim, 0), 0) DESC, doc) END AS vr, CASE WHEN kw > 0 THEN row_number() OVER (PARTITION BY query, k1, b, stem, parts, ps ORDER BY kw DESC, doc) END AS kr FROM kw WINDOW p AS (PARTITION BY query, k1, b, stem, parts, ps)),
+fu AS (SELECT nm.*, alpha, round(CASE WHEN alpha IS NULL THEN coalesce(1 / (60 + CAST(vr AS DOUBLE)), 0) + coalesce(1 / (60 + CAST(kr AS DOUBLE)), 0)
+  ELSE (1 - alpha) * CASE WHEN hi > lo THEN coalesce((sim - lo) / (hi - lo), 0) ELSE 0 END + alpha * CASE WHEN top > 0 THEN kw / top ELSE 0 END END, 6) AS f FROM nm CROSS JOIN (VALUES (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (NULL)) al(alpha)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query, k1, b, stem, parts, ps, alpha ORDER BY f DESC, doc) AS r FROM fu),
+gi AS (SELECT query, sum((pow(2, grade) - 1) / log2(CAST(r AS DOUBLE) + 1)) AS v FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc) AS r FROM grades) WHERE r <= 10 GROUP BY query),
+qn AS (SELECT rk.query, k1, b, stem, parts, ps, alpha, sum((pow(2, coalesce(grade, 0)) - 1) / log2(CAST(r AS DOUBLE) + 1)) / min(gi.v) AS nd FROM rk JOIN gi ON gi.query = rk.query AND gi.v > 0 WHERE r <= 10 GROUP BY ALL),
+cn AS (SELECT query % 5 AS category, k1, b, stem, parts, ps, alpha, avg(nd) AS m, count(*) AS n FROM qn GROUP BY ALL)"""
+
+
+@query(f"""WITH {GRID_SQL} SELECT stem, parts, ps AS part_stem, k1, b, alpha, round(avg(m), 6) AS ndcg, CAST(sum(n) AS BIGINT) AS n FROM cn GROUP BY ALL""")
+def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 576 settings of weights, BM25 and fusion, with the queries' own terms: mean nDCG@10 over categories."""
+    at = index(spark, sf_dir)
+    texts = table(spark, sf_dir, "benchmark").where(F.col("item_id") < QUERIES).select(F.col("item_id").alias("query"), F.slice(F.array_distinct(keyword.simple_tokens(F.col("text"))), 1, 12).alias("terms"))
+    ask = texts.select("query", F.posexplode("terms").alias("leaf", "term"))
+    stats = F.broadcast(at._part("stats"))  # one row
+    weighed = ask.join(at.dictionary().select("term", "df"), "term", "left").crossJoin(stats).withColumn("idf", F.when(F.col("df") > 0, idf(F.col("n"), F.col("df"))).otherwise(d(0)))
+    filled = lambda found, value: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.coalesce(F.get(F.transform(F.filter(found, lambda e: e["leaf"] == i), lambda e: e[value]), F.lit(0)), d(0)))
+    per_query = weighed.groupBy("query").agg(F.collect_list(F.struct("leaf", "idf")).alias("e")).select("query", filled(F.col("e"), "idf").alias("idf"))  # twelve
+    base = _base(spark, sf_dir).select("query", "doc")
+    # only the queries' terms of the judged documents leave the index
+    posted = at.postings(ask).select("term", F.col("id").alias("doc"), "tf")
+    counts = posted.join(base, "doc").join(ask, ["query", "term"]).groupBy("query", "doc").agg(F.collect_list(F.struct("leaf", F.col("tf").cast("double").alias("tf"))).alias("e"))
+    lengths = keyword.lengths(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), keyword.simple_tokens(F.col("text"))).select(F.col("id").alias("doc"), decoded_length(F.col("dl")).alias("dl"))
+    unit = table(spark, sf_dir, "embeddings").select("vec_id", V.normalized(F.col("embedding")).alias("v"))
+    near = base.join(unit.select(F.col("vec_id").alias("doc"), F.col("v").alias("a")), "doc").join(unit.select(F.col("vec_id").alias("query"), F.col("v").alias("q")), "query")
+    near = near.select("query", "doc", F.round(V.dot("a", "q"), 6).alias("sim"))
+    judged = _grades(spark, sf_dir)
+    ideal = metrics.ideal_gains(judged, 10)
+    none = F.expr("cast(array() as array<struct<leaf:int,tf:double>>)")
+    c = base.join(counts, ["query", "doc"], "left").join(lengths, "doc").join(near, ["query", "doc"], "left").join(judged, ["query", "doc"], "left").join(per_query, "query").join(ideal, "query", "left").crossJoin(stats)
+    c = c.select("query", "doc", filled(F.coalesce("e", none), "tf").alias("tf"), "dl", "sim", "grade", "idf", F.col("avg_dl").alias("average"), "ideal")
+    grid = evaluate.grid()
+    settings = F.broadcast(spark.createDataFrame([(i, *(g[k] for k in evaluate.GRID)) for i, g in enumerate(grid)], "setting int, " + ", ".join(f"{k} double" for k in evaluate.GRID)))  # 576 rows
+    found = tuning.macro(tuning.tune(c, grid), F.col("query") % 5).join(settings, "setting")
+    return found.select("stem", "parts", "part_stem", "k1", "b", "alpha", F.round("ndcg", 6).alias("ndcg"), "n")
+
+
 @query(f"""WITH {RUN_SQL}, {NDCG_SQL}, p AS (SELECT a.query, a.ndcg AS a, b.ndcg AS b FROM nd a JOIN nd b ON a.query = b.query AND a.system = 'length' AND b.system = 'spread')
 SELECT 'c' || (query % 5) AS category, count(a) AS n, round(avg(a), 6) AS length_ndcg, round(avg(b), 6) AS spread_ndcg, round(avg(a - b), 6) AS difference FROM p GROUP BY 1""")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:

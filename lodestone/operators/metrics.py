@@ -39,11 +39,16 @@ def _gain(grade: Column, rank: Column) -> Column:
     return (F.pow(d(2), d(grade)) - d(1)) / F.log2(d(rank) + d(1))
 
 
+def ideal_gains(grades: DataFrame, k: int) -> DataFrame:
+    """(query, ideal): the gain of each query's ideal order of all judged."""
+    best = grades.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("grade"), "doc"))).where(F.col("r") <= k)
+    return best.groupBy("query").agg(F.sum(_gain(F.col("grade"), F.col("r"))).alias("ideal"))
+
+
 def ndcg(run: DataFrame, grades: DataFrame, k: int) -> DataFrame:
     """Gain 2^grade - 1, discount log2(rank + 1), over the ideal order of all judged; null without an ideal."""
     got = graded(run.where(F.col("rank") <= k), grades).groupBy(*KEYS).agg(F.sum(_gain(F.col("grade"), F.col("rank"))).alias("dcg"))
-    best = grades.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("grade"), "doc"))).where(F.col("r") <= k)
-    best = best.groupBy("query").agg(F.sum(_gain(F.col("grade"), F.col("r"))).alias("ideal"))
+    best = ideal_gains(grades, k)
     both = run.select(*KEYS).distinct().join(got, KEYS, "left").join(best, "query", "left")
     return both.select(*KEYS, F.when(F.col("ideal") > 0, F.round(F.coalesce("dcg", d(0)) / F.col("ideal"), 6)).alias("ndcg"))
 

@@ -137,9 +137,13 @@ class KeywordIndex:
         folders = self.spark.sql("SELECT 0").select(F.array(*(_folder(F.lit(t)) for t in wanted)).cast("array<int>")).first()[0]
         return rows.where(F.col("folder").isin(folders) & F.col("term").isin(wanted))
 
-    def postings(self, terms: Sequence[str] | None = None) -> DataFrame:
-        """(term, id, tf, dl) of the terms' lists, or of all."""
-        rows = self.blocks() if terms is None else self._of(self.blocks(), terms)
+    def postings(self, terms: Sequence[str] | DataFrame | None = None) -> DataFrame:
+        """(term, id, tf, dl) of the terms' lists (names, or rows with a term), or of all."""
+        rows = self.blocks()
+        if isinstance(terms, DataFrame):
+            rows = rows.join(terms.select("term", _folder(F.col("term")).alias("folder")), ["folder", "term"], "left_semi")
+        elif terms is not None:
+            rows = self._of(rows, terms)
         return rows.select("term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
 
     def dictionary(self, terms: Sequence[str] | None = None) -> DataFrame:
