@@ -30,10 +30,16 @@ def _key(line: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, site: str, text: str) -> DataFrame:
-    keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))
+    own = F.array_distinct(F.transform(_lines(text), lambda x: F.trim(x)))  # strings, which Spark tells apart by hash
+    keys = F.transform(F.filter(own, lambda x: x != ""), _key)
     return docs.select("doc_id", F.coalesce(F.col(site), F.lit("")).alias("site"), F.explode(keys).alias("line"))
 
 
+def _row(text: str) -> Column:
+    """What rows with the same lines to lose share: 128 bits of the id and the text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", text: str = "text") -> DataFrame:
     """(line, keeper): hash of each line on min_sites or more sites, and the smallest doc_id that has it."""
     seen = _occurrences(docs, site, text)
@@ -56,13 +62,20 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     dropped: a document of boilerplate alone gets an empty text. Columns named n_lines or n_removed are replaced.
     """
     lines = cut(boilerplate(docs, min_sites, site, text))
-    bad = _occurrences(docs, site, text).join(lines, "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    bad = bad.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__bad"))
-    both = docs.drop("n_lines", "n_removed").join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__bad"), _key(x)) | (F.trim(x) == ""))
+    # the row's hash is taken before its lines become rows, once for each text
+    found = docs.select("doc_id", _row(text).alias("__row"), _lines(text).alias("line")).select("doc_id", "__row", F.posexplode("line").alias("at", "line")).where(F.trim("line") != "")
+    bad = found.select("doc_id", "__row", "at", _key(F.col("line")).alias("line")).join(lines, "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    bad = bad.groupBy("__row").agg(F.collect_set("at").alias("__bad"))  # places in one document
+    both = docs.drop("n_lines", "n_removed").withColumn("__row", _row(text)).join(bad, "__row", "left")
+    # places are whole numbers, which array_except tells apart by hash: the work grows with the lines, not their square
+    places = F.sequence(F.lit(0), F.size(_lines(text)) - 1)
+
+    def rest(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(places, "__bad"), lambda i: F.get(lines, i)), "\n")
+
+    kept = F.element_at(F.transform(F.array(_lines(text)), rest), 1)  # an array of one, so that the text is split once
     total = F.coalesce(F.size(_lines(text)), F.lit(0))
-    clean = both.withColumn("__kept", F.when(F.col("__bad").isNull(), _lines(text)).otherwise(kept))
-    clean = clean.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(total).cast("long"))
-    clean = clean.withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
-    clean = clean.withColumn(text, F.when(F.col("n_removed") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text)))
+    clean = both.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(total).cast("long"))
+    clean = clean.withColumn("n_removed", F.coalesce(F.size("__bad"), F.lit(0)).cast("long"))
+    clean = clean.withColumn(text, F.when(F.col("n_removed") > 0, kept).otherwise(F.col(text)))
     return clean.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

@@ -117,8 +117,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # its SQL sets ten sites; the pipeline takes the default
-    return line_dedup.dedup_lines(docs, min_sites=10).select("doc_id", "n_lines", "n_removed", F.col("text").alias("clean_text"))
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.col("text").alias("clean_text"))
 
 
 OP7_SQL = """
@@ -126,7 +125,7 @@ WITH lines AS (
   SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line FROM documents
 ), bad AS (
   SELECT trim(line) AS line, min(doc_id) AS keeper FROM lines WHERE trim(line) <> ''
-  GROUP BY 1 HAVING count(DISTINCT site) >= 10
+  GROUP BY 1 HAVING count(DISTINCT site) >= 5
 ), split AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
 ), marked AS (
