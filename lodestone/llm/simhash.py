@@ -37,7 +37,7 @@ from lodestone.llm.similarity import similar_links
 BLOCK = 4096
 #: Pairs of nodes in one slice of the walk, and pairs of rows below which a pair of nodes is settled row by row.
 SLICE, LEAF = 1 << 14, 256
-#: Hash functions whose sampled shingles root a trie, as many again part crowded ones. A pair of similarity 0.8
+#: Sampled shingles that root a trie; twice as many further ones part crowded groups. A pair of similarity 0.8
 #: shares none of four with a probability of 0.0016.
 SAMPLES = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -129,8 +129,8 @@ def simhash(docs: DataFrame, words: int = 5, bits: int = 64, text: str = "text")
 
 def set_prints(docs: DataFrame, words: int, bits: int, text: str = "text") -> DataFrame:
     """`docs` without its text, with the columns of its shingle set: `set_key` (16 bytes, equal for equal sets),
-    `fingerprint` (each shingle votes once), `n_shingles` and `samples`, the smallest and then the largest hash by
-    each of bits / 64 hash functions (empty for an empty set). No shuffle.
+    `fingerprint` (each shingle votes once), `n_shingles` and `samples` (empty for an empty set): the smallest hash by
+    each of bits / 64 hash functions, then the largest, then the smallest by as many functions again. No shuffle.
     """
     added = ["set_key", "fingerprint", "n_shingles", "samples"]
     source = docs.drop(*added).select(*[c for c in docs.columns if c not in (text, *added)], F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -147,7 +147,9 @@ def set_prints(docs: DataFrame, words: int, bits: int, text: str = "text") -> Da
                 some = np.flatnonzero(count)
                 lanes = [_lane(h, w) for w in range(bits // 64)]
                 prints = np.concatenate([_majority(x, at) for x in lanes], 1)
-                samples = np.stack([f.reduceat(x, at[:-1][some]) for f in (np.minimum, np.maximum) for x in lanes], 1) if len(some) else np.zeros((0, 0), np.uint64)
+                more = [_lane(h, w) for w in range(bits // 64, bits // 32)]
+                drawn = [(np.minimum, lanes), (np.maximum, lanes), (np.minimum, more)]
+                samples = np.stack([f.reduceat(x, at[:-1][some]) for f, xs in drawn for x in xs], 1) if len(some) else np.zeros((0, 0), np.uint64)
                 sizes = np.zeros(b - a + 1, np.int64)
                 sizes[1:][some] = samples.shape[1]
                 columns = [
@@ -285,12 +287,13 @@ def section_nodes(prints: DataFrame, bits: int, budget: int) -> DataFrame:
 def shingle_nodes(prints: DataFrame) -> DataFrame:
     """(node, fingerprint, id) of `prints` (fingerprint, id, n_shingles, samples): a group for each sampled shingle.
 
-    A crowded group (a passage that very many documents hold) is parted by further samples and by the number of
-    shingles, where each document goes to its own class and the next, since sets of a similarity of 0.8 differ
-    by one class at most. What is crowded still (near copies) is dealt out as pairs of blocks.
+    A crowded group (a passage that very many documents hold) is parted by all further samples, eight of them, of which
+    sets of a similarity of 0.8 share none with a probability of 0.0000026, and by the number of shingles, where each
+    document goes to its own class and the next, since such sets differ by one class at most. What is crowded still
+    (near copies) is dealt out as pairs of blocks.
     """
     first = F.slice("samples", 1, SAMPLES)
-    rows = prints.select("fingerprint", "id", "n_shingles", F.slice("samples", SAMPLES + 1, SAMPLES).alias("more"), F.posexplode(first).alias("k", "sample"))
+    rows = prints.select("fingerprint", "id", "n_shingles", F.slice("samples", SAMPLES + 1, 2 * SAMPLES).alias("more"), F.posexplode(first).alias("k", "sample"))
     rows = rows.withColumn("node", F.xxhash64("k", "sample")).drop("k", "sample")
     crowded = cut(rows.groupBy("node").count().where(F.col("count") > BLOCK).select("node", F.lit(True).alias("crowded")))
     if crowded.isEmpty():
@@ -363,7 +366,8 @@ def similar_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Sets of a similarity of 0.8 differ in 15 % of the bits (39 of 256 with a deviation of 6; up to 19 % where
     sets have a few shingles only), so a budget of a quarter leaves two and a half deviations or more. A link is
     missed if its texts share no sampled shingle (0.0016 at 0.8) or exceed the budget; no pair under `similarity`
-    links. Null and empty texts are one component; null ids, equal rows, clashing names and empty tables as in
+    links. (Sets that share a shingle with over BLOCK others need one of eight further samples too, which adds 0.0000026.)
+    Null and empty texts are one component; null ids, equal rows, clashing names and empty tables as in
     near_duplicates.
     """
     clash = ("fingerprint", "component_id", "root", "set_key", "n_shingles", "samples", "__text_key")

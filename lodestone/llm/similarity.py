@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, ranges, runs, whole_groups
+from lodestone.llm.common import cut, ranges, runs, sums_between, whole_groups
 
 #: Shingles of one block; components with more are dealt out as pairs of blocks.
 BLOCK_SHINGLES = 1 << 19
@@ -18,27 +18,58 @@ BLOCK_SHINGLES = 1 << 19
 def alike(ids: np.ndarray, bounds: np.ndarray, similarity: float, block: np.ndarray | None = None) -> np.ndarray:
     """For sets of small integers, one after the other: the first set of each one's component.
 
-    Each set is marked in a table and counted against all later ones that are not in its component yet and
-    whose size allows the similarity. With `block`, only sets of different blocks are compared.
+    Sets of n members, in order of rarity, that are similar enough share one of their first
+    n - ceil(similarity * n) + 1. So only sets that share such a member are compared: each in turn is marked in a
+    table and counted against the others there that are not in its component yet and whose size allows
+    the similarity. After a few, which unite near copies, a pair counts only under the rarest member that it shares,
+    so that none is compared again and again. With `block`, only sets of different blocks are compared.
     """
     size = np.diff(bounds)
     root = np.arange(len(size))
-    marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
-    for i in range(len(size) - 1):
-        ratio = np.minimum(size[i + 1 :], size[i]) / np.maximum(size[i + 1 :], size[i])
-        want = (root[i + 1 :] != root[i]) & (ratio >= similarity)
-        if block is not None:
-            want &= block[i + 1 :] != block[i]
-        other = i + 1 + np.flatnonzero(want)
-        if not len(other):
-            continue
-        own = ids[bounds[i] : bounds[i + 1]]
-        marked[own] = True
-        shared = np.add.reduceat(marked[ids[ranges(bounds[other], size[other])]], np.cumsum(size[other]) - size[other], dtype=np.int64)
-        marked[own] = False
-        for r in np.unique(root[other[shared / (size[i] + size[other] - shared) >= similarity]]).tolist():
-            a, b = sorted((r, int(root[i])))
-            root[root == b] = a
+    if not len(ids):
+        return root
+    often = np.bincount(ids)
+    rarity = np.empty(len(often), np.int64)
+    rarity[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner = np.repeat(root, size)
+    ids = rarity[ids]
+    ids = ids[np.lexsort((ids, owner))]
+    place = np.arange(len(ids)) - np.repeat(bounds[:-1], size)
+    head = place < np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, size)
+    by = np.lexsort((owner[head], ids[head]))
+    member, of, at = ids[head][by], owner[head][by], place[head][by]
+    starts = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])
+    count = np.diff(np.r_[starts, len(member)])
+    marked = np.zeros(len(often), bool)
+    shared_groups = np.flatnonzero(count > 1)
+    for g in shared_groups[np.argsort(-count[shared_groups], kind="stable")].tolist():
+        sets, places = of[starts[g] : starts[g] + count[g]], at[starts[g] : starts[g] + count[g]]
+        turn = 0
+        while len(sets) > 1 and (root[sets] != root[sets[0]]).any():
+            i, p, sets, places = sets[0], places[0], sets[1:], places[1:]
+            turn += 1
+            ratio = np.minimum(size[sets], size[i]) / np.maximum(size[sets], size[i])
+            want = (root[sets] != root[i]) & (ratio >= similarity)
+            if block is not None:
+                want &= block[sets] != block[i]
+            other, before = sets[want], places[want]
+            if turn > 4 and p and len(other):
+                marked[ids[bounds[i] : bounds[i] + p]] = True
+                sooner = sums_between(marked[ids[ranges(bounds[other], before)]].astype(np.int64), np.r_[0, np.cumsum(before)]) > 0
+                marked[ids[bounds[i] : bounds[i] + p]] = False
+                other = other[~sooner]
+            if not len(other):
+                continue
+            own = ids[bounds[i] : bounds[i + 1]]
+            marked[own] = True
+            shared = np.add.reduceat(marked[ids[ranges(bounds[other], size[other])]], np.cumsum(size[other]) - size[other], dtype=np.int64)
+            marked[own] = False
+            hit = other[shared / (size[i] + size[other] - shared) >= similarity]
+            if len(hit):
+                roots = np.unique(np.r_[root[hit], root[i]])
+                into = np.arange(len(root))
+                into[roots] = roots[0]
+                root = into[root]
     return root
 
 
