@@ -29,13 +29,16 @@ RATE = 0.5
 MAX_TRAIN, MAX_FEATURES = 3000, 12_000_000
 WHITE = np.array([*range(9, 14), 32, 0x85, 0xA0], np.uint32)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: The bucket of a word that follows itself.
+REPEATED = (mix(_STEPS[:1]) >> np.uint64(64 - BITS)).astype(np.int32)[0]
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs (buckets, texts they belong to) for words, each n of the n-grams, and pairs of neighbouring words.
 
     N-grams hold white space at their ends only, as word boundaries. Pairs of words have no order: their hash is
-    that of both words' hashes combined by XOR, so all pairs of a word with itself share a bucket.
+    that of both words' hashes combined by XOR. A word that follows itself is a feature of its own, REPEATED,
+    whichever word it is.
     """
     codes, bounds = codepoints(texts)
     if not len(codes):
@@ -63,8 +66,9 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     words, owner = hashes[solid], doc[starts[solid]]
     out.append(((words >> np.uint64(64 - BITS)).astype(np.int32), owner))
     same = owner[1:] == owner[:-1]
-    pairs = mix((words[1:] ^ words[:-1])[same] + _STEPS[0])
-    out.append(((pairs >> np.uint64(64 - BITS)).astype(np.int32), owner[1:][same]))
+    both = (words[1:] ^ words[:-1])[same]
+    pairs = (mix(both + _STEPS[0]) >> np.uint64(64 - BITS)).astype(np.int32)
+    out.append((np.where(both == 0, REPEATED, pairs), owner[1:][same]))
     return out
 
 
