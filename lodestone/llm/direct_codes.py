@@ -168,7 +168,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, te
 
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, b in runs(texts):
+            for a, b in runs(texts, min(1 << 21, file_ids)):
                 ids, at = tokenizer.encode(texts[a:b])
                 names += ids_of[a:b]
                 counts.append(np.diff(at) + 1)

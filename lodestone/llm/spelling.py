@@ -158,24 +158,24 @@ def links(grouped: DataFrame, rows: int = TILE) -> DataFrame:
             def opened(lo: int, hi: int) -> tuple:
                 return (key[lo:hi], m[lo:hi], a[lo:hi], f[lo:hi], *_matrix(words[lo:hi]))  # noqa: B023
 
-            def note(lo: int, lo2: int, hit: np.ndarray) -> None:
-                for start, start2, found in ((lo, lo2, hit), (lo2, lo, hit.T)):
-                    i = np.flatnonzero(found.any(1))
-                    count[start + i] += found[i].sum(1)  # noqa: B023
-                    # rows of a group come by falling n, then by word: the first near one is the best
-                    best[start + i] = np.minimum(best[start + i], start2 + found[i].argmax(1))  # noqa: B023
+            def note(lo: int, lo2: int, found: np.ndarray) -> None:
+                i = np.flatnonzero(found.any(1))
+                count[lo + i] += found[i].sum(1)  # noqa: B023
+                # rows of a group come by falling n, then by word: the first near one is the best
+                best[lo + i] = np.minimum(best[lo + i], lo2 + found[i].argmax(1))  # noqa: B023
 
             cuts = _tiles(key, rows)
             for t, (lo, hi, parted) in enumerate(cuts):
                 tile = opened(lo, hi)
                 hit = near(tile, tile)
-                # a pair of equal lengths stands on both sides of the square already
-                note(lo, lo, hit | hit.T)
+                note(lo, lo, hit | hit.T)  # the pairs of unequal lengths stand on one side only
                 for lo2, hi2, _ in cuts[t + 1 :] if parted else ():
                     if key[lo2] != key[lo]:
                         break
                     other = opened(lo2, hi2)
-                    note(lo, lo2, near(tile, other) | near(other, tile).T)
+                    hit = near(tile, other) | near(other, tile).T
+                    note(lo, lo2, hit)
+                    note(lo2, lo, hit.T)
             own = np.flatnonzero(count)
             if len(own):
                 yield pa.RecordBatch.from_pydict({"word": table.column("word").take(own).combine_chunks(), "n_near": pa.array(count[own]), "form_n": pa.array(n[best[own]]), "form": table.column("word").take(best[own]).combine_chunks()})

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm import centroids, direct_codes, queries, spelling
+from lodestone.llm import centroids, direct_codes, line_dedup, quality, queries, simhash, similarity, spelling
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -264,3 +265,84 @@ def test_clusters_equal_their_sql(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     rows = con.execute("SELECT vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 FROM (" + queries.oracle_sql()["op13_centroid_clusters"] + ")").fetchall()
     assert found(queries.op13_centroid_clusters(spark, sf)) == sorted(rows)
+
+
+# 7, 8 and 5: what this round has changed
+
+
+def plain_components(sets, least, block=None):
+    root = list(range(len(sets)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if (block is None or block[i] != block[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(i) for i in range(len(sets))]
+
+
+def packed(sets):
+    return np.concatenate([np.array(sorted(s), np.int64) for s in sets]), np.cumsum([0, *map(len, sets)])
+
+
+def test_comparing_rare_members_loses_no_link():
+    rng = np.random.default_rng(0)
+    for trial in range(150):
+        base = [set(rng.integers(0, 60, int(rng.integers(1, 25))).tolist()) for _ in range(6)]
+        sets = [set(base[int(rng.integers(6))]) | set(rng.integers(0, 60, int(rng.integers(0, 3))).tolist()) for _ in range(int(rng.integers(2, 40)))]
+        least, block = float(rng.choice([0.5, 0.8, 1.0])), rng.integers(0, 3, len(sets)) if trial % 3 == 0 else None
+        assert similarity.alike(*packed(sets), least, block).tolist() == plain_components(sets, least, block)
+    assert similarity.alike(np.zeros(0, np.int64), np.array([0]), 0.8).tolist() == []
+
+
+def test_many_sets_alike_or_not_take_little_time():
+    n, start = 26_000, time.time()
+    own = np.arange(n)[:, None]
+    forms = np.concatenate([np.tile(np.arange(14), (n, 1)), 14 + 6 * own + np.arange(6)], 1).ravel()
+    assert len(set(similarity.alike(forms, np.arange(n + 1) * 20, 0.8).tolist())) == n
+    copies = np.concatenate([np.tile(np.arange(19), (n, 1)), 19 + own], 1).ravel()
+    assert set(similarity.alike(copies, np.arange(n + 1) * 20, 0.8).tolist()) == {0}
+    assert time.time() - start < 5
+
+
+def test_a_shingle_of_very_many_documents_hides_no_pair(spark):
+    """Over BLOCK documents share a passage, and among them are pairs of a similarity just over 0.8."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(12))
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts = [f"{passage} {' '.join(words(8))}" for _ in range(simhash.BLOCK + 400)]
+    pairs = []
+    for _ in range(150):
+        tail = words(78)
+        other = [*tail[:-8], *words(8)]  # 86 shingles each, 78 shared: 0.83
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [f"{passage} {' '.join(tail)}", f"{passage} {' '.join(other)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(8)
+    root = {r.doc_id: r.component_id for r in simhash.similar_duplicates(df).collect()}
+    assert sum(root[a] == root[b] for a, b in pairs) == len(pairs)
+    assert len(set(root.values())) == len(texts) - len(pairs)
+
+
+def test_lines_go_in_linear_time_and_from_rows_that_share_an_id(spark):
+    lines = [f"line number {k} of all" for k in range(16_000)]
+    rows = [(i, f"s{i % 12}", "\n".join([f"own {i}", *lines])) for i in range(24)]
+    schema = "doc_id long, source string, text string"
+    line_dedup.dedup_lines(spark.createDataFrame(rows[:2], schema)).count()
+    start = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect()}
+    assert time.time() - start < 25
+    assert got[0].text == rows[0][2] and all(got[i].text == f"own {i}" and got[i].n_removed == 16_000 for i in range(1, 24))
+    rows = [(i, f"s{i}", "menu\nkept %d\nmenu\n\n menu " % i) for i in range(6)] + [(3, "s3", "another\nmenu"), (None, "x", "menu\nz"), (None, "y", "menu"), (7, "z", None), (8, "z", "menu")]
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect()), key=str)
+    want = [(0, 5, 0, rows[0][2])] + [(i, 5, 3, f"kept {i}\n") for i in range(1, 6)] + [(3, 2, 1, "another"), (None, 2, 1, "z"), (None, 1, 1, ""), (7, 0, 0, None), (8, 1, 1, "")]
+    assert got == sorted(want, key=str)
+
+
+def test_a_word_after_itself_is_one_feature():
+    (buckets, owner) = quality.features(["aa aa bb", "zz zz", "aa bb"])[-1]
+    assert buckets[owner == 1].tolist() == [quality.REPEATED] and buckets[owner == 0].tolist().count(quality.REPEATED) == 1 and quality.REPEATED not in buckets[owner == 2]
