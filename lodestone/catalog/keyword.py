@@ -79,26 +79,24 @@ def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POST_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM post WHERE term IN {IN} GROUP BY term")
 def term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = keyword.occurrences(docs(spark, sf_dir), F.filter(tokens(), lambda t: t.isin(TERMS)))
-    return hits.groupBy("term", "id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+    return index(spark, sf_dir).dictionary(TERMS)
 
 
 @query(f"WITH {LEAF_SQL} SELECT id, term, tf, dl FROM leaf")
 def terms_join_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.term_scores(docs(spark, sf_dir), tokens(), TERMS).select("id", "term", "tf", "dl")
+    return index(spark, sf_dir).postings(TERMS).select("id", "term", "tf", "dl")
 
 
 @query(f"""WITH {POST_SQL}, c AS (SELECT *, id // 65536 AS chunk FROM post), n AS (SELECT *, row_number() OVER w - 1 AS pos, id - coalesce(lag(id) OVER w, chunk * 65536 - 1) - 1 AS delta FROM c WINDOW w AS (PARTITION BY term, chunk ORDER BY id))
 SELECT term, chunk, id, pos, delta, pos // 128 AS block FROM n""")
 def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.numbered(keyword.postings(docs(spark, sf_dir), tokens())).select("term", "chunk", "id", "pos", "delta", "block")
+    return keyword.numbered(index(spark, sf_dir).postings()).select("term", "chunk", "id", "pos", "delta", "block")
 
 
 @query(f"""WITH {CODES_SQL}, {LEN_SQL}, {POST_SQL}, n AS (SELECT post.*, dl, id // 65536 AS chunk, (row_number() OVER (PARTITION BY term, id // 65536 ORDER BY id) - 1) // 128 AS block FROM post JOIN dls USING (id))
 SELECT term, chunk, block, max(tf) AS max_tf, CAST(min(dl) AS BIGINT) AS min_dl, max(id) AS last_id, count(*) AS n FROM n GROUP BY term, chunk, block""")
 def block_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = keyword.postings_with_lengths(docs(spark, sf_dir), tokens())
-    return keyword.numbered(posted).groupBy("term", "chunk", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("id").alias("last_id"), F.count("*").alias("n"))
+    return keyword.numbered(index(spark, sf_dir).postings()).groupBy("term", "chunk", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("id").alias("last_id"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {POST_SQL}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term)
@@ -153,7 +151,7 @@ a AS (SELECT id, grp, alt, aw, sum(s) AS s FROM p GROUP BY ALL), g AS (SELECT id
 t AS (SELECT id, round(sum(s), 6) AS kw FROM g GROUP BY id) SELECT id, kw FROM t WHERE kw > 0 ORDER BY kw DESC, id LIMIT 20""")
 def scoring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = spark.createDataFrame(LEAVES, "grp string, alt string, alt_weight double, part string, weight double, term string")
-    leaves = keyword.term_scores(docs(spark, sf_dir), tokens(), TERMS).join(F.broadcast(tree), "term")
+    leaves = index(spark, sf_dir).leaf_scores(TERMS).join(F.broadcast(tree), "term")
     return keyword.top(keyword.tree_scores(leaves), "kw", 20)
 
 
@@ -184,7 +182,7 @@ def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("term", "window", "n", "max_tf", "min_dl", "total_tf", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
 
 
-@query(f"""WITH {POST_SQL} SELECT count(*) AS postings, count(DISTINCT (term, id // 128)) AS blocks, count(DISTINCT term) AS terms, 0 AS bad_blocks, 0 AS bad_bounds, 0 AS bad_terms, 0 AS bad_lengths, 0 AS dangling, 0 AS bad_stats FROM post""")
+@query(f"""WITH {POST_SQL} SELECT count(*) AS postings, count(DISTINCT (term, id // 128)) AS blocks, count(DISTINCT term) AS terms, 0::BIGINT AS bad_blocks, 0::BIGINT AS bad_bounds, 0::BIGINT AS bad_terms, 0::BIGINT AS bad_lengths, 0::BIGINT AS dangling, 0::BIGINT AS bad_stats FROM post""")
 def verify_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).verify(docs(spark, sf_dir))
 
@@ -197,6 +195,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY idf DESC, term) AS r
 SELECT id, string_agg(term, ' ' ORDER BY rn) AS terms FROM r WHERE idf >= 0.4 OR (any_strong = 0 AND rn = 1) GROUP BY id""")
 def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that explain a hit, strongest first: common and filler words only if nothing else matched."""
-    s = keyword.term_scores(docs(spark, sf_dir), tokens(), TERMS)
-    n = F.broadcast(keyword.corpus_stats(docs(spark, sf_dir), tokens()).select("n"))  # one row
-    return keyword.strongest(s.crossJoin(n), FILLER).select("id", F.array_join("terms", " ").alias("terms"))
+    return keyword.strongest(index(spark, sf_dir).hits(TERMS), FILLER).select("id", F.array_join("terms", " ").alias("terms"))

@@ -139,14 +139,26 @@ def cluster_means(vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """(id, cluster): the center of the largest product, ties to the smaller cluster.
+    """(id, cluster): the center of the largest product, to six decimals, ties to the smaller cluster.
 
-    Centers are one broadcast row: there are at most 4,096 of them (see `cluster_count`). Each vector finds its
-    own in place, without a row for each pair and without a shuffle.
+    Centers (cluster, center) are 4,096 at most (see `cluster_count`) and travel to the tasks, where a block of vectors
+    meets them as a matrix product. Vectors that are null or of another length have no cluster and no row.
     """
-    all_centers = F.broadcast(centers.agg(F.collect_list(F.struct("cluster", "center")).alias("centers")))
-    near = F.transform("centers", lambda c: F.struct(F.round(V.dot("embedding", c["center"]), 6).alias("s"), (-c["cluster"]).alias("c")))
-    return vectors.select("id", "embedding").crossJoin(all_centers).select("id", (-F.array_max(near)["c"]).alias("cluster"))
+    rows = centers.where("center IS NOT NULL").orderBy("cluster").collect()
+    numbers, matrix = np.array([r.cluster for r in rows], np.int32), np.array([r.center for r in rows], np.float64)
+    source = vectors.select("id", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            own = np.flatnonzero(size == matrix.shape[1]) if len(matrix) else np.zeros(0, np.int64)
+            held = np.maximum(size, 0)
+            x = flat[(np.cumsum(held) - held)[own][:, None] + np.arange(matrix.shape[1] if len(matrix) else 0)]
+            best = np.round(x @ matrix.T, 6).argmax(1) if len(own) else own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(numbers[best], pa.int32())], ["id", "cluster"])
+
+    return source.mapInArrow(run, source.select("id").schema.add("cluster", "integer"))
 
 
 def cluster_count(n: int) -> int:

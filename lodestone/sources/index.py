@@ -156,10 +156,13 @@ class KeywordIndex:
         stats = F.broadcast(self._part("stats"))  # one row
         return self.postings(terms).join(df, "term").crossJoin(stats)
 
+    def leaf_scores(self, terms: Sequence[str]) -> DataFrame:
+        """(id, term, score) of every document and term that meet."""
+        return self.hits(terms).select("id", "term", (idf(F.col("n"), F.col("df")) * tf_factor(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("score"))
+
     def scores(self, terms: Sequence[str]) -> DataFrame:
         """(id, kw) of every document that has one of the terms."""
-        each = self.hits(terms).select("id", (idf(F.col("n"), F.col("df")) * tf_factor(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("s"))
-        return each.groupBy("id").agg(F.round(F.sum("s"), 6).alias("kw")).where("kw > 0")
+        return self.leaf_scores(terms).groupBy("id").agg(F.round(F.sum("score"), 6).alias("kw")).where("kw > 0")
 
     def search(self, terms: Sequence[str], limit: int, keep: DataFrame | None = None) -> DataFrame:
         """(id, kw): the best `limit` documents, of those in `keep` (ids) if it is given."""

@@ -142,3 +142,10 @@ def test_the_shared_vector_index_follows_its_table(spark, tmp_path):
     put(2)
     second = cv.vector_index(spark, sf)
     assert second.root != first.root and not np.allclose(second.centers, first.centers)
+
+
+def test_assignment_to_given_centres(spark):
+    centers = spark.createDataFrame([(5, [1.0, 0.0]), (2, [0.0, 1.0]), (9, [0.0, 1.0]), (1, None)], "cluster int, center array<double>")
+    rows = spark.createDataFrame([(1, [3.0, 1.0]), (2, [0.5, 2.0]), (3, [1.0, 1.0]), (4, None), (5, [1.0]), (6, [])], SCHEMA)
+    assert {r.id: r.cluster for r in S.assign(rows, centers).collect()} == {1: 5, 2: 2, 3: 2}
+    assert S.assign(rows, centers.limit(0)).count() == 0
