@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
-from lodestone.llm.vector_blocks import Q_ROWS, V_ROWS, asked, best, blocks, grouped, unpacked, usable
+from lodestone.llm.vector_blocks import Q_ROWS, V_ROWS, asked, best, blocks, grouped, meet, usable
 
 #: From this local cosine threshold on, coordinates prune more than lengths; and how many coordinates are used.
 COORDINATE_FROM, FOCUS = 0.6, 4
@@ -111,23 +111,21 @@ def top_products(embeddings: DataFrame, queries: DataFrame, k: int = 5, id: str
     head = groups.groupBy("dims").agg(F.max_by("g", F.struct("longest", "g")).alias("g"))
 
     def walk(need: bool):
-        def run(group: pa.Table) -> pa.Table:
-            q_ids, q, bodies = unpacked(group)
+        def run(block: int, q_ids: np.ndarray, q: np.ndarray, bodies: list[tuple[float, np.ndarray, np.ndarray]]) -> pa.Table:
             a, b, s = _walk(q_ids, q, bodies, k)
             out = {"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.int64())}
             if not need:
                 return pa.table(out)
             rows = pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.StructArray.from_arrays(list(out.values()), list(out)))
-            return pa.table({"block": group.column("block").slice(0, 1), "need": pa.array([_least_norm(q_ids, q, a, s, k)]), "found": rows})
+            return pa.table({"block": pa.array([block], pa.int64()), "need": pa.array([_least_norm(q_ids, q, a, s, k)]), "found": rows})
 
         return run
 
     # the longest vectors settle how long the others must be; a block of queries meets only groups that long
-    first = ask.join(head, "dims").join(vectors, ["dims", "g"]).groupBy("dims", "g", "block")
-    first = cut(first.applyInArrow(walk(True), "block long, need double, found array<struct<query_id:long,vec_id:long,score:long>>"))
+    schema = "query_id long, vec_id long, score long"
+    first = cut(meet(ask.join(head, "dims"), vectors, walk(True), "block long, need double, found array<struct<query_id:long,vec_id:long,score:long>>", together=1))
     left = ask.join(first.select("block", "need"), "block").join(groups.join(head, ["dims", "g"], "left_anti"), "dims").where("longest * (1 + 1e-9) + 1e-9 >= need")
-    rest = left.drop("need", "longest").join(vectors, ["dims", "g"]).groupBy("dims", "g", "block").applyInArrow(walk(False), "query_id long, vec_id long, score long")
-    found = first.select(F.inline("found")).unionByName(rest)
+    found = first.select(F.inline("found")).unionByName(meet(left, vectors, walk(False), schema))
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

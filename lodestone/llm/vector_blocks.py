@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut
 
 Q_ROWS, V_ROWS, BLOCKS_A_GROUP = 256, 512, 8
+#: Query blocks that come to a group of vector blocks at once; both sides of such a meeting are then about as large.
+TOGETHER = 16
 
 
 def usable(column: str) -> Column:
@@ -47,21 +49,43 @@ def blocks(vectors: DataFrame, rows: int, integers: bool = False) -> DataFrame:
     return source.mapInArrow(run, "dims int, top double, ids binary, vectors binary")
 
 
+def meet(asked: DataFrame, vectors: DataFrame, kernel: Callable[[int, np.ndarray, np.ndarray, list[tuple[float, np.ndarray, np.ndarray]]], pa.Table], schema: str, together: int = TOGETHER) -> DataFrame:
+    """The kernel's rows for each query block and each group of vector blocks that it is to meet.
+
+    `asked` has (dims, g, block, q_ids, q_vectors), a row for each such meeting; `vectors` are blocks with their group `g`.
+    Up to `together` query blocks that follow each other come to a group at once: a task gets these and the
+    group's blocks beside them, each a single time, so that no pair of blocks becomes a row. The kernel
+    gets the query block's number, ids and matrix and the group's blocks (top, ids, matrix), largest norm first.
+    """
+    place = F.col("block").bitwiseAND(F.lit((1 << 33) - 1))
+    key = ["dims", "g", "batch"]
+    asked = asked.select("dims", "g", "block", "q_ids", "q_vectors", (F.col("block") - place + F.floor(place / together)).alias("batch"))
+    met = vectors.join(asked.select(*key).distinct(), ["dims", "g"])
+    met = met.select(*[F.col(c).alias(f"v_{c}") for c in key], "top", "ids", "vectors")  # both sides come from the same blocks
+
+    def run(queries: pa.Table, group: pa.Table) -> pa.Table:
+        bodies = unpacked(group)
+        out = []
+        for dims, block, ids, vecs in zip(*(queries.column(c).to_pylist() for c in ("dims", "block", "q_ids", "q_vectors")), strict=True):
+            out.append(kernel(block, np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<f8").reshape(-1, dims), bodies))
+        return pa.concat_tables(out)
+
+    return asked.groupBy(*key).cogroup(met.groupBy(*[f"v_{c}" for c in key])).applyInArrow(run, schema)
+
+
 def grid(queries: DataFrame, vectors: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, list[tuple[float, np.ndarray, np.ndarray]]], tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
     """Every query block against every vector block of its length: rows (query_id, vec_id, score).
 
-    Query blocks go to each group of vector blocks once. The kernel
-    gets a query block (ids, matrix) and a group's blocks (top, ids, matrix), largest norm first, and returns
-    the few best of each query there, so no pair of vectors ever becomes a row.
+    The kernel gets a query block (ids, matrix) and a group's blocks (top, ids, matrix), largest norm first, and
+    returns the few best of each query there.
     """
     queries, vectors = cut(asked(queries)), cut(grouped(vectors))
-    met = queries.join(vectors.select("dims", "g").distinct(), "dims").join(vectors, ["dims", "g"])
 
-    def run(group: pa.Table) -> pa.Table:
-        a, b, s = kernel(*unpacked(group))
+    def run(_: int, q_ids: np.ndarray, q: np.ndarray, bodies: list[tuple[float, np.ndarray, np.ndarray]]) -> pa.Table:
+        a, b, s = kernel(q_ids, q, bodies)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.int64() if score == "long" else pa.float64())})
 
-    return met.groupBy("dims", "g", "block").applyInArrow(run, f"query_id long, vec_id long, score {score}")
+    return meet(queries.join(vectors.select("dims", "g").distinct(), "dims"), vectors, run, f"query_id long, vec_id long, score {score}")
 
 
 def grouped(vectors: DataFrame) -> DataFrame:
@@ -76,13 +100,10 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select("dims", F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
 
-def unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[float, np.ndarray, np.ndarray]]]:
-    """A query block (ids, matrix) and the vector blocks (top, ids, matrix) that it meets, largest norm first."""
+def unpacked(group: pa.Table) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """A group's vector blocks (top, ids, matrix), largest norm first."""
     group = group.sort_by([("top", "descending")])
-    dims = group.column("dims")[0].as_py()
-    bodies = [(t, np.frombuffer(i, "<i8"), np.frombuffer(v, "<f8").reshape(-1, dims)) for t, i, v in zip(*(group.column(c).to_pylist() for c in ("top", "ids", "vectors")), strict=True)]
-    q = np.frombuffer(group.column("q_vectors")[0].as_py(), "<f8").reshape(-1, dims)
-    return np.frombuffer(group.column("q_ids")[0].as_py(), "<i8"), q, bodies
+    return [(t, np.frombuffer(i, "<i8"), np.frombuffer(v, "<f8").reshape(-1, n)) for n, t, i, v in zip(*(group.column(c).to_pylist() for c in ("v_dims", "top", "ids", "vectors")), strict=True)]
 
 
 def best(query: np.ndarray, vec: np.ndarray, cost: np.ndarray, k: int) -> np.ndarray:

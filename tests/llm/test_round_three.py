@@ -9,10 +9,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm import centroids, direct_codes, line_dedup, quality, queries, simhash, similarity, spelling
+from lodestone.llm import centroids, direct_codes, line_dedup, quality, queries, simhash, similarity, spelling, vector_blocks
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -346,3 +347,25 @@ def test_lines_go_in_linear_time_and_from_rows_that_share_an_id(spark):
 def test_a_word_after_itself_is_one_feature():
     (buckets, owner) = quality.features(["aa aa bb", "zz zz", "aa bb"])[-1]
     assert buckets[owner == 1].tolist() == [quality.REPEATED] and buckets[owner == 0].tolist().count(quality.REPEATED) == 1 and quality.REPEATED not in buckets[owner == 2]
+
+
+def test_a_query_block_meets_each_group_once(spark, monkeypatch):
+    """Whatever number of query blocks comes to a group together, each meets the group's whole blocks, a single time."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(90, 3)))], "id long, v array<double>").coalesce(1)
+    monkeypatch.setattr(vector_blocks, "BLOCKS_A_GROUP", 2)
+    ask = vector_blocks.cut(vector_blocks.asked(vector_blocks.blocks(df.where("id % 2 = 0"), 4)))
+    vectors = vector_blocks.cut(vector_blocks.grouped(vector_blocks.blocks(df, 8)))
+
+    def seen(block, q_ids, q, bodies):
+        tops = [t for t, _, _ in bodies]
+        assert tops == sorted(tops, reverse=True) and q.shape == (len(q_ids), 3)
+        ids = [i for _, own, _ in bodies for i in own.tolist()]
+        return pa.table({"q": pa.array(np.repeat(q_ids, len(ids))), "id": pa.array(ids * len(q_ids), pa.int64())})
+
+    for together in (1, 3, 100):
+        every = ask.join(vectors.select("dims", "g").distinct(), "dims")
+        got = sorted(map(tuple, vector_blocks.meet(every, vectors, seen, "q long, id long", together).collect()))
+        assert got == [(q, i) for q in range(0, 90, 2) for i in range(90)]
+    nothing = ask.where("block < 0").join(vectors.select("dims", "g").distinct(), "dims")
+    assert vector_blocks.meet(nothing, vectors, seen, "q long, id long").collect() == []
