@@ -29,6 +29,8 @@ TABLES, HASHES, PROBES = 3, 6, 75
 WIDTH, SAMPLE = 1.6, 1000
 #: Vectors in a block of one bucket.
 BUCKET_ROWS = 256
+#: Blocks of a bucket, on either side, that share a join key.
+TILE = 4
 
 
 def cell_width(vectors: DataFrame, sample: int = SAMPLE, width: float = WIDTH) -> float:
@@ -130,16 +132,28 @@ def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, width: fl
     return vectors.select("id", "v").mapInArrow(run, "key long, dims int, id long, vec binary")
 
 
-def _bucket_blocks(hashed: Callable[[bool], DataFrame], rows: int, ids: str, vecs: str, block: str) -> DataFrame:
-    """(key, dims, block, ids, vecs): each bucket cut into blocks of about `rows` members by a hash of the id.
+def _parts(members: DataFrame, rows: int) -> DataFrame:
+    """(key, parts): into how many blocks of about `rows` members each bucket is cut."""
+    return members.groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
 
-    `hashed` gives the members with their vectors, or for counting without them.
-    """
-    parts = hashed(False).groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
-    cut_up = hashed(True).join(parts, "key").withColumn(block, F.pmod(F.xxhash64("id", "vec"), "parts"))
+
+def _bucket_blocks(members: DataFrame, parts: DataFrame, ids: str, vecs: str, block: str) -> DataFrame:
+    """(key, dims, block, ids, vecs): each bucket cut into its parts by a hash of the id."""
+    cut_up = members.join(parts, "key").withColumn(block, F.pmod(F.xxhash64("id", "vec"), "parts"))
     return cut_up.groupBy("key", "dims", block).agg(F.collect_list("id").alias(ids), F.collect_list("vec").alias(vecs))
 
 
+def _tiled(blocks: DataFrame, block: str, own: str, others: DataFrame, other: str) -> DataFrame:
+    """Blocks with their stretch of TILE blocks of the bucket (`own`), once for each stretch of the other side's (`other`).
+
+    Most buckets are one stretch by one. A hot one's pairs of blocks so have a key for each TILE by TILE of them.
+    """
+    many = others.where(F.col("parts") > TILE).withColumnRenamed("parts", "others")
+    stretches = F.sequence(F.lit(0), F.floor((F.coalesce("others", F.lit(1)) - 1) / TILE).cast("int"))
+    held = blocks.join(many, "key", "left").withColumn(own, F.floor(F.col(block) / TILE).cast("int"))
+    return held.withColumn(other, F.explode(stretches)).drop("others")
+
+
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 20) -> DataFrame:
     """Each query's k nearest found: (query_id, rank, vec_id, score), ties to the smaller vec_id.
 
@@ -161,9 +175,12 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, id: str = "v
     def hashed(rows: DataFrame, probes: int) -> Callable[[bool], DataFrame]:
         return lambda full: _hashed(rows, tables, hashes, probes, width, seed, code if full else None)
 
-    index = _bucket_blocks(hashed(all_vectors, 0), BUCKET_ROWS, "ids", "vecs", "v_block")
-    visits = _bucket_blocks(hashed(asked, probes), BUCKET_ROWS, "q_ids", "q_vecs", "q_block")
-    met = visits.join(index, ["key", "dims"]).select("dims", "q_ids", "q_vecs", "ids", "vecs")
+    stored, visited = hashed(all_vectors, 0), hashed(asked, probes)
+    # buckets' sizes are counted without the vectors
+    v_parts, q_parts = cut(_parts(stored(False), BUCKET_ROWS)), cut(_parts(visited(False), BUCKET_ROWS))
+    index = _tiled(_bucket_blocks(stored(True), v_parts, "ids", "vecs", "v_block"), "v_block", "v_tile", q_parts, "q_tile")
+    visits = _tiled(_bucket_blocks(visited(True), q_parts, "q_ids", "q_vecs", "q_block"), "q_block", "q_tile", v_parts, "v_tile")
+    met = visits.join(index, ["key", "dims", "q_tile", "v_tile"]).select("dims", "q_ids", "q_vecs", "ids", "vecs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []

@@ -11,9 +11,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import centroids, direct_codes, line_dedup, quality, queries, simhash, similarity, spelling, vector_blocks
+from lodestone.llm import centroids, direct_codes, line_dedup, multiprobe, quality, queries, simhash, similarity, spelling, vector_blocks
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -369,3 +370,30 @@ def test_a_query_block_meets_each_group_once(spark, monkeypatch):
         assert got == [(q, i) for q in range(0, 90, 2) for i in range(90)]
     nothing = ask.where("block < 0").join(vectors.select("dims", "g").distinct(), "dims")
     assert vector_blocks.meet(nothing, vectors, seen, "q long, id long").collect() == []
+
+
+@pytest.mark.parametrize("tile", [1, 2, 4])
+def test_blocks_of_a_hot_bucket_meet_once(spark, monkeypatch, tile):
+    """Seven vector blocks and five query blocks in one bucket, one of each in another, and a bucket of one side only."""
+    monkeypatch.setattr(multiprobe, "TILE", tile)
+    v = spark.createDataFrame([(1, b) for b in range(7)] + [(2, 0), (3, 0)], "key long, v_block int")
+    q = spark.createDataFrame([(1, b) for b in range(5)] + [(2, 0)], "key long, q_block int")
+    v_parts, q_parts = (x.groupBy("key").agg(F.count("*").cast("int").alias("parts")) for x in (v, q))
+    v = multiprobe._tiled(v, "v_block", "v_tile", q_parts, "q_tile")
+    q = multiprobe._tiled(q, "q_block", "q_tile", v_parts, "v_tile")
+    met = q.join(v, ["key", "q_tile", "v_tile"])
+    pairs = sorted((r.key, r.q_block, r.v_block) for r in met.collect())
+    assert pairs == [(1, a, b) for a in range(5) for b in range(7)] + [(2, 0, 0)]
+    assert met.groupBy("key", "q_tile", "v_tile").count().agg(F.max("count")).first()[0] <= tile**2
+
+
+def test_many_queries_of_a_hot_bucket(spark):
+    """Queries and vectors that are mostly one point: both sides of its bucket are cut, and ties go to the smaller ids."""
+    x = np.random.default_rng(8).normal(size=(40, 8))
+    rows = [(i, (x[0] if i < 1500 else x[i - 1490]).tolist()) for i in range(1520)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = multiprobe.nearest(df, df.where("vec_id < 1200"), k=3).collect()
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
+    assert len(got) == len(found) == 3600
+    for q in range(1200):
+        assert [found[q, n] for n in (1, 2, 3)] == [(i, 0.0) for i in range(4) if i != q][:3]
