@@ -29,8 +29,9 @@ TABLES, HASHES, PROBES = 3, 6, 75
 WIDTH, SAMPLE = 1.6, 1000
 #: Vectors in a block of one bucket.
 BUCKET_ROWS = 256
-#: Blocks of a bucket, on either side, that share a join key.
-TILE = 4
+#: A bucket with over this share of all members, as 1 / HEAVY, is spread over tasks; there are fewer than HEAVY of them. Then
+#: so many of its blocks, on either side, share a join key.
+HEAVY, TILE = 1000, 4
 
 
 def cell_width(vectors: DataFrame, sample: int = SAMPLE, width: float = WIDTH) -> float:
@@ -133,25 +134,34 @@ def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, width: fl
 
 
 def _parts(members: DataFrame, rows: int) -> DataFrame:
-    """(key, parts): into how many blocks of about `rows` members each bucket is cut."""
-    return members.groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    """(key, n, parts): each bucket's members, and into how many blocks of about `rows` it is cut."""
+    return members.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+
+
+def _heavy(parts: DataFrame) -> DataFrame:
+    """(key, split) of the heavy buckets, fewer than HEAVY rows; the other ones are small against the whole."""
+    whole = F.broadcast(parts.agg(F.sum("n").alias("all")))  # one row
+    return F.broadcast(parts.crossJoin(whole).where(F.col("n") * HEAVY > F.col("all")).select("key", F.col("parts").alias("split")))
 
 
 def _bucket_blocks(members: DataFrame, parts: DataFrame, ids: str, vecs: str, block: str) -> DataFrame:
-    """(key, dims, block, ids, vecs): each bucket cut into its parts by a hash of the id."""
-    cut_up = members.join(parts, "key").withColumn(block, F.pmod(F.xxhash64("id", "vec"), "parts"))
-    return cut_up.groupBy("key", "dims", block).agg(F.collect_list("id").alias(ids), F.collect_list("vec").alias(vecs))
+    """(key, dims, block, ids, vecs): each bucket cut into its parts by a hash of the id; parts of a heavy one are dealt apart."""
+    heavy, place = _heavy(parts), F.xxhash64("id", "vec")
+    dealt = parts.join(heavy, "key", "left").select("key", "parts", F.explode(F.sequence(F.lit(0), F.coalesce("split", F.lit(1)) - 1)).alias("salt"))
+    salted = members.join(heavy, "key", "left").withColumn("salt", F.coalesce(F.pmod(place, "split"), F.lit(0)).cast("int"))
+    cut_up = salted.join(dealt, ["key", "salt"]).withColumn(block, F.pmod(place, "parts"))
+    return cut_up.groupBy("key", "salt", "dims", block).agg(F.collect_list("id").alias(ids), F.collect_list("vec").alias(vecs)).drop("salt")
 
 
-def _tiled(blocks: DataFrame, block: str, own: str, others: DataFrame, other: str) -> DataFrame:
+def _tiled(blocks: DataFrame, block: str, own: str, mine: DataFrame, other: str, theirs: DataFrame) -> DataFrame:
     """Blocks with their stretch of TILE blocks of the bucket (`own`), once for each stretch of the other side's (`other`).
 
-    Most buckets are one stretch by one. A hot one's pairs of blocks so have a key for each TILE by TILE of them.
+    `mine` and `theirs` are the heavy buckets of both sides; any other bucket is one stretch.
     """
-    many = others.where(F.col("parts") > TILE).withColumnRenamed("parts", "others")
-    stretches = F.sequence(F.lit(0), F.floor((F.coalesce("others", F.lit(1)) - 1) / TILE).cast("int"))
-    held = blocks.join(many, "key", "left").withColumn(own, F.floor(F.col(block) / TILE).cast("int"))
-    return held.withColumn(other, F.explode(stretches)).drop("others")
+    stretch = F.when(F.col("split").isNull(), 0).otherwise(F.floor(F.col(block) / TILE)).cast("int")
+    tiled = blocks.join(mine, "key", "left").withColumn(own, stretch).drop("split").join(theirs, "key", "left")
+    stretches = F.sequence(F.lit(0), F.floor((F.coalesce("split", F.lit(1)) - 1) / TILE).cast("int"))
+    return tiled.withColumn(other, F.explode(stretches)).drop("split")
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 20) -> DataFrame:
@@ -178,8 +188,9 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, id: str = "v
     stored, visited = hashed(all_vectors, 0), hashed(asked, probes)
     # buckets' sizes are counted without the vectors
     v_parts, q_parts = cut(_parts(stored(False), BUCKET_ROWS)), cut(_parts(visited(False), BUCKET_ROWS))
-    index = _tiled(_bucket_blocks(stored(True), v_parts, "ids", "vecs", "v_block"), "v_block", "v_tile", q_parts, "q_tile")
-    visits = _tiled(_bucket_blocks(visited(True), q_parts, "q_ids", "q_vecs", "q_block"), "q_block", "q_tile", v_parts, "v_tile")
+    v_heavy, q_heavy = _heavy(v_parts), _heavy(q_parts)
+    index = _tiled(_bucket_blocks(stored(True), v_parts, "ids", "vecs", "v_block"), "v_block", "v_tile", v_heavy, "q_tile", q_heavy)
+    visits = _tiled(_bucket_blocks(visited(True), q_parts, "q_ids", "q_vecs", "q_block"), "q_block", "q_tile", q_heavy, "v_tile", v_heavy)
     met = visits.join(index, ["key", "dims", "q_tile", "v_tile"]).select("dims", "q_ids", "q_vecs", "ids", "vecs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -372,19 +372,20 @@ def test_a_query_block_meets_each_group_once(spark, monkeypatch):
     assert vector_blocks.meet(nothing, vectors, seen, "q long, id long").collect() == []
 
 
-@pytest.mark.parametrize("tile", [1, 2, 4])
-def test_blocks_of_a_hot_bucket_meet_once(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "heavy"), [(1, 1000), (2, 1000), (4, 2), (2, 1.25)])
+def test_blocks_of_a_hot_bucket_meet_once(spark, monkeypatch, tile, heavy):
     """Seven vector blocks and five query blocks in one bucket, one of each in another, and a bucket of one side only."""
     monkeypatch.setattr(multiprobe, "TILE", tile)
+    monkeypatch.setattr(multiprobe, "HEAVY", heavy)  # with the last, only the queries' bucket is heavy
     v = spark.createDataFrame([(1, b) for b in range(7)] + [(2, 0), (3, 0)], "key long, v_block int")
     q = spark.createDataFrame([(1, b) for b in range(5)] + [(2, 0)], "key long, q_block int")
-    v_parts, q_parts = (x.groupBy("key").agg(F.count("*").cast("int").alias("parts")) for x in (v, q))
-    v = multiprobe._tiled(v, "v_block", "v_tile", q_parts, "q_tile")
-    q = multiprobe._tiled(q, "q_block", "q_tile", v_parts, "v_tile")
+    v_heavy, q_heavy = (multiprobe._heavy(multiprobe._parts(x, 1)) for x in (v, q))
+    v = multiprobe._tiled(v, "v_block", "v_tile", v_heavy, "q_tile", q_heavy)
+    q = multiprobe._tiled(q, "q_block", "q_tile", q_heavy, "v_tile", v_heavy)
     met = q.join(v, ["key", "q_tile", "v_tile"])
     pairs = sorted((r.key, r.q_block, r.v_block) for r in met.collect())
     assert pairs == [(1, a, b) for a in range(5) for b in range(7)] + [(2, 0, 0)]
-    assert met.groupBy("key", "q_tile", "v_tile").count().agg(F.max("count")).first()[0] <= tile**2
+    assert met.groupBy("key", "q_tile", "v_tile").count().agg(F.max("count")).first()[0] <= tile * (tile if heavy > 1.25 else 7)
 
 
 def test_many_queries_of_a_hot_bucket(spark):
@@ -397,3 +398,17 @@ def test_many_queries_of_a_hot_bucket(spark):
     assert len(got) == len(found) == 3600
     for q in range(1200):
         assert [found[q, n] for n in (1, 2, 3)] == [(i, 0.0) for i in range(4) if i != q][:3]
+
+
+@pytest.mark.parametrize("heavy", [1000, 3, 0])
+def test_buckets_are_cut_into_the_same_blocks_heavy_or_not(spark, monkeypatch, heavy):
+    monkeypatch.setattr(multiprobe, "HEAVY", heavy)
+    rows = [(i % 7 if i % 3 else 1, 2, i, bytes([i % 256])) for i in range(400)]
+    members = spark.createDataFrame([*rows, *rows[:20]], "key long, dims int, id long, vec binary")
+    parts = multiprobe._parts(members, 16)
+    cut_up = multiprobe._bucket_blocks(members, parts, "ids", "vecs", "block").collect()
+    held = sorted((r.key, r.dims, i, bytes(v)) for r in cut_up for i, v in zip(r.ids, r.vecs, strict=True))
+    assert held == sorted([*rows, *rows[:20]])
+    assert len({(r.key, r.block) for r in cut_up}) == len(cut_up)
+    assert all(r.block < p for r in cut_up for k, n, p in parts.collect() if k == r.key)
+    assert (multiprobe._heavy(parts).count() > 0) == (heavy > 0)
