@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog.registry import query
-from lodestone.operators import feeds, filters, running
+from lodestone.operators import feeds, filters, running, versions
 from lodestone.operators import model_change as changing
 from lodestone.sources.store import missing_embeddings
 from lodestone.sources.tables import MEMORIES_SQL, events, memories, placed, table, tombstones
@@ -208,6 +208,22 @@ def resolve_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("name", "x.uri", "shadowed")
 
 
+# Documents as versions of forty names, at times of several spellings: unreadable, missing, no such month, ahead, in three zones.
+WHEN_SQL = """CASE doc_id % 9 WHEN 0 THEN 'yesterday' WHEN 1 THEN '2099-01-01T00:00:00Z' WHEN 2 THEN NULL WHEN 3 THEN '2024-13-05T00:00:00Z' WHEN 4 THEN '2024-06-01T00:59:00Z'
+ELSE concat('2024-0', doc_id % 5 + 1, '-1', doc_id * 37 % 10, 'T0', doc_id % 8, ':30:00.250', CASE doc_id % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+05:30' ELSE '-08:00' END) END"""
+
+
+@query(f"""WITH v AS (SELECT concat('skill', doc_id % 40) AS name, doc_id AS uri, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END AS rank, {WHEN_SQL} AS updated FROM documents WHERE source NOT IN ('src0', 'src1') OR doc_id % 40 < 20),
+t AS (SELECT *, CASE WHEN regexp_full_match(updated, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?(Z|[+-]\\d{{2}}:\\d{{2}})') THEN try_cast(updated AS TIMESTAMPTZ) END AS moment FROM v),
+w AS (SELECT *, first_value(uri) OVER (PARTITION BY name ORDER BY rank, CASE WHEN moment <= TIMESTAMPTZ '2024-06-01T01:00:00Z' THEN moment END DESC NULLS LAST, uri) AS best FROM t)
+SELECT name, uri, nullif(best, uri) AS shadowed_by FROM w""")
+def skill_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which version of each name stands, and by which the others are shadowed; at midnight of 1 June 2024."""
+    d = table(spark, sf_dir, "documents").where("source NOT IN ('src0', 'src1') OR doc_id % 40 < 20")
+    v = d.select(F.concat(F.lit("skill"), (F.col("doc_id") % 40).cast("string")).alias("name"), F.col("source").alias("author"), F.expr(WHEN_SQL).alias("updated"), F.col("doc_id").alias("uri"))
+    return versions.resolve(v, "src0", "src1", F.to_timestamp(F.lit("2024-06-01T00:00:00Z")))
+
+
 @query("SELECT text AS name, min_by(source, {'s': CAST(substr(source, 4) AS INTEGER), 'i': doc_id}) AS source FROM documents GROUP BY text")
 def first_source_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spaces in settings order: the first that has a name gives it."""

@@ -54,12 +54,26 @@ def read_source(text: str) -> Source:
     return Source(_joined(pieces), days, years, dates)
 
 
+def _mentioned(pieces: list[str], source: Source) -> bool:
+    """Side by side in the source, and a mark at either end does not touch a word there."""
+    joined = _joined(pieces)
+    if joined not in source.pieces:
+        return False
+    before, after = ("" if _is_word(end) else edge for end, edge in ((pieces[0], r"(?<!\w)"), (pieces[-1], r"(?!\w)")))
+    return not (before or after) or re.search(before + re.escape(joined) + after, source.pieces) is not None
+
+
+def _is_word(piece: str) -> bool:
+    return re.match(r"\w", piece) is not None
+
+
 def is_grounded(name: str, source: Source) -> bool:
-    """Whether the source mentions a lower-case identifier, give or take a v, a #, a last slash, how a home folder is
+    """Whether the source mentions a lower-case identifier, give or take a first v or #, a last slash, how a home folder is
     written, or how a date is.
     """
-    pieces = _cut(name.removeprefix("#").rstrip("/"))
-    if pieces and _joined(pieces) in source.pieces:
+    bare = name.rstrip("/")
+    spellings = {tuple(_cut(form)) for form in (bare, bare[1:] if bare[:1] in ("v", "#") else bare)}
+    if any(pieces and _mentioned(list(pieces), source) for pieces in spellings):
         return True
     date = name[:10]
     if not re.fullmatch(r"\d{4}-\d\d-\d\d", date) or name[10:11] not in ("", "t"):

@@ -108,8 +108,14 @@ def sanitize_url(url: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """Tokens that a paraphrase must keep: with digits, paths, underscores, dots inside, inner capitals, flags."""
-    raw = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_./:#@~-]+)"), F.lit(1))
+    """Tokens that a paraphrase must keep: with digits, paths, underscores, dots inside, inner capitals, flags.
+
+    The patterns are fixed values.
+    """
+    # whole tokens that have such a shape somewhere, or may be a flag: plain words never become elements
+    part = "[A-Za-z0-9_./:#@~-]"
+    shape = r"[0-9/_]|[A-Za-z0-9_]\.[A-Za-z0-9_]|[a-z][A-Z]"
+    raw = F.regexp_extract_all(text, F.lit(f"(?<!{part})(?=-|{part}*?(?:{shape})){part}+"), F.lit(0))
 
     def core(r: Column) -> Column:
         return F.regexp_replace(r, r"^[^A-Za-z0-9_~/#@]+|[^A-Za-z0-9_/]+$", "")
@@ -118,7 +124,7 @@ def identifiers(text: Column) -> Column:
         return F.regexp_replace(r, r"[^A-Za-z0-9_]+$", "")
 
     def by_shape(t: Column) -> Column:
-        return F.when((F.length(t) >= 3) & t.rlike(r"[0-9/_]|[A-Za-z0-9_]\.[A-Za-z0-9_]|[a-z][A-Z]"), F.lower(t)).otherwise(F.when(F.length(t) < 3, ""))
+        return F.when((F.length(t) >= 3) & t.rlike(shape), F.lower(t)).otherwise(F.when(F.length(t) < 3, ""))
 
     def kept(r: Column) -> Column:
         # an empty string: too short; null: no identifier by its shape, but perhaps a flag
