@@ -6,14 +6,14 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache, wraps
+from itertools import islice
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from lodestone.functions.stemmer import porter2
 
@@ -22,7 +22,8 @@ TERM_BYTES, PREFIX_BYTES, HASH_DIGITS = 64, 48, 12
 MOST_PARTS, OPAQUE_LENGTH = 64, 16
 MOST_GROUPS, MOST_TERMS, MOST_QUERY_PARTS = 32, 128, 16
 
-TOKEN_TYPE = "array<struct<kind:string,exact:string,stem:string,parts:array<struct<term:string,stem:string>>>>"
+#: Rows that a task holds at once; stretches of text that it remembers, and the longest of these.
+SLICE, REMEMBERED, LONGEST = 1 << 15, 1 << 16, 64
 
 _split = regex.compile(r"(?V1w)\b").split
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
@@ -97,7 +98,7 @@ def _sub_words(s: str) -> list[str]:
     return [s[i:j] for i, j in zip(cuts, [*cuts[1:], len(s)], strict=True)]
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=1 << 14)
 def word_token(raw: str) -> Token | None:
     """The token of a word or compound, joiners trimmed."""
     raw = raw.strip(JOINERS)
@@ -134,7 +135,18 @@ def _chunks(text: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=200_000)
+def _remembered(f: Callable) -> Callable:
+    """`f` of a stretch of text, remembered unless the stretch is long."""
+    kept = lru_cache(maxsize=REMEMBERED)(f)
+
+    @wraps(f)  # tasks find it by its name
+    def run(text: str):
+        return kept(text) if len(text) <= LONGEST else f(text)
+
+    return run
+
+
+@_remembered
 def _chunk_tokens(text: str) -> tuple[Token, ...]:
     """The tokens of a stretch; most are one plain word, perhaps with punctuation after it, which needs no rules."""
     plain = text.rstrip(".,;:!?)")
@@ -179,7 +191,7 @@ def _general_tokens(text: str) -> list[Token]:
     return [t for t in out if t is not None]
 
 
-@lru_cache(maxsize=200_000)
+@_remembered
 def _chunk_terms(chunk: str) -> tuple[int, tuple[str, ...]]:
     """Number of tokens, and the terms that each of them adds one to."""
     tokens = _chunk_tokens(chunk)
@@ -193,7 +205,7 @@ def terms_of(t: Token) -> set[str]:
 def count_terms(text: str, tags: list[str], source: str) -> tuple[int, Counter]:
     """Length in tokens, and term frequencies: each token adds one to each distinct term that it emits."""
     length, tf = 0, Counter()
-    for chunk, times in Counter(c for field in (text, *tags, source) for c in _chunks(field or "")).items():
+    for chunk, times in _counted_chunks(text, tags, source):
         n, terms = _chunk_terms(chunk)
         length += n * times
         for x in terms:
@@ -201,6 +213,10 @@ def count_terms(text: str, tags: list[str], source: str) -> tuple[int, Counter]:
     return length, tf
 
 
+def _counted_chunks(text: str | None, tags: Sequence[str], source: str | None) -> Iterable[tuple[str, int]]:
+    return Counter(c for field in (text, *tags, source) for c in _chunks(field or "")).items()
+
+
 class Group(NamedTuple):
     exact: str
     stem: str | None
@@ -226,28 +242,71 @@ def parse_query(text: str) -> list[Group]:
     return groups
 
 
-def analyze(text: Column) -> Column:
-    """The tokens of a text as a column."""
+def _sliced(rows: Callable[..., Iterable[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`rows` of each input row, SLICE at a time: what a task holds doesn't grow with a batch's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (r for b in batches for i in range(b.num_rows) for r in rows(*(c[i].as_py() for c in b.columns)))
+        while part := list(islice(found, SLICE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
+
+    return run
+
 
-    @F.pandas_udf(TOKEN_TYPE)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [(k.kind, k.exact, k.stem, [tuple(p) for p in k.parts]) for k in tokenize(t or "")])
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, exact): each text's distinct compounds, opaque tokens, and words of four characters or more that have a stem."""
 
-    return run(text)
+    def rows(i: int | None, text: str | None) -> Iterator[tuple]:
+        tokens = {(t.kind, t.exact) for c in set(_chunks(text or "")) for t in _chunk_tokens(c) if t.kind in ("compound", "opaque") or (t.kind == "word" and t.stem is not None and len(t.exact) >= 4)}
+        return ((i, *t) for t in sorted(tokens))
+
+    schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("exact", pa.string())])
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(_sliced(rows, schema), "doc_id long, kind string, exact string")
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, n, stems, parts): each document's tokens of each kind, counted inside the task."""
+
+    def rows(i: int | None, text: str | None) -> Iterator[tuple]:
+        n, stems, parts = Counter(), Counter(), Counter()
+        for c, times in Counter(_chunks(text or "")).items():
+            for t in _chunk_tokens(c):
+                n[t.kind] += times
+                stems[t.kind] += times * (t.stem is not None)
+                parts[t.kind] += times * len(t.parts)
+        return ((i, k, n[k], stems[k], parts[k]) for k in n)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), *((c, pa.int64()) for c in ("n", "stems", "parts"))])
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(_sliced(rows, schema), "doc_id long, kind string, n long, stems long, parts long")
 
 
 def postings(memories: DataFrame) -> DataFrame:
     """(id, dl, term, tf) under the full analyzer: counted inside the task, so no shuffle is needed."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, text, tags, source in zip(b["id"], b["text"], b["tags"], b["source"], strict=True):
-                n, tf = count_terms(text, list(tags) if tags is not None else [], source)
-                rows += [(i, n, term, c) for term, c in tf.items()]
-            yield pd.DataFrame(rows, columns=["id", "dl", "term", "tf"])
+    def rows(i: int | None, text: str | None, tags: list[str] | None, source: str | None) -> Iterator[tuple]:
+        n, tf = count_terms(text, tags or [], source)
+        return ((i, n, term, c) for term, c in tf.items())
+
+    schema = pa.schema([("id", pa.int64()), ("dl", pa.int64()), ("term", pa.string()), ("tf", pa.int64())])
+    return memories.select("id", "text", "tags", "source").mapInArrow(_sliced(rows, schema), "id long, dl long, term string, tf long")
+
+
+def counts_of(memories: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(id, dl, tf): each document's length and its counts of `terms`, in their order; documents without a token are left out."""
+    place = {t: i for i, t in enumerate(terms)}
+
+    def rows(i: int | None, text: str | None, tags: list[str] | None, source: str | None) -> Iterator[tuple]:
+        length, tf = 0, [0] * len(place)
+        for chunk, times in _counted_chunks(text, tags or [], source):
+            n, own = _chunk_terms(chunk)
+            length += n * times
+            for x in own:
+                if x in place:
+                    tf[place[x]] += times
+        return iter([(i, length, tf)] if length else [])
 
-    return memories.select("id", "text", "tags", "source").mapInPandas(run, "id long, dl long, term string, tf long")
+    schema = pa.schema([("id", pa.int64()), ("dl", pa.int64()), ("tf", pa.list_(pa.int64()))])
+    return memories.select("id", "text", "tags", "source").mapInArrow(_sliced(rows, schema), "id long, dl long, tf array<long>")
 
 
 def register_tokenize(spark) -> None:

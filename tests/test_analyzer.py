@@ -98,3 +98,33 @@ def test_any_text(text):
     for t in tokenize(text):
         assert t.exact and len(t.exact.encode()) <= TERM_BYTES
     word_token(text.strip() or "x")
+
+
+def test_a_task_holds_a_slice_of_rows(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.functions import analyzer
+
+    monkeypatch.setattr(analyzer, "SLICE", 10)
+    schema = pa.schema([("n", pa.int64())])
+    batch = pa.RecordBatch.from_arrays([pa.array([25, 0, 8])], ["n"])
+    out = list(analyzer._sliced(lambda n: ((i,) for i in range(n)), schema)(iter([batch, batch])))
+    assert [b.num_rows for b in out] == [10] * 6 + [6] and pa.Table.from_batches(out).column("n").to_pylist() == [*range(25), *range(8)] * 2
+
+
+def test_long_stretches_are_not_remembered():
+    from lodestone.functions import analyzer
+
+    long = "xYz9-" * 1000
+    assert analyzer._chunk_tokens(long) is not analyzer._chunk_tokens(long) and analyzer._chunk_tokens("short") is analyzer._chunk_tokens("short")
+
+
+def test_counts_of_terms_are_those_of_the_postings(spark):
+    from lodestone.functions import analyzer
+
+    rows = [(1, "blue_sky blue Painted", ["Sea"], "https://example.net/blue"), (2, None, None, "paint"), (3, "", [], ""), (4, "!? blue", [], None)]
+    df = spark.createDataFrame(rows, "id long, text string, tags array<string>, source string")
+    want = {(r.id, r.dl, r.term): r.tf for r in analyzer.postings(df).collect()}
+    got = analyzer.counts_of(df, ["blue", "~paint"]).collect()
+    assert {r.id: r.dl for r in got} == {i: n for i, n, _ in want} and len(got) == 3
+    assert {(r.id, r.dl, t): n for r in got for t, n in zip(["blue", "~paint"], r.tf) if n} == {k: v for k, v in want.items() if k[2] in ("blue", "~paint")}
