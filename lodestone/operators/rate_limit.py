@@ -49,9 +49,9 @@ def level_table(ms: np.ndarray, unit: int, tokens: int, full: int) -> np.ndarray
 
 
 def _numbered(calls: DataFrame, key: str, ms: str, id: str, chunk: int) -> DataFrame:
-    """(key, ms, id, chunk) of rows with a key and a time."""
+    """(key, ms, id, chunk, n) of rows with a key and a time, n their number within the key."""
     rows = calls.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).select(F.col(key).alias("key"), F.col(ms).cast("long").alias("ms"), F.col(id).alias("id"))
-    return running(rows, ["key"], ["ms", "id"], F.floor(F.col("ms") / SPAN_MS)).withColumn("chunk", F.floor((F.col("n") - 1) / chunk)).drop("n")
+    return running(rows, ["key"], ["ms", "id"], F.floor(F.col("ms") / SPAN_MS)).withColumn("chunk", F.floor((F.col("n") - 1) / chunk))
 
 
 def _entries(numbered: DataFrame, chunk: int, unit: int, tokens: int, full: int) -> DataFrame:
@@ -96,21 +96,22 @@ def token_bucket(calls: DataFrame, key: str, ms: str, id: str, tokens: int = TOK
     unit, full = 1000 * seconds, 1000 * seconds * burst
     numbered = _numbered(calls, key, ms, id, chunk)
     held = numbered.join(_entries(numbered, chunk, unit, tokens, full), ["key", "chunk"], "left")
-    placed = held.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "ms", "id")
-    schema = placed.select("key", "ms", "id").schema.add("allowed", "boolean").add("left", "double")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, level, at = None, full, 0
-        for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("key", "chunk", "ms", "level", "at")}
-            passed, left = [], []
-            for k, c, t, begin, before in zip(*cols.values(), strict=True):
-                if (k, c) != own:
-                    own, (level, at) = (k, c), ((full, t) if begin is None else (begin, before))
-                level, ok = step(level, t - at, unit, tokens, full)
-                at = max(at, t)
-                passed.append(ok)
-                left.append(level / unit)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ms"), batch.column("id"), pa.array(passed), pa.array(left, pa.float64())], ["key", "ms", "id", "allowed", "left"])
-
-    return placed.select("key", "chunk", "ms", "id", "level", "at").mapInArrow(fold, schema)
+    rows = held.select("key", "chunk", "n", "ms", "id", "level", "at")
+    schema = rows.select("key", "ms", "id").schema.add("allowed", "boolean").add("left", "double")
+
+    # A grouping, not a repartition: after a join by the same columns Spark drops a repartition, and the join may then be
+    # run as a broadcast that leaves the rows where they are.
+    def fold(calls: pa.Table) -> pa.Table:
+        calls = calls.sort_by("n")
+        level, at = (calls.column(c)[0].as_py() for c in ("level", "at"))
+        times = calls.column("ms").to_pylist()
+        level, at = (full, times[0]) if level is None else (level, at)
+        passed, left = [], []
+        for t in times:
+            level, ok = step(level, t - at, unit, tokens, full)
+            at = max(at, t)
+            passed.append(ok)
+            left.append(level / unit)
+        return calls.select(["key", "ms", "id"]).append_column("allowed", pa.array(passed, pa.bool_())).append_column("left", pa.array(left, pa.float64()))
+
+    return rows.groupBy("key", "chunk").applyInArrow(fold, schema)

@@ -72,3 +72,26 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
     got = jobs.drain(jobs.token_bucket(stream), str(tmp_path / "out"))
     assert sorted(tuple(r) for r in got.collect()) == walk(rows)
+
+
+def test_chunks_stay_whole_when_the_join_becomes_a_broadcast(spark):
+    """Over many buckets of time, with the join planned by a sort and changed to a broadcast while it runs."""
+    rows = [("hot", i * 120, i) for i in range(6000)]
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        got = sorted(tuple(r) for r in rate_limit.token_bucket(df, "key", "ms", "id", chunk=4000).collect())
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+    assert got == walk(rows)
+
+
+def test_a_stream_gives_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "SLICE", 64)
+    rows = sorted(((k, ms + 10_000, i) for k, ms, i in calls(6)[:1500]), key=lambda r: (r[1], r[2]))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = jobs.drain(jobs.token_bucket(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in got.collect()) == walk(rows)
