@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestone.operators import rate_limit
 from lodestone.operators.lounge import LEASE_S
 
+#: Rows that a stream's task gives at once.
+SLICE = 1 << 14
+
 
 def read_events(spark: SparkSession, path: str, schema: str, files_a_trigger: int = 16) -> DataFrame:
     """A file of events, or the files of a folder, as a stream; ts becomes an instant, as watermarks need one."""
@@ -87,16 +91,20 @@ def token_bucket(calls: DataFrame, tokens: int = rate_limit.TOKENS, seconds: int
             state.remove()
             return
         level, at = state.get if state.exists else (full, None)
-        rows = pd.concat(list(batches)).sort_values(["ms", "id"], kind="stable")
-        passed, left = [], []
-        for t in rows["ms"].tolist():
-            level, ok = rate_limit.step(level, 0 if at is None else t - at, unit, tokens, full)
-            at = t if at is None else max(at, t)
-            passed.append(ok)
-            left.append(level / unit)
+        # of a micro-batch only times and ids are held, as arrays; what it gives leaves in slices
+        ms, ids = (np.concatenate(c) for c in zip(*((b["ms"].to_numpy(), b["id"].to_numpy()) for b in batches), strict=True))
+        order = np.lexsort((ids, ms)) if ids.dtype != object else pd.DataFrame({"ms": ms, "id": ids}).sort_values(["ms", "id"], kind="stable").index.to_numpy()
+        for lo in range(0, len(order), SLICE):
+            own = order[lo : lo + SLICE]
+            passed, left = [], []
+            for t in ms[own].tolist():
+                level, ok = rate_limit.step(level, 0 if at is None else t - at, unit, tokens, full)
+                at = t if at is None else max(at, t)
+                passed.append(ok)
+                left.append(level / unit)
+            yield pd.DataFrame({"key": key[0], "ms": ms[own], "id": ids[own], "allowed": passed, "left": left})
         state.update((level, at))
         state.setTimeoutTimestamp(max(at + -(-full // tokens), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": rows["key"], "ms": rows["ms"], "id": rows["id"], "allowed": passed, "left": left})
 
     timed = calls.where("key IS NOT NULL AND ms IS NOT NULL").withColumn("at", F.timestamp_millis("ms")).withWatermark("at", late)
     kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
