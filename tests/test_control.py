@@ -94,3 +94,16 @@ def test_quantiles_out_of_buckets(spark):
     assert all(got[s, 0.5] is None for s in "bcd") and got["e", 0.5] == -1.0
     assert got["f", 0.5] == 1.0 and got["f", 0.7] == 2.0 and got["g", 0.5] == 0.5
     assert not any(v is not None and math.isnan(v) for v in got.values())
+
+
+def test_pairs_of_one_key_come_from_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import lounge
+
+    a = spark.range(300).select(F.col("id").alias("a"), F.floor(F.col("id") / 1000).alias("space"))
+    b = spark.range(200).select(F.col("id").alias("b"), F.floor(F.col("id") / 1000).alias("space"))
+    got = lounge.paired(a, b, ["space"], "a", "b").select("a", "b", F.spark_partition_id().alias("p"))
+    per = got.groupBy("p").count().collect()
+    assert sum(r["count"] for r in per) == 60_000 == got.select("a", "b").distinct().count()
+    assert len(per) > 20 and max(r["count"] for r in per) < 6_000
