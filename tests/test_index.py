@@ -124,3 +124,11 @@ def test_the_shared_index_follows_its_table(spark, tmp_path):
     second = ck.index(spark, sf)
     assert second.root != first.root and table_state(spark, first.root) == ""
     assert table_state(spark, f"{sf}/nothing.parquet") == ""
+
+
+def test_postings_of_texts_dealt_by_id_are_not_shuffled(spark, data):
+    from lodestone.catalog import QUERIES
+
+    for name in ("term_freq", "verify_index"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" in plan and "hashpartitioning(term" not in plan
