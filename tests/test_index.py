@@ -2,13 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.catalog import QUERIES
 from lodestone.catalog import keyword as ck
 from lodestone.operators import keyword
-from lodestone.sources.index import KeywordIndex, PrunedSearch, table_state
+from lodestone.sources.index import KeywordIndex, PrunedSearch, table_state, window_blocks
 
 
 def tokens():
@@ -132,3 +133,33 @@ def test_postings_of_texts_dealt_by_id_are_not_shuffled(spark, data):
     for name in ("term_freq", "verify_index"):
         plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(id" in plan and "hashpartitioning(term" not in plan
+
+
+def test_the_build_shuffles_texts_and_finished_blocks(spark, corpus, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    plans = []
+    real = DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    built = KeywordIndex.build(corpus, tokens(), str(tmp_path / "i"))
+    # postings meet in no shuffle of their own, and the texts are tokenized by the blocks' job only
+    assert "hashpartitioning(window" in plans[0] and "hashpartitioning(term" not in plans[0] and "rangepartitioning" not in plans[0]
+    assert sum("regexp_extract_all" in p for p in plans) == 1
+    want = {(r.id, r.dl) for r in keyword.lengths(corpus.where("id IS NOT NULL"), tokens()).collect()}
+    assert {(r.id, r.dl) for r in built.lengths().collect()} == want and len(want) == 3006
+
+
+def test_blocks_of_one_window():
+    rows = [(5, 3, ["b", "a", "b"]), (2, 2, ["a", None]), (7, 0, []), (5, 3, ["a", "c", "a"]), (9, None, None), (2, 1, ["a"])]
+    docs = pa.table({"window": pa.array([4] * 6, pa.int64()), "id": [r[0] for r in rows], "dl": pa.array([r[1] for r in rows], pa.int64()), "t": pa.array([r[2] for r in rows], pa.list_(pa.string()))})
+    got = {b["term"]: b for b in window_blocks(docs).to_pylist()}
+    one = lambda term, n, most, least, total, ids, tfs, dls: {"term": term, "window": 4, "n": n, "max_tf": most, "min_dl": least, "total_tf": total, "ids": ids, "tfs": tfs, "dls": dls}
+    assert got["a"] == one("a", 3, 3, 1, 5, [2, 2, 5], [1, 1, 3], [1, 2, 3])
+    assert got["b"] == one("b", 1, 2, 3, 2, [5], [2], [3]) and got["c"]["ids"] == [5]
+    assert got[None] == one(None, 6, 0, 0, 9, [2, 2, 5, 5, 7, 9], [0] * 6, [1, 2, 3, 3, 0, 0])
+    assert window_blocks(docs.slice(2, 1)).to_pylist() == [one(None, 1, 0, 0, 0, [7], [0], [0])]
