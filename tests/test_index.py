@@ -163,3 +163,9 @@ def test_blocks_of_one_window():
     assert got["b"] == one("b", 1, 2, 3, 2, [5], [2], [3]) and got["c"]["ids"] == [5]
     assert got[None] == one(None, 6, 0, 0, 9, [2, 2, 5, 5, 7, 9], [0] * 6, [1, 2, 3, 3, 0, 0])
     assert window_blocks(docs.slice(2, 1)).to_pylist() == [one(None, 1, 0, 0, 0, [7], [0], [0])]
+
+
+def test_the_whole_grid_takes_lengths_from_the_index(spark, data):
+    plan = QUERIES["full_grid"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "doc_id#" in line]
+    assert scans and not any("text#" in line for line in scans)
