@@ -169,3 +169,14 @@ def test_the_whole_grid_takes_lengths_from_the_index(spark, data):
     plan = QUERIES["full_grid"](spark, data)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line and "doc_id#" in line]
     assert scans and not any("text#" in line for line in scans)
+
+
+def test_a_batch_shuffles_no_blocks_of_other_terms(spark, index, monkeypatch):
+    import lodestone.sources.index as module
+
+    ask = spark.createDataFrame([(1, "the"), (2, "topic3"), (2, "w5"), (2, "w5"), (3, None)], "query int, term string").repartition(3)
+    plan = lambda: PrunedSearch(index, ask, 3).bounds()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan() and "hashpartitioning(folder" not in plan()
+    few = index.search_batch(ask, 3).orderBy("query", "rank").collect()
+    monkeypatch.setattr(module, "MOST_ASKED", 2)
+    assert index.search_batch(ask, 3).orderBy("query", "rank").collect() == few and len(few) == 6
