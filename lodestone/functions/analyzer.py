@@ -22,6 +22,11 @@ TERM_BYTES, PREFIX_BYTES, HASH_DIGITS = 64, 48, 12
 MOST_PARTS, OPAQUE_LENGTH = 64, 16
 MOST_GROUPS, MOST_TERMS, MOST_QUERY_PARTS = 32, 128, 16
 
+#: Features of a kind that a text offers at most, bytes of the longest identifier, and characters of the text's opening.
+MOST_FEATURES, IDENTIFIER_BYTES, OPENING = 8, 64, 100
+
+#: Documents with their words that a task holds at once.
+HELD = 64
 #: Rows that a task holds at once; stretches of text that it remembers, and the longest of these.
 SLICE, REMEMBERED, LONGEST = 1 << 15, 1 << 16, 64
 
@@ -40,6 +45,7 @@ class Token(NamedTuple):
     exact: str
     stem: str | None
     parts: tuple[Part, ...]
+    raw: str = ""  # as it stands in the text
 
 
 def normalize(s: str) -> str:
@@ -106,7 +112,7 @@ def word_token(raw: str) -> Token | None:
     if not exact:
         return None
     if is_opaque(raw):
-        return Token("opaque", exact, None, ())
+        return Token("opaque", exact, None, (), raw)
     components = [c for c in re.split(f"[{re.escape(JOINERS)}]+", raw) if c]
     parts: list[Part] = []
     spans: list[str] = []
@@ -116,8 +122,8 @@ def word_token(raw: str) -> Token | None:
                 parts.append(Part(term, None if piece is c and is_opaque(c) else stem(term)))
                 spans.append(piece)
     if len(components) == 1 and (not parts or spans == [raw]):
-        return Token("word", exact, stem(exact), ())
-    return Token("compound", exact, None, tuple(parts))
+        return Token("word", exact, stem(exact), (), raw)
+    return Token("compound", exact, None, tuple(parts), raw)
 
 
 def tokenize(text: str) -> list[Token]:
@@ -152,7 +158,7 @@ def _chunk_tokens(text: str) -> tuple[Token, ...]:
     plain = text.rstrip(".,;:!?)")
     if plain.isalpha() and (plain[1:].islower() or len(plain) == 1) and max(plain) < "\u0590":
         exact = bound(normalize(plain))
-        return (Token("word", exact, stem(exact), ()),) if exact else ()
+        return (Token("word", exact, stem(exact), (), plain),) if exact else ()
     return tuple(_general_tokens(text))
 
 
@@ -167,7 +173,7 @@ def _general_tokens(text: str) -> list[Token]:
             out.append(word_token(word))
         if cjk:
             for i in range(max(1, len(cjk) - 1)):
-                out.append(Token("cjk", bound(normalize(cjk[i : i + 2])), None, ()))
+                out.append(Token("cjk", bound(normalize(cjk[i : i + 2])), None, (), cjk[i : i + 2]))
         word = cjk = pending = ""
 
     for piece in _split(text):
@@ -242,26 +248,64 @@ def parse_query(text: str) -> list[Group]:
     return groups
 
 
-def _sliced(rows: Callable[..., Iterable[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`rows` of each input row, SLICE at a time: what a task holds doesn't grow with a batch's texts."""
+def _sliced(rows: Callable[..., Iterable[tuple]], schema: pa.Schema, size: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`rows` of each input row, `size` or SLICE at a time: what a task holds doesn't grow with a batch's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (r for b in batches for i in range(b.num_rows) for r in rows(*(c[i].as_py() for c in b.columns)))
-        while part := list(islice(found, SLICE)):
+        while part := list(islice(found, size or SLICE)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, exact): each text's distinct compounds, opaque tokens, and words of four characters or more that have a stem."""
+_IDENTIFIER = re.compile(r"[_./:@#0-9]|(?s:.)[A-Z]")
 
-    def rows(i: int | None, text: str | None) -> Iterator[tuple]:
-        tokens = {(t.kind, t.exact) for c in set(_chunks(text or "")) for t in _chunk_tokens(c) if t.kind in ("compound", "opaque") or (t.kind == "word" and t.stem is not None and len(t.exact) >= 4)}
-        return ((i, *t) for t in sorted(tokens))
 
-    schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("exact", pa.string())])
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(_sliced(rows, schema), "doc_id long, kind string, exact string")
+def features(memories: DataFrame) -> DataFrame:
+    """(id, opening, identifiers, compounds, tag_source, words, others): what each text offers, verbatim, in its order.
+
+    Identifiers are opaque tokens and compounds that look like one; `compounds` are those of two parts or more; `tag_source`
+    holds words of tags and source that the text lacks; MOST_FEATURES of each. `words` may be rare, which takes the whole table: one
+    string of words with spaces between, each with a tab and its exact term behind it where that differs. `others` are the further terms that count as one of such a word, so that words and others together
+    hold each of the memory's terms of this form once.
+    """
+
+    def rows(i: int | None, text: str | None, tags: list[str] | None, source: str | None) -> Iterator[tuple]:
+        identifiers, compounds, tag_source, words = {}, {}, {}, {}
+        in_text, terms = set(), set()
+
+        def add(found: dict, raw: str) -> None:
+            if len(found) < MOST_FEATURES:
+                found[raw] = None
+
+        def count(t: Token) -> None:
+            if t.stem is not None or (t.kind == "compound" and _STEMMABLE.fullmatch(t.exact)):
+                terms.add(t.exact)
+            terms.update(p.term for p in t.parts if p.stem is not None)
+
+        for t in (t for c in dict.fromkeys(_chunks(text or "")) for t in _chunk_tokens(c)):
+            in_text.add(t.exact)
+            count(t)
+            if t.kind == "opaque":
+                add(identifiers, t.raw)
+            elif t.kind == "compound" and len(t.raw.encode()) <= IDENTIFIER_BYTES and "://" not in t.raw and _IDENTIFIER.search(t.raw):
+                add(identifiers, t.raw)
+                if len(t.parts) >= 2:
+                    add(compounds, t.raw)
+            elif t.kind == "word" and t.stem is not None and len(t.raw.encode()) >= 4:
+                words[t.raw] = t.exact
+        for t in (t for s in (*(tags or []), source) for c in _chunks(s or "") for t in _chunk_tokens(c)):
+            count(t)
+            if t.kind == "word" and len(t.exact.encode()) >= 3 and t.exact not in in_text:
+                add(tag_source, t.raw)
+        pairs = " ".join(r if x == r else f"{r}\t{x}" for r, x in words.items())
+        return iter([(i, (text or "")[:OPENING], list(identifiers), list(compounds), list(tag_source), pairs, sorted(terms.difference(words.values())))])
+
+    strings = pa.list_(pa.string())
+    schema = pa.schema([("id", pa.int64()), ("opening", pa.string()), *((c, strings) for c in ("identifiers", "compounds", "tag_source")), ("words", pa.string()), ("others", strings)])
+    names = "id long, opening string, identifiers array<string>, compounds array<string>, tag_source array<string>, words string, others array<string>"
+    return memories.selectExpr("CAST(id AS long) AS id", "text", "tags", "source").mapInArrow(_sliced(rows, schema, HELD), names)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Memories that one request asks about; the range of grades; queries kept from one answer.
@@ -67,6 +67,21 @@ def generated_queries(texts: DataFrame, ask: Ask) -> DataFrame:
     return texts.select("id", "text").mapInPandas(run, f"id {dict(texts.dtypes)['id']}, query string")
 
 
+def valid(category: Column, query: Column, identifiers: Column, compounds: Column, rare: Column, tag_source: Column) -> Column:
+    """Whether a query does what its category needs: names one of the target's features, or for parts none of its compounds."""
+
+    def names(items: Column) -> Column:
+        return F.exists(items, lambda x: F.contains(F.lower(query), F.lower(x)))
+
+    return (
+        F.when(category.isin("identifier", "mixed"), names(identifiers))
+        .when(category == "part", ~names(compounds))
+        .when(category == "name", names(rare))
+        .when(category == "tagsource", names(tag_source))
+        .otherwise(True)
+    )
+
+
 def log_queries(answers: DataFrame, path: str) -> None:
     """Append (time, space, query, results) records as JSON lines."""
     answers.select(F.col("time"), "space", "query", "results").write.mode("append").json(path)
